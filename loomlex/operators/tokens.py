@@ -171,12 +171,13 @@ def build_corpus(docs: DataFrame, stop_words: list[str] | DataFrame | None = Non
 # Word-count maps of line documents
 # --------------------------------------------------------------------------
 
-def count_words(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+def count_words(df: DataFrame, id_cols: str | list[str], text_col: str = "text") -> DataFrame:
     """A4: per document a ``MAP<term, count>`` of lowercased whitespace
     tokens (built from a grouped count, never a per-row Python dict)."""
-    toks = df.select(F.col(id_col), F.explode(tokenize(text_col)).alias("term"))
-    counts = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(id_col).agg(
+    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    toks = df.select(*ids, F.explode(tokenize(text_col)).alias("term"))
+    counts = toks.groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*ids).agg(
         F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts"))
 
 
