@@ -216,3 +216,101 @@ def m13_coords(spark, sf):
 
 
 __all__ = ["QUERIES", "ORACLES"]
+
+
+# ------------------------------------------------------------ MLlib models (rows-only)
+
+QUERY_TOPICS = 10
+QUERY_ITERATIONS = 5
+
+
+def _lda(spark, sf, optimizer: str = "online"):
+    from loomlex.plans import topics as TM
+    d = _scan_docs(spark, sf)
+    c = TK.build_corpus(d)
+    vec = TM.bow_vectors(c.bow, c.vocab_size, "tf", d.select("doc_id"))
+    model = TM.fit_lda(vec, QUERY_TOPICS, QUERY_ITERATIONS, seed=7, optimizer=optimizer)
+    return c, vec, model
+
+
+@query("m2_fit_lda")
+def m2(spark, sf):
+    """Online LDA (k=10): top-10 terms per fitted topic."""
+    from loomlex.plans import topics as TM
+    c, _, model = _lda(spark, sf)
+    phi = TM.topic_terms(model, c.dictionary, c.vocab_size)
+    return TV.top_terms(phi, 10).select("topic", "rank", "term", "p")
+
+
+@query("m3_doc_topics")
+def m3(spark, sf):
+    """Doc-topic distribution on the bag of words, p >= 0.01 kept."""
+    from loomlex.plans import topics as TM
+    _, vec, model = _lda(spark, sf)
+    return TM.doc_topics(model, vec)
+
+
+@query("f15_min_probability")
+def f15(spark, sf):
+    from loomlex.plans import topics as TM
+    _, vec, model = _lda(spark, sf)
+    full = TM.doc_topics(model, vec, None)
+    return full.where(F.col("p") >= 0.01)
+
+
+@query("m4_doc_topics_tfidf")
+def m4(spark, sf):
+    """The same model folded in on TF-IDF weights."""
+    from loomlex.plans import topics as TM
+    c, _, model = _lda(spark, sf)
+    w = WT.tfidf(c.bow, c.n_docs)
+    vec = TM.bow_vectors(w, c.vocab_size, "weight", _scan_docs(spark, sf).select("doc_id"))
+    return TM.doc_topics(model, vec)
+
+
+@query("m5_topic_terms")
+def m5(spark, sf):
+    from loomlex.plans import topics as TM
+    c, _, model = _lda(spark, sf)
+    return TM.topic_terms(model, c.dictionary, c.vocab_size)
+
+
+@query("m15_lsi")
+def m15(spark, sf):
+    """LSI: 3-component truncated SVD of the TF-IDF matrix; U*S per doc."""
+    from loomlex.plans import topics as TM
+    c = TK.build_corpus(_scan_docs(spark, sf))
+    doc_topic, _, _ = TM.lsi(WT.tfidf(c.bow, c.n_docs), c.vocab_size, 3)
+    return doc_topic
+
+
+@query("c1_topic_job")
+def c1(spark, sf):
+    """Full topic job (online LDA) -> topic info table."""
+    from loomlex.plans.jobs import topic_job
+    out = topic_job(_scan_docs(spark, sf), k=QUERY_TOPICS, max_iter=QUERY_ITERATIONS, seed=7, with_map=False)
+    return out["topic_info"]
+
+
+def _line_job(spark, sf):
+    from loomlex.plans.jobs import line_topic_job
+    return line_topic_job(docs(spark, sf).select("doc_id", "text"), k=QUERY_TOPICS,
+                          max_iter=QUERY_ITERATIONS, seed=7)
+
+
+@query("m6_fit_lda_lines")
+def m6(spark, sf):
+    """EM LDA on line documents (word-count maps without stop words)."""
+    out = _line_job(spark, sf)
+    return TV.top_terms(out["topic_terms"], 10).select("topic", "rank", "term", "p")
+
+
+@query("m14_line_topic_info")
+def m14(spark, sf):
+    return _line_job(spark, sf)["topic_info"]
+
+
+@query("c3_line_topic_job")
+def c3(spark, sf):
+    out = _line_job(spark, sf)
+    return out["stats"].topics
