@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from loomlex.functions.constants import PUNCTUATION
 from loomlex.operators.ids import first_seen_ids
 from loomlex.operators.joins import join_bounded
+from loomlex.session import cut_lineage
 
 # A token is a run of characters that are neither ASCII whitespace nor ASCII
 # punctuation, or a single ASCII punctuation mark.
@@ -158,8 +159,8 @@ def encode_points(m: DataFrame, image_col: str, doc_col: str, entity_col: str,
                   order_cols: list[str]) -> DataFrame:
     """W1 + J8 + A10: image, document and entity ids by first appearance
     (in ``order_cols`` order), joined back, distinct ``(x, y, z)`` points."""
-    base = m.select(F.col(image_col).alias("_img"), F.col(doc_col).alias("_doc"),
-                    F.col(entity_col).alias("_ent"), *order_cols)
+    base = cut_lineage(m.select(F.col(image_col).alias("_img"), F.col(doc_col).alias("_doc"),
+                                F.col(entity_col).alias("_ent"), *order_cols))
     img = first_seen_ids(base, "_img", order_cols, "x")
     doc = first_seen_ids(base, "_doc", order_cols, "y")
     ent = first_seen_ids(base, "_ent", order_cols, "z")

@@ -191,11 +191,17 @@ def map_drop_keys(m: Column | str, words: list[str]) -> Column:
 def trim_rare(tokens: DataFrame, group_col: str, threshold: int = 2,
               words: list[str] | None = None) -> DataFrame:
     """per group (file), keep tokens seen at least ``threshold`` times
-    in that group and not in ``words``."""
+    in that group and not in ``words``.
+
+    With only ``(group, term)`` columns the kept tokens are rebuilt from the
+    grouped counts (one pass, no join back); richer token rows are
+    semi-joined to the kept ``(group, term)`` pairs."""
     t = tokens if not words else drop_stopwords(tokens, words)
-    keep = t.groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("n")) \
-        .where(F.col("n") >= threshold).select(group_col, "term")
-    return t.join(keep, [group_col, "term"], "left_semi")
+    counts = t.groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("_n")) \
+        .where(F.col("_n") >= threshold)
+    if set(tokens.columns) == {group_col, "term"}:
+        return counts.select(group_col, F.explode(F.array_repeat("term", F.col("_n").cast("int"))).alias("term"))
+    return t.join(counts.select(group_col, "term"), [group_col, "term"], "left_semi")
 
 
 def union_docs(*dfs: DataFrame) -> DataFrame:

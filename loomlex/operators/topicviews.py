@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomlex.functions.constants import RELEVANCE_STEPS, SUMMARY_TERMS
 from loomlex.operators.ids import dense_ids
+from loomlex.session import cut_lineage
 
 
 def _ln(c: Column) -> Column:
@@ -45,11 +46,14 @@ def topic_proportions(doc_topic: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def topic_stats(topic_term: DataFrame, doc_topic: DataFrame, lengths: DataFrame) -> TopicStats:
     """M7, M8, M9 in one plan."""
-    topics = topic_proportions(doc_topic, lengths)
+    # Model-sized tables (K, K x V, V rows) are materialised once: every
+    # summary below reads them several times.
+    topics = cut_lineage(topic_proportions(doc_topic, lengths))
     k = topics.count()
     ttf = topic_term.join(F.broadcast(topics.select("topic", "tfreq", "proportion")), "topic") \
         .select("topic", "term", F.col("p").alias("phi"),
                 (F.col("p") * F.col("tfreq")).alias("ttf"), "proportion")
+    ttf = cut_lineage(ttf)
     per_term = ttf.groupBy("term").agg(F.sum("ttf").alias("tot"), F.sum("phi").alias("phisum"))
     grand = per_term.agg(F.sum("tot")).scalar()
     # distinctiveness: sum_t p(t|w) * ln(p(t|w) / prop[t]) over phi > 0
@@ -60,6 +64,7 @@ def topic_stats(topic_term: DataFrame, doc_topic: DataFrame, lengths: DataFrame)
     terms = per_term.join(dist, "term").select(
         "term", "tot", (F.col("tot") / grand).alias("pw"), "distinctiveness",
         (F.col("tot") / grand * F.col("distinctiveness")).alias("saliency"))
+    terms = cut_lineage(terms)
     return TopicStats(topics=topics, ttf=ttf.drop("proportion"), terms=terms, n_topics=k)
 
 
@@ -89,44 +94,52 @@ def salient_terms(st: TopicStats, r: int = SUMMARY_TERMS) -> DataFrame:
 
 
 def relevant_terms(base: DataFrame, r: int = SUMMARY_TERMS,
-                   steps: int = RELEVANCE_STEPS) -> DataFrame:
+                   steps: int = RELEVANCE_STEPS, anchors: int = 10) -> DataFrame:
     """T5: per topic the distinct union over lam = i/steps (i = 0..steps)
-    of the top-r terms by relevance.
-
-    Exact candidate pruning first: relevance is linear in lam, so the r-th
-    best value at any lam is at least the r-th best among the top-r terms of
-    lam=0 and of lam=1 (fixed sets, so their minimum lower-bounds it).  Terms
-    that never reach that bound for any lam can never be in a top-r and are
-    dropped before the per-lam ranking; only survivors are expanded x101.
+    of the top-r terms by relevance (ties by term).
+
+    Exact pruning before the full grid: for any fixed set S of r terms, the
+    r-th best relevance at lam is >= min over S of relevance(lam).  The
+    top-r sets at ``anchors + 1`` evenly spaced anchor lams give, for every
+    grid lam, the bound L(lam) = max over anchors of that minimum (K x
+    (steps+1) numbers, broadcast).  A term that stays below L at every grid
+    lam can never be in a top-r, so only the survivors are expanded over the
+    grid and ranked.  Relevance is compared rounded to 9 decimals, exactly
+    as in the ranking, so the pruning never changes the result.
     """
-    lams = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
-    ends = []
-    for lam in (0.0, 1.0):
-        w = Window.partitionBy("topic").orderBy(F.desc(F.round(relevance(base, lam), 9)), "term")
-        ends.append(base.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= r)
-                    .select("topic", "logprob", "loglift"))
-    # Per topic, per lam: the bound = max over the two fixed sets of their
-    # minimum relevance (only 2*r rows per topic are involved).
-    bounds = []
-    for i, e in enumerate(ends):
-        b = e.groupBy("topic").agg(F.collect_list(F.struct("logprob", "loglift")).alias(f"_s{i}"))
-        bounds.append(b)
-    b = bounds[0].join(bounds[1], "topic")
-
-    def set_min(s: str, lam: Column) -> Column:
-        return F.aggregate(F.col(s), F.lit(float("inf")),
-                           lambda acc, x: F.least(acc, lam * x["logprob"] + (1 - lam) * x["loglift"]))
-
-    b = b.select("topic", F.transform(lams, lambda lam: F.greatest(
-        set_min("_s0", lam), set_min("_s1", lam))).alias("_bound"))
-    cand = base.join(F.broadcast(b), "topic").where(F.exists(
-        F.arrays_zip(lams.alias("lam"), F.col("_bound").alias("bound")),
-        lambda z: F.round(z["lam"] * F.col("logprob") + (1 - z["lam"]) * F.col("loglift"), 9)
-        >= F.round(z["bound"], 9))).drop("_bound")
-    grid = cand.select("*", F.explode(lams).alias("lam"))
-    w = Window.partitionBy("topic", "lam").orderBy(
-        F.desc(F.round(relevance(grid, F.col("lam")), 9)), "term")
-    top = grid.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= r)
+    base = cut_lineage(base.select("topic", "term", "phi", "ttf", "tot", "logprob", "loglift"))
+    grid = [i / steps for i in range(steps + 1)]
+    anchor_lams = sorted({grid[round(j * steps / anchors)] for j in range(anchors + 1)})
+    rel9 = lambda lam: F.round(lam * F.col("logprob") + (1 - lam) * F.col("loglift"), 9)
+
+    # 1. top-r sets at the anchor lams (window group limit: top-r per task)
+    anc = base.select("topic", "term", "logprob", "loglift",
+                      F.explode(F.array(*[F.lit(a) for a in anchor_lams])).alias("a"))
+    w = Window.partitionBy("topic", "a").orderBy(F.desc(rel9(F.col("a"))), "term")
+    sets = anc.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= r) \
+        .select("topic", "a", "term", "logprob", "loglift")
+    # 2. bound per (topic, grid lam) in the ranking order (rel desc, term
+    #    asc): the worst member of each anchor set, then the best of those.
+    g = sets.select("topic", "a", "term", F.posexplode(F.array(*[F.lit(x) for x in grid])).alias("i", "lam"),
+                    "logprob", "loglift")
+    g = g.select("topic", "a", "i", "term", rel9(F.col("lam")).alias("rel"))
+    worst_rel = g.groupBy("topic", "a", "i").agg(F.min("rel").alias("rel"))
+    worst = g.join(worst_rel, ["topic", "a", "i", "rel"]).groupBy("topic", "a", "i", "rel") \
+        .agg(F.max("term").alias("bt"))
+    best_rel = worst.groupBy("topic", "i").agg(F.max("rel").alias("rel"))
+    bounds = worst.join(best_rel, ["topic", "i", "rel"]).groupBy("topic", "i", "rel") \
+        .agg(F.min("bt").alias("bt"))
+    wide = bounds.groupBy("topic").pivot("i", list(range(steps + 1))).agg(
+        F.first("rel").alias("b"), F.first("bt").alias("t"))
+    # 3. survivors: reach the bound at some grid lam (one codegen expression)
+    hits = [F.when((rel9(F.lit(lam)) > F.col(f"{i}_b")) |
+                   ((rel9(F.lit(lam)) == F.col(f"{i}_b")) & (F.col("term") <= F.col(f"{i}_t"))), 1)
+            .otherwise(0) for i, lam in enumerate(grid)]
+    cand = base.join(F.broadcast(wide), "topic").where(F.greatest(*hits) == 1).select(*base.columns)
+    # 4. exact ranking over the full grid, survivors only
+    full = cand.select("*", F.explode(F.array(*[F.lit(x) for x in grid])).alias("lam"))
+    w2 = Window.partitionBy("topic", "lam").orderBy(F.desc(rel9(F.col("lam"))), "term")
+    top = full.withColumn("_rk", F.row_number().over(w2)).where(F.col("_rk") <= r)
     return top.drop("lam", "_rk").dropDuplicates(["topic", "term"])
 
 

@@ -36,9 +36,17 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scan_docs(spark, sf) -> DataFrame:
-    # Each table is one parquet file; spread the text work over the cores.
-    d = docs(spark, sf).select("doc_id", "text")
-    return d.repartition(max(8, d.rdd.getNumPartitions()))
+    return spread(docs(spark, sf).select("doc_id", "text"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores only when it has fewer input splits than
+    the cluster has cores (a small single-file table); a large scan already
+    has enough splits and is left unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def base_tokens(spark, sf) -> DataFrame:
