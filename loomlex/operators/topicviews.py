@@ -93,52 +93,65 @@ def salient_terms(st: TopicStats, r: int = SUMMARY_TERMS) -> DataFrame:
     return st.terms.orderBy(F.desc(F.round("saliency", 12)), "term").limit(r)
 
 
+def rank_key(x: Column, decimals: int = 9) -> Column:
+    """Integer ranking key ``floor(x * 10^d + 0.5)``: values closer than
+    10^-d compare equal (and fall back to the term tie-break).  Plain IEEE
+    arithmetic, so every engine computes the same key, and it stays inside
+    codegen (unlike decimal rounding)."""
+    return F.floor(x * F.lit(float(10 ** decimals)) + F.lit(0.5))
+
+
 def relevant_terms(base: DataFrame, r: int = SUMMARY_TERMS,
-                   steps: int = RELEVANCE_STEPS, anchors: int = 10) -> DataFrame:
+                   steps: int = RELEVANCE_STEPS, anchors: int = 4) -> DataFrame:
     """T5: per topic the distinct union over lam = i/steps (i = 0..steps)
-    of the top-r terms by relevance (ties by term).
+    of the top-r terms by relevance (ranked by :func:`rank_key`, ties by
+    term).
 
     Exact pruning before the full grid: for any fixed set S of r terms, the
-    r-th best relevance at lam is >= min over S of relevance(lam).  The
-    top-r sets at ``anchors + 1`` evenly spaced anchor lams give, for every
-    grid lam, the bound L(lam) = max over anchors of that minimum (K x
-    (steps+1) numbers, broadcast).  A term that stays below L at every grid
-    lam can never be in a top-r, so only the survivors are expanded over the
-    grid and ranked.  Relevance is compared rounded to 9 decimals, exactly
-    as in the ranking, so the pruning never changes the result.
+    r-th best (key, term) at lam is no worse than the worst member of S at
+    lam.  The top-r sets at ``anchors + 1`` evenly spaced anchor lams give,
+    for every grid lam, the bound = the best of those worst members (K x
+    (steps+1) rows, broadcast).  A term below the bound at every grid lam can
+    never be in a top-r; only survivors are expanded over the grid and
+    ranked, so the result equals ranking the full grid.
     """
     base = cut_lineage(base.select("topic", "term", "phi", "ttf", "tot", "logprob", "loglift"))
     grid = [i / steps for i in range(steps + 1)]
     anchor_lams = sorted({grid[round(j * steps / anchors)] for j in range(anchors + 1)})
-    rel9 = lambda lam: F.round(lam * F.col("logprob") + (1 - lam) * F.col("loglift"), 9)
 
-    # 1. top-r sets at the anchor lams (window group limit: top-r per task)
+    def rel(lam) -> Column:
+        one_minus = (1 - lam) if isinstance(lam, float) else (F.lit(1.0) - lam)
+        return lam * F.col("logprob") + one_minus * F.col("loglift")
+
+    # 1. any r-term set per anchor gives a valid bound: rank on the raw value
     anc = base.select("topic", "term", "logprob", "loglift",
                       F.explode(F.array(*[F.lit(a) for a in anchor_lams])).alias("a"))
-    w = Window.partitionBy("topic", "a").orderBy(F.desc(rel9(F.col("a"))), "term")
+    w = Window.partitionBy("topic", "a").orderBy(F.desc(rel(F.col("a"))), "term")
     sets = anc.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= r) \
         .select("topic", "a", "term", "logprob", "loglift")
-    # 2. bound per (topic, grid lam) in the ranking order (rel desc, term
-    #    asc): the worst member of each anchor set, then the best of those.
-    g = sets.select("topic", "a", "term", F.posexplode(F.array(*[F.lit(x) for x in grid])).alias("i", "lam"),
-                    "logprob", "loglift")
-    g = g.select("topic", "a", "i", "term", rel9(F.col("lam")).alias("rel"))
-    worst_rel = g.groupBy("topic", "a", "i").agg(F.min("rel").alias("rel"))
-    worst = g.join(worst_rel, ["topic", "a", "i", "rel"]).groupBy("topic", "a", "i", "rel") \
+    # 2. bound per (topic, grid lam) in ranking order (key desc, term asc):
+    #    the worst member of each anchor set, then the best of those
+    g = sets.select("topic", "a", "term", "logprob", "loglift",
+                    F.posexplode(F.array(*[F.lit(x) for x in grid])).alias("i", "lam"))
+    g = g.select("topic", "a", "i", "term", rank_key(rel(F.col("lam"))).alias("k"))
+    worst_k = g.groupBy("topic", "a", "i").agg(F.min("k").alias("k"))
+    worst = g.join(worst_k, ["topic", "a", "i", "k"]).groupBy("topic", "a", "i", "k") \
         .agg(F.max("term").alias("bt"))
-    best_rel = worst.groupBy("topic", "i").agg(F.max("rel").alias("rel"))
-    bounds = worst.join(best_rel, ["topic", "i", "rel"]).groupBy("topic", "i", "rel") \
+    best_k = worst.groupBy("topic", "i").agg(F.max("k").alias("k"))
+    bounds = worst.join(best_k, ["topic", "i", "k"]).groupBy("topic", "i", "k") \
         .agg(F.min("bt").alias("bt"))
     wide = bounds.groupBy("topic").pivot("i", list(range(steps + 1))).agg(
-        F.first("rel").alias("b"), F.first("bt").alias("t"))
-    # 3. survivors: reach the bound at some grid lam (one codegen expression)
-    hits = [F.when((rel9(F.lit(lam)) > F.col(f"{i}_b")) |
-                   ((rel9(F.lit(lam)) == F.col(f"{i}_b")) & (F.col("term") <= F.col(f"{i}_t"))), 1)
-            .otherwise(0) for i, lam in enumerate(grid)]
+        F.first("k").alias("b"), F.first("bt").alias("t"))
+    # 3. survivors: at some grid lam, key > bound or equal with term <= bound
+    hits = []
+    for i, lam in enumerate(grid):
+        k = rank_key(rel(lam))
+        hits.append(F.when((k > F.col(f"{i}_b")) | ((k == F.col(f"{i}_b")) & (F.col("term") <= F.col(f"{i}_t"))),
+                           1).otherwise(0))
     cand = base.join(F.broadcast(wide), "topic").where(F.greatest(*hits) == 1).select(*base.columns)
     # 4. exact ranking over the full grid, survivors only
     full = cand.select("*", F.explode(F.array(*[F.lit(x) for x in grid])).alias("lam"))
-    w2 = Window.partitionBy("topic", "lam").orderBy(F.desc(rel9(F.col("lam"))), "term")
+    w2 = Window.partitionBy("topic", "lam").orderBy(F.desc(rank_key(rel(F.col("lam")))), "term")
     top = full.withColumn("_rk", F.row_number().over(w2)).where(F.col("_rk") <= r)
     return top.drop("lam", "_rk").dropDuplicates(["topic", "term"])
 

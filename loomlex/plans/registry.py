@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomlex.functions import text as X
 from loomlex.operators import tokens as TK
+from loomlex.operators import topicviews as TV
 from loomlex.operators import weights as WT
 from loomlex.plans import sqlparts as Q
 from loomlex.session import read_table
@@ -236,7 +237,7 @@ def top_terms_per_doc(spark: SparkSession, sf: str, n: int = 5) -> DataFrame:
     c = TK.build_corpus(_scan_docs(spark, sf))
     w = WT.tfidf(c.bow, c.n_docs)
     w = w.join(c.dictionary.select("token_id", "term"), "token_id")
-    rank = Window.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 9)), "term")
+    rank = Window.partitionBy("doc_id").orderBy(F.desc(TV.rank_key(F.col("weight"))), "term")
     return w.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n) \
         .select("doc_id", "rank", "term", F.round("weight", 6).alias("weight"))
 
@@ -244,7 +245,7 @@ def top_terms_per_doc(spark: SparkSession, sf: str, n: int = 5) -> DataFrame:
 TOP_TERMS_SQL = f"""
 WITH {Q.corpus_ctes()},
 r AS (SELECT doc_id, term, weight,
-             row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS rank
+             row_number() OVER (PARTITION BY doc_id ORDER BY floor(weight * 1e9 + 0.5) DESC, term) AS rank
       FROM tfidf)
 SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, round(weight, 6) AS weight FROM r WHERE rank <= 5
 """

@@ -49,7 +49,7 @@ rb AS (SELECT topic, term, phi, ttf, tot, ln(phi) AS logprob, ln(phi / pw) AS lo
 lams AS (SELECT i / 100.0 AS lam FROM range(0, 101) t(i)),
 relg AS (SELECT topic, term, ttf, tot, logprob, loglift,
                 row_number() OVER (PARTITION BY topic, lam
-                   ORDER BY round(CAST(lam AS DOUBLE) * logprob + (1 - CAST(lam AS DOUBLE)) * loglift, 9) DESC, term) AS rk
+                   ORDER BY floor((CAST(lam AS DOUBLE) * logprob + (1 - CAST(lam AS DOUBLE)) * loglift) * 1e9 + 0.5) DESC, term) AS rk
          FROM rb, lams),
 rel AS (SELECT DISTINCT topic, term, ttf, tot, logprob, loglift FROM relg WHERE rk <= 30),
 sal AS (SELECT term, tot, saliency,
@@ -193,6 +193,12 @@ FROM pairs GROUP BY topic_a, topic_b
 """
 
 
+def _labelled_phi(spark, sf, label: str = LABEL):
+    c = TK.build_corpus(_scan_docs(spark, sf))
+    phi, _, labels = TV.labelled_model(c.tf, docs(spark, sf).select("doc_id", label), label)
+    return phi, labels.count()
+
+
 def _js(spark, sf):
     st, phi = labelled_stats(spark, sf)
     return TV.js_distances(phi, st.n_topics), st
@@ -200,8 +206,9 @@ def _js(spark, sf):
 
 @query("m13_js_distances", _JS_SQL)
 def m13(spark, sf):
-    js, _ = _js(spark, sf)
-    return js.select("topic_a", "topic_b", F.round("js", 9).alias("js"))
+    # the distances need only phi and K (the label count), not the summaries
+    phi, k = _labelled_phi(spark, sf)
+    return TV.js_distances(phi, k).select("topic_a", "topic_b", F.round("js", 9).alias("js"))
 
 
 @query("j9_topic_pairs", _JS_SQL)
