@@ -102,12 +102,19 @@ def rank_key(x: Column, decimals: int = 9) -> Column:
 
 
 def relevant_terms(base: DataFrame, r: int = SUMMARY_TERMS,
-                   steps: int = RELEVANCE_STEPS, anchors: int = 4) -> DataFrame:
+                   steps: int = RELEVANCE_STEPS, prune: bool = False,
+                   anchors: int = 4) -> DataFrame:
     """T5: per topic the distinct union over lam = i/steps (i = 0..steps)
     of the top-r terms by relevance (ranked by :func:`rank_key`, ties by
     term).
 
-    Exact pruning before the full grid: for any fixed set S of r terms, the
+    Default plan: every (topic, term) row is expanded over the grid inside
+    its task and ranked with a window whose group limit runs before the
+    shuffle (partial ``WindowGroupLimit``), so only r rows per task and
+    (topic, lam) are shuffled whatever the vocabulary size.
+
+    ``prune=True`` adds an exact pruning pass first (worth it when K x V is
+    very large and few terms can ever rank): for any fixed set S of r terms, the
     r-th best (key, term) at lam is no worse than the worst member of S at
     lam.  The top-r sets at ``anchors + 1`` evenly spaced anchor lams give,
     for every grid lam, the bound = the best of those worst members (K x
@@ -115,14 +122,24 @@ def relevant_terms(base: DataFrame, r: int = SUMMARY_TERMS,
     never be in a top-r; only survivors are expanded over the grid and
     ranked, so the result equals ranking the full grid.
     """
-    base = cut_lineage(base.select("topic", "term", "phi", "ttf", "tot", "logprob", "loglift"))
     grid = [i / steps for i in range(steps + 1)]
-    anchor_lams = sorted({grid[round(j * steps / anchors)] for j in range(anchors + 1)})
 
     def rel(lam) -> Column:
         one_minus = (1 - lam) if isinstance(lam, float) else (F.lit(1.0) - lam)
         return lam * F.col("logprob") + one_minus * F.col("loglift")
 
+    def rank_grid(rows: DataFrame) -> DataFrame:
+        full = rows.select("*", F.explode(F.array(*[F.lit(x) for x in grid])).alias("lam"))
+        w2 = Window.partitionBy("topic", "lam").orderBy(F.desc(rank_key(rel(F.col("lam")))), "term")
+        top = full.withColumn("_rk", F.row_number().over(w2)).where(F.col("_rk") <= r)
+        return top.drop("lam", "_rk").dropDuplicates(["topic", "term"])
+
+    cols = ["topic", "term", "phi", "ttf", "tot", "logprob", "loglift"]
+    if not prune:
+        return rank_grid(base.select(*cols))
+    base = cut_lineage(base.select(*cols))
+    anchor_lams = sorted({grid[round(j * steps / anchors)] for j in range(anchors + 1)})
+
     # 1. any r-term set per anchor gives a valid bound: rank on the raw value
     anc = base.select("topic", "term", "logprob", "loglift",
                       F.explode(F.array(*[F.lit(a) for a in anchor_lams])).alias("a"))
@@ -150,10 +167,7 @@ def relevant_terms(base: DataFrame, r: int = SUMMARY_TERMS,
                            1).otherwise(0))
     cand = base.join(F.broadcast(wide), "topic").where(F.greatest(*hits) == 1).select(*base.columns)
     # 4. exact ranking over the full grid, survivors only
-    full = cand.select("*", F.explode(F.array(*[F.lit(x) for x in grid])).alias("lam"))
-    w2 = Window.partitionBy("topic", "lam").orderBy(F.desc(rank_key(rel(F.col("lam")))), "term")
-    top = full.withColumn("_rk", F.row_number().over(w2)).where(F.col("_rk") <= r)
-    return top.drop("lam", "_rk").dropDuplicates(["topic", "term"])
+    return rank_grid(cand)
 
 
 def topic_info(st: TopicStats, r: int = SUMMARY_TERMS, steps: int = RELEVANCE_STEPS) -> DataFrame:

@@ -74,3 +74,10 @@ def test_line_job_em(spark):
     out = line_topic_job(docs, k=3, max_iter=2, seed=5)
     sums = out["topic_terms"].groupBy("topic").agg(F.sum("p").alias("s")).collect()
     assert len(sums) == 3 and all(abs(r.s - 1) < 1e-6 for r in sums)
+
+
+def test_relevance_pruned_equals_direct(job):
+    base = TV.relevance_base(job["stats"])
+    a = {tuple(r) for r in TV.relevant_terms(base).select("topic", "term").collect()}
+    b = {tuple(r) for r in TV.relevant_terms(base, prune=True).select("topic", "term").collect()}
+    assert a == b and len(a) >= 30
