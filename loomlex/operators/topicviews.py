@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomlex.functions.constants import RELEVANCE_STEPS, SUMMARY_TERMS
 from loomlex.operators.ids import dense_ids
+from loomlex.operators.joins import bounded_broadcast
 from loomlex.session import cut_lineage
 
 
@@ -50,7 +51,9 @@ def topic_stats(topic_term: DataFrame, doc_topic: DataFrame, lengths: DataFrame)
     # summary below reads them several times.
     topics = cut_lineage(topic_proportions(doc_topic, lengths))
     k = topics.count()
-    ttf = topic_term.join(F.broadcast(topics.select("topic", "tfreq", "proportion")), "topic") \
+    # K rows (K counted above): broadcast only under the checked bound
+    ttf = topic_term.join(bounded_broadcast(topics.select("topic", "tfreq", "proportion"),
+                                            known_rows=k), "topic") \
         .select("topic", "term", F.col("p").alias("phi"),
                 (F.col("p") * F.col("tfreq")).alias("ttf"), "proportion")
     ttf = cut_lineage(ttf)
@@ -165,7 +168,7 @@ def relevant_terms(base: DataFrame, r: int = SUMMARY_TERMS,
         k = rank_key(rel(lam))
         hits.append(F.when((k > F.col(f"{i}_b")) | ((k == F.col(f"{i}_b")) & (F.col("term") <= F.col(f"{i}_t"))),
                            1).otherwise(0))
-    cand = base.join(F.broadcast(wide), "topic").where(F.greatest(*hits) == 1).select(*base.columns)
+    cand = base.join(bounded_broadcast(wide), "topic").where(F.greatest(*hits) == 1).select(*base.columns)
     # 4. exact ranking over the full grid, survivors only
     return rank_grid(cand)
 
@@ -183,7 +186,7 @@ def topic_info(st: TopicStats, r: int = SUMMARY_TERMS, steps: int = RELEVANCE_ST
         (F.lit(r + 1) - F.col("_rk")).cast("double").alias("loglift"))
     base = relevance_base(st)
     rel = relevant_terms(base, r, steps).join(
-        F.broadcast(st.topics.select("topic", "new_topic")), "topic")
+        bounded_broadcast(st.topics.select("topic", "new_topic"), known_rows=st.n_topics), "topic")
     per_topic = rel.select(
         F.concat(F.lit("Topic"), F.col("new_topic").cast("string")).alias("category"), "term",
         F.col("ttf").alias("freq"), F.col("tot").alias("total"),
@@ -196,7 +199,7 @@ def token_table(st: TopicStats, info: DataFrame) -> DataFrame:
     ``freq = round_half_even(ttf) / tot``; columns term, topic, freq."""
     shown = info.select("term").distinct()
     t = st.ttf.join(shown, "term", "left_semi").where(F.col("ttf") >= 0.5) \
-        .join(F.broadcast(st.topics.select("topic", "new_topic")), "topic") \
+        .join(bounded_broadcast(st.topics.select("topic", "new_topic"), known_rows=st.n_topics), "topic") \
         .join(st.terms.select("term", "tot"), "term")
     return t.select("term", F.col("new_topic").alias("topic"),
                     (F.bround("ttf", 0) / F.col("tot")).alias("freq"))
@@ -278,11 +281,12 @@ def labelled_model(bow_terms: DataFrame, docs: DataFrame, label_col: str):
     ``bow_terms`` = (doc_id, term, tf). Returns (topic_term, doc_topic,
     labels) where labels = (label, topic)."""
     labels = dense_ids(docs.select(label_col).distinct(), [label_col], "topic")
-    dl = docs.select("doc_id", label_col).join(F.broadcast(labels), label_col)
+    n_labels = labels.count()
+    dl = docs.select("doc_id", label_col).join(bounded_broadcast(labels, known_rows=n_labels), label_col)
     counts = bow_terms.join(dl.select("doc_id", "topic"), "doc_id") \
         .groupBy("topic", "term").agg(F.sum("tf").alias("n"))
     totals = counts.groupBy("topic").agg(F.sum("n").alias("_tot"))
-    phi = counts.join(F.broadcast(totals), "topic").select(
+    phi = counts.join(bounded_broadcast(totals, known_rows=n_labels), "topic").select(
         "topic", "term", (F.col("n") / F.col("_tot")).alias("p"))
     theta = dl.select("doc_id", "topic", F.lit(1.0).alias("p"))
     return phi, theta, labels

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomlex.functions import text as X
 from loomlex.functions.constants import RARE_TRIM_STOP_WORDS
 from loomlex.operators import tokens as TK
+from loomlex.operators.joins import join_bounded
 from loomlex.plans import sqlparts as Q
 from loomlex.plans.registry import base_tokens, docs, query
 from loomlex.session import read_table
@@ -90,7 +91,7 @@ def u3(spark, sf):
     b = spark.createDataFrame([(w,) for w in CONFIG_EXCLUDE_WORDS], "word string")
     words = TK.stop_union(a, b).withColumnRenamed("word", "term")
     toks = base_tokens(spark, sf).select("term")
-    return toks.join(F.broadcast(words), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return join_bounded(toks, words, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------ A4 / F14 / F13
