@@ -245,8 +245,7 @@ def m2(spark, sf):
     """Online LDA (k=10): top-10 terms per fitted topic."""
     from loomlex.plans import topics as TM
     c, _, model = _lda(spark, sf)
-    phi = TM.topic_terms(model, c.dictionary, c.vocab_size)
-    return TV.top_terms(phi, 10).select("topic", "rank", "term", "p")
+    return TM.top_topic_terms(model, c.dictionary, 10)
 
 
 @query("m3_doc_topics")
