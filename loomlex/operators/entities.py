@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomlex.functions.constants import PUNCTUATION
 from loomlex.operators.ids import first_seen_ids
 from loomlex.operators.joins import join_bounded
-from loomlex.session import cut_lineage
+from loomlex.session import cut_lineage, ship_package
 
 # A token is a run of characters that are neither ASCII whitespace nor ASCII
 # punctuation, or a single ASCII punctuation mark.
@@ -72,6 +72,7 @@ def _tokenize_batches(batches, id_col: str, text_col: str):
 def offset_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens with character offsets, punctuation flag, W4 span end and the
     document's token count (for W5)."""
+    ship_package(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInPandas(lambda it: _tokenize_batches(it, "doc_id", "text"), TOKEN_SCHEMA)
 

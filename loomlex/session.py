@@ -38,6 +38,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -64,6 +65,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by Python workers (needed by the few
+    ``mapInPandas`` / UDF steps): the package folder is distributed with
+    ``SparkContext.addFile`` and the SparkFiles root is on every Python
+    worker's path.  Done once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    try:
+        sc.addFile(os.path.dirname(os.path.abspath(__file__)), recursive=True)
+    except Exception as e:  # noqa: BLE001 - already registered is fine
+        if "already" not in str(e).lower():
+            raise
+    _SHIPPED.add(sc.applicationId)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` to the shared checkpoint folder (survives executor
     loss, unlike caching) and return a DataFrame reading it back."""

@@ -17,6 +17,7 @@ from loomlex.functions import text as X
 from loomlex.functions.constants import (CONFIG_EXCLUDE_FORMATS, EXTRACTABLE_SUFFIXES,
                                          MARKUP_SUFFIXES)
 from loomlex.operators.joins import join_bounded
+from loomlex.session import ship_package
 
 TEXT_SUFFIXES = [".txt", ".TXT"]
 
@@ -139,6 +140,7 @@ def extract_text(df: DataFrame, extractors: dict[str, Extractor] | None = None,
     out = df.withColumn("text", native).withColumn("_plug", ~excluded_c & ~is_text & ~is_markup)
     if not extractors:
         return out.drop("_plug")
+    ship_package(df.sparkSession)
     table = dict(extractors)
     schema = out.schema
     ext_out = out.withColumn("_ext", ext)
