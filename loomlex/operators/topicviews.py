@@ -280,8 +280,9 @@ def labelled_model(bow_terms: DataFrame, docs: DataFrame, label_col: str):
 
     ``bow_terms`` = (doc_id, term, tf). Returns (topic_term, doc_topic,
     labels) where labels = (label, topic)."""
-    labels = dense_ids(docs.select(label_col).distinct(), [label_col], "topic")
-    n_labels = labels.count()
+    distinct = docs.select(label_col).distinct()
+    n_labels = distinct.count()
+    labels = dense_ids(distinct, [label_col], "topic", known_rows=n_labels)
     dl = docs.select("doc_id", label_col).join(bounded_broadcast(labels, known_rows=n_labels), label_col)
     counts = bow_terms.join(dl.select("doc_id", "topic"), "doc_id") \
         .groupBy("topic", "term").agg(F.sum("tf").alias("n"))

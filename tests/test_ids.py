@@ -20,3 +20,10 @@ def test_first_seen_ids(spark):
     df = spark.createDataFrame([("b", 1, 0), ("a", 1, 1), ("b", 0, 5), ("c", 2, 0)], "k string, o1 int, o2 int")
     got = {r.k: r.id for r in first_seen_ids(df, "k", ["o1", "o2"], "id").collect()}
     assert got == {"b": 0, "a": 1, "c": 2}
+
+
+def test_dense_ids_small_path_matches(spark):
+    df = spark.range(0, 300).select((F.col("id") * 37 % 301).alias("k"))
+    a = {r.k: r.rid for r in dense_ids(df, ["k"], "rid").collect()}
+    b = {r.k: r.rid for r in dense_ids(df, ["k"], "rid", known_rows=300).collect()}
+    assert a == b
