@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,18 +73,16 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable by Python workers (needed by the few
-    ``mapInPandas`` / UDF steps): the package folder is distributed with
-    ``SparkContext.addFile`` and the SparkFiles root is on every Python
-    worker's path.  Done once per application."""
+    """Make this package importable by Python workers (needed by the
+    ``mapInPandas`` / ``mapInArrow`` / UDF steps): the driver zips the package
+    and Spark sends it to every executor with ``addPyFile``.  Done once per
+    application; the zip is read by the driver only."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
-    try:
-        sc.addFile(os.path.dirname(os.path.abspath(__file__)), recursive=True)
-    except Exception as e:  # noqa: BLE001 - already registered is fine
-        if "already" not in str(e).lower():
-            raise
+    root = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="loomlex-ship-"), "loomlex_package")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root)))
     _SHIPPED.add(sc.applicationId)
 
 
