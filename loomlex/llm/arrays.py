@@ -64,6 +64,15 @@ def text_chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tupl
         row = end
 
 
+def joined_bytes(column: pa.Array) -> bytes:
+    """All values of a binary column without nulls, end to end."""
+    raw = column.buffers()[2]
+    if raw is None or not len(column):
+        return b""
+    offs = np.frombuffer(column.buffers()[1], dtype=np.int32)
+    return raw[int(offs[column.offset]):int(offs[column.offset + len(column)])].to_pybytes()
+
+
 def byte_class(chars: bytes) -> np.ndarray:
     """Boolean table over byte values."""
     table = np.zeros(256, dtype=bool)

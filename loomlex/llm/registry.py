@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlex.llm import decontaminate, exact_dedup, near_dedup
+from loomlex.llm import decontaminate, exact_dedup, near_dedup, substring_dedup
 from loomlex.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op2(spark, sf):
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op4_substring_dedup")
+def op4(spark, sf):
+    return substring_dedup.report(read_table(spark, sf, "documents"))
+
+
 @query("op6_near_dedup")
 def op6(spark, sf):
     return near_dedup.near_groups(read_table(spark, sf, "documents"), shingle_words=2)
