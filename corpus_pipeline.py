@@ -13,9 +13,16 @@ from loomlex.llm.common import stage
 from loomlex.llm.decontaminate import drop_contaminated
 from loomlex.llm.exact_dedup import drop_exact_copies
 from loomlex.llm.near_dedup import drop_near_copies
+from loomlex.llm.packing import pack
+from loomlex.llm.quality import keep_good
 from loomlex.session import read_table, ship_package
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
     return drop_exact_copies(docs)
@@ -31,7 +38,13 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact_dedup", exact), ("near_dedup", near), ("decontaminate", clean)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", clean),
+          ("packing", packing)]
 
 # Similarity search, a trained model and retrieval are not SQL: see tests/llm.
 ORACLE_SQL = None

@@ -153,17 +153,23 @@ def window_starts(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
+_PLACE_BITS = np.uint64(24)
+
+
 def minimiser(grams: np.ndarray, span: int) -> np.ndarray:
     """For each i: position of the smallest of grams[i:i+span], leftmost on ties.
 
-    The choice depends only on the contents of the span, so equal windows pick
-    the same relative position wherever they stand.
+    The choice depends only on the contents of the span (the upper 40 bits of its
+    hashes), so equal windows pick the same relative position wherever they stand.
     """
     n = len(grams)
     if n < span:
         return np.zeros(0, dtype=np.int64)
-    bits = np.uint64(max(int(n).bit_length(), 1))
-    packed = (grams >> bits << bits) | np.arange(n, dtype=np.uint64)
+    part = (1 << 23) + span
+    if n > part:  # very long texts, in overlapping parts
+        return np.concatenate([lo + minimiser(grams[lo:lo + part], span)
+                               for lo in range(0, n - span + 1, part - span + 1)])
+    packed = (grams >> _PLACE_BITS << _PLACE_BITS) | np.arange(n, dtype=np.uint64)
     width = 1
     while width * 2 <= span:
         packed = np.minimum(packed[:-width], packed[width:])
@@ -171,7 +177,7 @@ def minimiser(grams: np.ndarray, span: int) -> np.ndarray:
     if width < span:
         shift = span - width
         packed = np.minimum(packed[:-shift], packed[shift:])
-    return (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return (packed & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlex.llm import decontaminate, exact_dedup, near_dedup, substring_dedup
+from loomlex.llm import (
+    decontaminate, exact_dedup, html_text, near_dedup, packing, pii, quality, substring_dedup, suffix_dedup,
+    url_filter)
 from loomlex.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,22 +24,52 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_quality")
+def op1(spark, sf):
+    return quality.report(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
 @query("op2_exact_dedup", exact_dedup.SQL)
 def op2(spark, sf):
     return exact_dedup.exact_groups(read_table(spark, sf, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op3_packing")
+def op3(spark, sf):
+    return packing.pack(read_table(spark, sf, "documents"))
+
+
 @query("op4_substring_dedup")
 def op4(spark, sf):
     return substring_dedup.report(read_table(spark, sf, "documents"))
 
 
+@query("op5_suffix_dedup")
+def op5(spark, sf):
+    return suffix_dedup.report(read_table(spark, sf, "documents"))
+
+
 @query("op6_near_dedup")
 def op6(spark, sf):
     return near_dedup.near_groups(read_table(spark, sf, "documents"), shingle_words=2)
 
 
+@query("op7_url_filter", url_filter.sql())
+def op7(spark, sf):
+    return url_filter.judge(read_table(spark, sf, "pages"))
+
+
 @query("op8_decontaminate")
 def op8(spark, sf):
     return decontaminate.report(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+@query("op9_html_text")
+def op9(spark, sf):
+    return html_text.extract(read_table(spark, sf, "pages"))
+
+
+@query("op10_pii")
+def op10(spark, sf):
+    return pii.report(read_table(spark, sf, "documents"))

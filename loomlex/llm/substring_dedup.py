@@ -57,14 +57,16 @@ def windows_of(data: np.ndarray, offs: np.ndarray, window: int, gram: int):
     return first, h, at, place[at] if len(at) else at, grams
 
 
-def _sketch(window: int, gram: int, log2_cells: int):
+def sketch_anchors(find, log2_cells: int):
+    """Pack the sketch cells of all anchors of a partition, block by block.
+
+    ``find`` gives the distinct anchor hashes' occurrences of one chunk of texts.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
             for _, _, offs, data in text_chunks(batch["text"]):
-                _, _, at, place, grams = windows_of(data, offs, window, gram)
-                if len(at):
-                    found.append(grams[np.unique(place)])
+                found.append(find(data, offs))
             anchors = np.concatenate(found)
             if not len(anchors):
                 continue
@@ -105,9 +107,16 @@ def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield bitmap(*key, total)
 
 
-def repeated_cells(docs: DataFrame, window: int, gram: int, log2_cells: int) -> list[np.ndarray]:
+def word_anchors(window: int, gram: int):
+    def find(data, offs):
+        _, _, _, place, grams = windows_of(data, offs, window, gram)
+        return grams[np.unique(place)] if len(place) else np.zeros(0, np.uint64)
+    return find
+
+
+def repeated_cells(docs: DataFrame, find, log2_cells: int) -> list[np.ndarray]:
     """The two bitmaps of cells counted at least twice over all documents."""
-    packed = docs.mapInArrow(_sketch(window, gram, log2_cells), "row int, block int, once binary, more binary")
+    packed = docs.mapInArrow(sketch_anchors(find, log2_cells), "row int, block int, once binary, more binary")
     merged = (packed.repartition(partitions(docs.sparkSession), "row", "block")
               .sortWithinPartitions("row", "block")
               .mapInArrow(_merge_blocks, "row int, block int, bits binary"))
@@ -118,7 +127,7 @@ def repeated_cells(docs: DataFrame, window: int, gram: int, log2_cells: int) ->
     return maps
 
 
-def _estimated_repeated(anchors: np.ndarray, maps: list[np.ndarray], log2_cells: int) -> np.ndarray:
+def estimated_repeated(anchors: np.ndarray, maps: list[np.ndarray], log2_cells: int) -> np.ndarray:
     ok = np.ones(len(anchors), dtype=bool)
     for row, bits in enumerate(maps):
         cell = cells(anchors, row, log2_cells)
@@ -139,7 +148,7 @@ def _candidates(handle, window: int, gram: int, log2_cells: int):
                 first, h, at, place, grams = windows_of(data, offs, window, gram)
                 if not len(at):
                     continue
-                keep = _estimated_repeated(grams[place], handle.value, log2_cells)
+                keep = estimated_repeated(grams[place], handle.value, log2_cells)
                 at, place = at[keep], place[keep]
                 if not len(at):
                     continue
@@ -263,7 +272,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log2
     ``docs`` is (row_key, text).
     """
     spark = docs.sparkSession
-    maps = spark.sparkContext.broadcast(repeated_cells(docs, window, gram, log2_cells))
+    maps = spark.sparkContext.broadcast(repeated_cells(docs, word_anchors(window, gram), log2_cells))
     rows = docs.mapInArrow(_candidates(maps, window, gram, log2_cells),
                            "kind int, key long, row_key long, start long, n long, hashes binary")
     return (rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
