@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,11 +87,24 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    The files survive lost executors, cut the lineage and let later reads prune
+    columns; the application's folder goes when the application ends."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/tables"
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the shared checkpoint folder (survives executor
-    loss, unlike caching) and return a DataFrame reading it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``stage_table`` under its older name."""
+    return stage_table(df)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,8 +7,6 @@ entries and volumes (one row per directory entry / volume slot).
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +14,9 @@ from loomlex.functions import text as X
 from loomlex.functions.constants import SECTOR_BYTES
 from loomlex.operators.ids import dense_ids
 from loomlex.operators.joins import join_bounded
+from loomlex.session import stage_table
 
 _META = ["size", "mode", "addr", "mtime", "atime", "ctime", "type", "flags"]
-_view_ids = itertools.count()
 
 
 def file_catalog(raw_entries: DataFrame) -> DataFrame:
@@ -93,40 +91,72 @@ def staged_path(staging: str, image_idx: Column | str, path: Column | str) -> Co
     return F.concat_ws("/", F.lit(staging.rstrip("/")), i.cast("string"), F.regexp_replace(p, "^/+", ""))
 
 
-def full_paths(entries: DataFrame, max_depth: int = 100, key_cols: list[str] | None = None) -> DataFrame:
-    """Full path of every entry by parent->child recursion from the
-    root(s) (entries whose parent is not an entry), using a recursive CTE.
+ORPHANS = "/$OrphanFiles"
+
+
+def full_paths(entries: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
+    """Full path of every entry, by doubling the distance to an ancestor.
 
     ``entries`` = (inode, p_inode, name, is_dir [, key_cols...]); ``key_cols``
-    (e.g. image, partition) scope the inode numbers.  Returns the entries
-    with ``path`` and ``depth``; the depth bound also stops cycles."""
-    spark = entries.sparkSession
+    (e.g. image, partition) scope the inode numbers.  A root has no parent
+    number (null, negative or its own) or has an empty name and no parent entry.
+    Returns every entry once, with ``path``, ``depth`` and ``status``:
+
+    * ``ok``: below a root;
+    * ``orphan``: below an entry whose parent is missing; that entry's path is
+      ``/$OrphanFiles/<inode>/<name>``, so orphans never share a path with a root;
+    * ``cycle``: on or below a parent cycle; path and depth are null.
+
+    Only directories (inodes that are some entry's parent) take part in the
+    rounds: in each, a directory's pointer jumps to its ancestor's ancestor and
+    the paths are joined, so a tree of depth d takes log2(d) rounds.  A round
+    that brings no directory to its top leaves only cycles.
+    """
     keys = list(key_cols or [])
-    view = f"_loomlex_entries_{next(_view_ids)}"
-    entries.createOrReplaceTempView(view)
-    kc = "".join(f"{k}, " for k in keys)
-    kjoin = "".join(f" AND c.{k} = t.{k}" for k in keys)
-    kroot = "".join(f" AND p.{k} = e.{k}" for k in keys)
-    sql = f"""
-    WITH RECURSIVE tree ({kc}inode, p_inode, name, is_dir, path, depth) AS (
-      SELECT {''.join(f'e.{k}, ' for k in keys)}e.inode, e.p_inode, e.name, e.is_dir,
-             '/' AS path, 0 AS depth
-      FROM {view} e
-      WHERE NOT EXISTS (SELECT 1 FROM {view} p WHERE p.inode = e.p_inode{kroot} AND p.inode <> e.inode)
-      UNION ALL
-      SELECT {''.join(f'c.{k}, ' for k in keys)}c.inode, c.p_inode, c.name, c.is_dir,
-             CASE WHEN t.path = '/' THEN concat('/', c.name) ELSE concat(t.path, '/', c.name) END,
-             t.depth + 1
-      FROM {view} c JOIN tree t ON c.p_inode = t.inode{kjoin}
-      WHERE c.inode <> c.p_inode AND t.depth < {int(max_depth)}
-    )
-    SELECT * FROM tree"""
-    return spark.sql(sql)
+    rows = entries.select(*keys, "inode", "p_inode", "name", "is_dir")
+    ids = rows.select(*keys, F.col("inode").alias("p_inode"), F.lit(True).alias("_has")).distinct()
+    name = F.coalesce("name", F.lit(""))
+    own = (F.col("p_inode").isNull() | (F.col("p_inode") < 0) | (F.col("p_inode") == F.col("inode"))
+           | (F.col("_has").isNull() & (name == "")))
+    status = F.when(own, "ok").when(F.col("_has").isNull(), "orphan")
+    rows = rows.join(ids, [*keys, "p_inode"], "left").withColumn("status", status).select(
+        *keys, "inode", "p_inode", "name", "is_dir", "status",
+        F.when(F.col("status").isNull(), F.col("p_inode")).alias("up"),
+        F.when(F.col("status") == "ok", "")
+        .when(F.col("status") == "orphan", F.concat(F.lit(ORPHANS + "/"), F.col("inode").cast("string"), F.lit("/"), name))
+        .otherwise(F.concat(F.lit("/"), name)).alias("path"),
+        F.when(F.col("status").isNull(), 1).otherwise(0).alias("depth"))
+    rows = stage_table(rows, "paths-entries")
+    parents = rows.where("up IS NOT NULL").select(*keys, F.col("up").alias("inode")).distinct()
+    state = F.struct("up", "path", "depth", "status")
+    # an inode listed several times has one path as a parent: the smallest
+    dirs = stage_table(rows.join(parents, [*keys, "inode"], "left_semi").groupBy(*keys, "inode")
+                       .agg(F.min(state).alias("_s")).select(*keys, "inode", "_s.*"), "paths-dirs")
+    left = dirs.where("up IS NOT NULL").count()
+    while left:
+        above = dirs.select(*keys, F.col("inode").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"),
+                            F.col("depth").alias("depth2"), F.col("status").alias("status2"))
+        moved = dirs.where("up IS NOT NULL").join(above, [*keys, "up"]).select(
+            *keys, "inode", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"),
+            (F.col("depth") + F.col("depth2")).alias("depth"), F.col("status2").alias("status"))
+        dirs = stage_table(dirs.where("up IS NULL").unionByName(moved), "paths-dirs")
+        before, left = left, dirs.where("up IS NOT NULL").count()
+        if left == before:
+            break
+    top = dirs.where("up IS NULL").select(*keys, F.col("inode").alias("up"), F.col("path").alias("_path"),
+                                          F.col("depth").alias("_depth"), F.col("status").alias("_status"))
+    out = rows.join(top, [*keys, "up"], "left")
+    path = F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("_path", "path"))
+    return out.select(
+        *keys, "inode", "p_inode", "name", "is_dir", F.when(path == "", "/").otherwise(path).alias("path"),
+        F.when(F.col("up").isNull(), F.col("depth")).otherwise(F.col("_depth") + F.col("depth")).alias("depth"),
+        F.coalesce("status", "_status", F.lit("cycle")).alias("status"))
 
 
 def inode_of(paths: DataFrame, tree: DataFrame, path_col: str = "path") -> DataFrame:
-    """Inode for each requested path, -1 when the path does not exist."""
-    t = tree.select(F.col("path").alias(path_col), "inode")
+    """Inode for each requested path, -1 when the path does not exist; the
+    smallest inode if entries (say, a deleted and a live one) share a path."""
+    t = tree.where(F.col("path").isNotNull()).groupBy(F.col("path").alias(path_col)).agg(F.min("inode").alias("inode"))
     return paths.join(t, path_col, "left").withColumn("inode", F.coalesce("inode", F.lit(-1).cast("bigint")))
 
 

@@ -17,10 +17,37 @@ def test_full_paths_and_inodes(spark):
     assert got == {"/a/x.txt": 4, "/none": -1}
 
 
-def test_cycle_is_bounded(spark):
-    e = spark.createDataFrame([(1, 0, "", True), (2, 3, "a", True), (3, 2, "b", True)],
-                              "inode bigint, p_inode bigint, name string, is_dir boolean")
-    assert CT.full_paths(e, max_depth=5).count() == 1
+ENTRY = "inode bigint, p_inode bigint, name string, is_dir boolean"
+
+
+def test_cycles_and_orphans_are_flagged(spark):
+    e = spark.createDataFrame([(1, 0, "", True), (2, 3, "a", True), (3, 2, "b", True), (4, 3, "below", False),
+                               (5, 99, "lost", False), (6, 98, "lost", True), (7, 6, "in", False)], ENTRY)
+    got = {r.inode: (r.path, r.depth, r.status) for r in CT.full_paths(e).collect()}
+    assert got == {1: ("/", 0, "ok"), 2: (None, None, "cycle"), 3: (None, None, "cycle"), 4: (None, None, "cycle"),
+                   5: ("/$OrphanFiles/5/lost", 0, "orphan"), 6: ("/$OrphanFiles/6/lost", 0, "orphan"),
+                   7: ("/$OrphanFiles/6/lost/in", 1, "orphan")}
+
+
+def test_deep_chain(spark):
+    rows = [(0, -1, "", True)] + [(i, i - 1, f"d{i}", True) for i in range(1, 501)]
+    tree = CT.full_paths(spark.createDataFrame(rows, ENTRY))
+    last = tree.where("inode = 500").first()
+    assert tree.count() == 501 and last.depth == 500 and last.status == "ok"
+    assert last.path == "".join(f"/d{i}" for i in range(1, 501))
+
+
+def test_flat_tree_of_over_a_million_entries(spark):
+    flat = spark.range(1, 1_200_001).selectExpr("id AS inode", "0L AS p_inode", "concat('f', id) AS name", "false AS is_dir")
+    root = spark.createDataFrame([(0, -1, "", True)], ENTRY)
+    tree = CT.full_paths(root.unionByName(flat))
+    assert tree.where("status = 'ok' AND (inode = 0 OR path = concat('/f', inode))").count() == 1_200_001
+
+
+def test_keys_scope_inodes(spark):
+    e = spark.createDataFrame([(0, 2, -1, "", True), (0, 3, 2, "a", False), (1, 2, -1, "", True), (1, 3, 2, "b", False)],
+                              "image int, " + ENTRY)
+    assert sorted((r.image, r.path) for r in CT.files_only(CT.full_paths(e, ["image"])).collect()) == [(0, "/a"), (1, "/b")]
 
 
 def test_partition_catalog(spark):
