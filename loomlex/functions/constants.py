@@ -43,12 +43,6 @@ EN_STOP_WORDS = [
 # Words the shipped configuration adds to the stop list.
 CONFIG_EXCLUDE_WORDS = ["excludeme", "andme"]
 
-# Longer word list of the older configuration.
-OLD_CONFIG_EXCLUDE_WORDS = [
-    "false", "true", "other", "new", "old", "can", "will", "may", "also",
-    "shall", "even", "shall",
-]
-
 # File extensions the shipped configuration excludes (case-sensitive).
 CONFIG_EXCLUDE_FORMATS = [".jpg", ".JPG", ".mp3", ".wav"]
 
@@ -68,12 +62,6 @@ RARE_TRIM_STOP_WORDS = [
     "are", ",", "-", "|", "@", ".",
 ]
 
-# Entity types that have a surface-form histogram (``event`` has none).
-HISTOGRAM_ENTITY_TYPES = [
-    "time", "org", "person", "gpe", "date", "languages", "facility",
-    "work_of_art", "norp", "loc",
-]
-
 # Sector size used to turn a partition start sector into a byte offset.
 SECTOR_BYTES = 512
 

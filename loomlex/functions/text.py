@@ -6,6 +6,8 @@ Catalyst / whole-stage codegen; none of them is a Python UDF.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,23 +88,53 @@ COMMENT_RE = r"(?s)<!--.*?-->"
 TAG_RE = r"<[^>]*>"
 SPACE_RUN_RE = r"[ \t\n\x0B\f\r]+"
 
-# FIXED VALUES: HTML entities decoded by html_to_text, in decoding order
-# (``&amp;`` last so that ``&amp;lt;`` stays ``&lt;``).
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-]
+# One piece of a text: a run without ``&``, a whole reference, or a lone ``&``.
+REFERENCE_RE = r"[^&]+|&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|&"
+
+
+def named_references() -> dict[str, str]:
+    """HTML's named character references (from the standard library's table) and
+    ``apos``; the no-break space becomes a plain one."""
+    names = {n: chr(c) for n, c in name2codepoint.items()} | {"apos": "'"}
+    return names | {"nbsp": " "}
+
+
+def decode_text(content: ColumnOrName) -> Column:
+    """Bytes as text: UTF-8 where valid, otherwise ISO-8859-1."""
+    c = _col(content)
+    return F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(F.decode(c, "ISO-8859-1"))
+
+
+def _reference(piece: Column) -> Column:
+    """The character of a reference; anything else as it is."""
+    names = named_references()
+    table = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+    inner = F.regexp_extract(piece, "^&#?([^;]+);$", 1)
+    hexed = F.lower(F.substring(piece, 3, 1)) == "x"
+    code = F.when(hexed, F.conv(F.regexp_replace(inner, "^[xX]", ""), 16, 10)) \
+        .otherwise(inner).cast("bigint")
+    legal = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    numeric = F.when(code == 160, F.lit(" ")).when(legal, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return (F.when(~piece.rlike("^&.+;$"), piece)
+            .when(piece.startswith("&#"), F.coalesce(numeric, piece))
+            .otherwise(F.coalesce(F.try_element_at(table, inner), piece)))
+
+
+def unescape(c: ColumnOrName) -> Column:
+    """Decode numeric and named character references, once (``&amp;lt;`` gives
+    ``&lt;``); texts without ``&`` are left alone."""
+    col = _col(c)
+    pieces = F.regexp_extract_all(col, F.lit(REFERENCE_RE), F.lit(0))
+    return F.when(col.contains("&"), F.array_join(F.transform(pieces, _reference), "")).otherwise(col)
 
 
 def html_to_text(c: ColumnOrName) -> Column:
     """Drop script/style/comments, replace tags by a space, decode the
-    common entities and collapse whitespace runs to one space."""
+    character references and collapse whitespace runs to one space."""
     col = _col(c)
     for pattern in (SCRIPT_RE, STYLE_RE, COMMENT_RE):
         col = F.regexp_replace(col, pattern, " ")
-    col = F.regexp_replace(col, TAG_RE, " ")
-    for entity, char in HTML_ENTITIES:
-        col = F.replace(col, F.lit(entity), F.lit(char))
+    col = unescape(F.regexp_replace(col, TAG_RE, " "))
     return F.trim(F.regexp_replace(col, SPACE_RUN_RE, " "))
 
 

@@ -1,16 +1,18 @@
 """Entity mentions: E1-E3, A7-A10, W1, W4, W5, J8, F11, F12.
 
-Tokens with character offsets come from one vectorised pass per document
-(``mapInPandas``; Spark has no regex function that returns match offsets).
-Everything after that - tagging, filtering, counting, ids, points - is
-Spark joins and aggregates on the long token table.
+Tokens with character offsets come from one numpy pass over the bytes of an
+Arrow batch (``mapInArrow``), without a loop over tokens.  Spark's own functions
+return no match offsets; a running sum of piece lengths would give them, but
+only after shuffling and sorting every token of the corpus by document, so the
+scan is left where the text is read.  Everything after that - tagging,
+filtering, counting, ids, points - is Spark joins and aggregates on the long
+token table.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,10 @@ TOKEN_RE = WORD_RE + "|" + PUNCT_CLASS
 # FIXED VALUES: default rule tagger, (entity type, token pattern), first
 # match wins; patterns are valid in Java regex and RE2.
 ENTITY_RULES = [
+    ("DATE", r"^(January|February|March|April|May|June|July|August|September|October|November|December)$"),
+    ("DATE", r"^(Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)$"),
+    ("DATE", r"^(1[5-9]|20)[0-9]{2}$"),
+    ("TIME", r"^([01]?[0-9]|2[0-3])(am|pm|AM|PM|h)$"),
     ("ORG", r"^[A-Z]{2,}$"),
     ("CARDINAL", r"^[0-9]+$"),
     ("PERSON", r"^[A-Z][a-z]+$"),
@@ -40,57 +46,125 @@ TOKEN_SCHEMA = ("doc_id bigint, pos int, token string, char_start int, char_end
                 "is_punct boolean, span_end int, n_tokens int")
 
 
-def _tokenize_batches(batches, id_col: str, text_col: str):
-    rx = re.compile(TOKEN_RE)
-    punct = set(PUNCTUATION)
-    for pdf in batches:
-        cols = {k: [] for k in ("doc_id", "pos", "token", "char_start", "char_end",
-                                "is_punct", "span_end", "n_tokens")}
-        for doc, text in zip(pdf[id_col], pdf[text_col]):
-            if text is None:
+_KIND = np.full(256, 2, np.uint8)  # 0 blank, 1 punctuation, 2 word
+_KIND[list(b" \t\n\r\x0c\x0b")] = 0
+_KIND[list(PUNCTUATION.encode())] = 1
+
+PART_BYTES = 1 << 20
+
+
+def _token_part(doc: pa.Array, offs: np.ndarray, data: np.ndarray, ahead: int) -> pa.RecordBatch:
+    """The tokens of whole texts laid end to end (byte offsets from 0)."""
+    kind = _KIND[data]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offs] = True
+    word = kind == 2
+    before, behind = np.concatenate([[False], word[:-1]]), np.concatenate([word[1:], [False]])
+    if len(data) == 0:
+        before = behind = word
+    starts = np.flatnonzero((kind == 1) | (word & (~before | edge[:-1])))
+    ends = np.flatnonzero((kind == 1) | (word & (~behind | edge[1:]))) + 1
+    row = np.searchsorted(offs, starts, side="right") - 1
+    # characters: bytes that do not continue a UTF-8 sequence
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    base = chars[offs[row]]
+    first = np.searchsorted(row, np.arange(len(offs)))
+    n = len(starts)
+    char_end = chars[ends] - base
+    punct = kind[starts] == 1 if n else np.zeros(0, dtype=bool)
+    # The span reaches over the punctuation that follows, up to the next word or the end
+    stop = np.minimum.accumulate(np.where(punct, n, np.arange(n))[::-1])[::-1] if n else np.zeros(0, np.int64)
+    after = np.concatenate([stop[1:], [n]]) if n else stop
+    last = np.minimum(after, first[row + 1]) - 1
+    sizes = ends - starts
+    at = np.cumsum(sizes) - sizes
+    gather = np.repeat(starts - at, sizes) + np.arange(int(sizes.sum()))
+    token = pa.StringArray.from_buffers(
+        n, pa.py_buffer(np.concatenate([at, [sizes.sum()]]).astype(np.int32)), pa.py_buffer(data[gather]))
+    columns = {"doc_id": doc.take(pa.array(row)), "pos": pa.array((np.arange(n) - first[row]).astype(np.int32)),
+               "token": token, "char_start": pa.array((chars[starts] - base).astype(np.int32)),
+               "char_end": pa.array(char_end.astype(np.int32)), "is_punct": pa.array(punct),
+               "span_end": pa.array(char_end[last].astype(np.int32)),
+               "n_tokens": pa.array((first[row + 1] - first[row]).astype(np.int32))}
+    for k in range(1, ahead + 1):
+        there = np.arange(n) + k
+        ok = there < first[row + 1]
+        there = pa.array(np.minimum(there, max(n - 1, 0)), mask=~ok)
+        columns[f"next{k}"] = token.take(there)
+        columns[f"end{k}"] = columns["span_end"].take(there)
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _token_batches(ahead: int):
+    def run(batches):
+        for batch in batches:
+            text = batch["text"].cast(pa.large_string())
+            if not len(text):
                 continue
-            ms = [(m.start(), m.end(), m.group()) for m in rx.finditer(text)]
-            n = len(ms)
-            is_p = [len(t) == 1 and t in punct for _, _, t in ms]
-            # span end: extend past the punctuation tokens that follow
-            se = [0] * n
-            for i in range(n - 1, -1, -1):
-                se[i] = se[i + 1] if i + 1 < n and is_p[i + 1] else ms[i][1]
-            cols["doc_id"].extend([doc] * n)
-            cols["pos"].extend(range(n))
-            cols["token"].extend(t for _, _, t in ms)
-            cols["char_start"].extend(s for s, _, _ in ms)
-            cols["char_end"].extend(e for _, e, _ in ms)
-            cols["is_punct"].extend(is_p)
-            cols["span_end"].extend(se)
-            cols["n_tokens"].extend([n] * n)
-        yield pd.DataFrame(cols).astype({"doc_id": "int64", "pos": "int32", "char_start": "int32",
-                                         "char_end": "int32", "span_end": "int32",
-                                         "n_tokens": "int32", "is_punct": "bool"})
-
-
-def offset_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            offs = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset:text.offset + len(text) + 1]
+            raw = text.buffers()[2]
+            data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+            lo = 0
+            while lo < len(text):  # parts of whole texts, a long text by itself
+                hi = int(np.searchsorted(offs, offs[lo] + PART_BYTES, side="right")) - 1
+                hi = min(max(hi, lo + 1), len(text))
+                yield _token_part(batch["doc_id"][lo:hi], offs[lo:hi + 1] - offs[lo], data[offs[lo]:offs[hi]], ahead)
+                lo = hi
+    return run
+
+
+def offset_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ahead: int = 0) -> DataFrame:
     """Tokens with character offsets, punctuation flag, W4 span end and the
-    document's token count (for W5)."""
+    document's token count (for W5); with ``ahead``, also the next tokens of the
+    document and their span ends."""
     ship_package(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInPandas(lambda it: _tokenize_batches(it, "doc_id", "text"), TOKEN_SCHEMA)
+    d = docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    more = "".join(f", next{k} string, end{k} int" for k in range(1, ahead + 1))
+    return d.mapInArrow(_token_batches(ahead), TOKEN_SCHEMA + more)
+
+
+MAX_NAME_TOKENS = 4
 
 
 def tag_entities(tokens: DataFrame, rules: list[tuple[str, str]] = ENTITY_RULES,
                  gazetteer: DataFrame | None = None) -> DataFrame:
-    """Add ``ent_type`` ('' when untagged).  A gazetteer ``(term,
-    ent_type)`` (matched on the lowercased token, broadcast under a checked
-    bound) takes precedence over the regex rules."""
+    """Add ``ent_type`` ('' when untagged).
+
+    A gazetteer ``(term, ent_type)`` takes precedence over the rules.  Terms of
+    several tokens (``New York``) are matched where ``tokens`` carries the next
+    ones (``offset_tokens(ahead=...)``): the longest term that starts at a token
+    wins, that row's ``token`` becomes the whole name and its span reaches over
+    it.  Matching ignores case; a term listed with several types has the first
+    in alphabetical order, so no token is doubled."""
     rule = F.lit("")
     for ent_type, pattern in reversed(rules):
         rule = F.when(F.col("token").rlike(pattern), F.lit(ent_type)).otherwise(rule)
     out = tokens.withColumn("ent_type", rule)
-    if gazetteer is not None:
-        g = gazetteer.select(F.lower("term").alias("_lt"), F.col("ent_type").alias("_gt")).distinct()
-        out = join_bounded(out.withColumn("_lt", F.lower("token")), g, "_lt", "left") \
-            .withColumn("ent_type", F.coalesce("_gt", "ent_type")).drop("_lt", "_gt")
-    return out
+    if gazetteer is None:
+        return out
+    names = gazetteer.select(F.lower(F.trim(F.regexp_replace("term", r"\s+", " "))).alias("_lt"), "ent_type") \
+        .groupBy("_lt").agg(F.min("ent_type").alias("_gt"))
+    ahead = sum(c.startswith("next") for c in tokens.columns)
+    for k in range(ahead + 1):  # longer names override shorter ones
+        name = F.concat_ws(" ", "token0", *[f"next{i}" for i in range(1, k + 1)])
+        if k == 0:
+            out = out.withColumn("token0", F.col("token"))
+        last = F.col(f"next{k}").isNotNull() if k else F.lit(True)
+        out = join_bounded(out.withColumn("_lt", F.when(last, F.lower(name))), names, "_lt", "left")
+        hit = F.col("_gt").isNotNull()
+        out = out.withColumn("ent_type", F.coalesce("_gt", "ent_type"))
+        if k:
+            out = out.withColumn("token", F.when(hit, name).otherwise(F.col("token"))) \
+                .withColumn("span_end", F.when(hit, F.col(f"end{k}")).otherwise(F.col("span_end")))
+        out = out.drop("_lt", "_gt")
+    return out.select(*[c for c in tokens.columns if not c.startswith(("next", "end"))], "ent_type")
+
+
+def places(nation: DataFrame, region: DataFrame) -> DataFrame:
+    """A gazetteer of geo-political names from tables of nations and regions."""
+    return nation.select(F.col("n_name").alias("term")).union(region.select("r_name")) \
+        .select("term", F.lit("GPE").alias("ent_type"))
 
 
 def enabled(types: DataFrame) -> DataFrame:
@@ -100,15 +174,14 @@ def enabled(types: DataFrame) -> DataFrame:
 
 def keep_mentions(tagged: DataFrame, types: list[str] | DataFrame = DEFAULT_ENABLED_TYPES,
                   type_col: str = "ent_type") -> DataFrame:
-    """keep rows whose type is enabled as-is or lowercased.  A type
-    table is matched by an equi-join on both spellings (no OR join)."""
+    """keep rows whose type is enabled as-is or lowercased; every such row
+    stays, repeated ones too.  A type table is joined twice, on either spelling."""
     t = F.col(type_col)
     if isinstance(types, DataFrame):
-        allowed = types.select(F.col("ent_type").alias("_t")).distinct()
-        keyed = tagged.withColumn("_k", F.explode(F.array_distinct(F.array(t, F.lower(t)))))
-        hit = join_bounded(keyed, allowed.withColumnRenamed("_t", "_k"), "_k", "left_semi")
-        # a token can match on both spellings; keep it once
-        return hit.drop("_k").distinct()
+        allowed = types.select(F.col("ent_type").alias("_k")).distinct()
+        raw = join_bounded(tagged.withColumn("_k", t), allowed.withColumn("_raw", F.lit(True)), "_k", "left")
+        both = join_bounded(raw.withColumn("_k", F.lower(t)), allowed.withColumn("_low", F.lit(True)), "_k", "left")
+        return both.where(F.coalesce("_raw", "_low", F.lit(False))).drop("_k", "_raw", "_low")
     allowed = list(types)
     return tagged.where(t.isin(allowed) | F.lower(t).isin(allowed))
 
@@ -122,8 +195,14 @@ def mentions(docs: DataFrame, types: list[str] | DataFrame = DEFAULT_ENABLED_TYP
              rules: list[tuple[str, str]] = ENTITY_RULES, gazetteer: DataFrame | None = None,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents -> tagged tokens -> enabled mentions (last token
-    dropped).  Columns: doc_id, pos, token, ent_type, char_start, span_end."""
-    tagged = tag_entities(offset_tokens(docs, id_col, text_col), rules, gazetteer)
+    dropped).  Documents given as bytes (``content`` without a text column) that
+    are not valid UTF-8 are skipped (N8).
+    Columns: doc_id, pos, token, ent_type, char_start, span_end."""
+    if text_col not in docs.columns and "content" in docs.columns:
+        docs = docs.where(F.is_valid_utf8(F.col("content").cast("string"))) \
+            .withColumn(text_col, F.col("content").cast("string"))
+    ahead = 0 if gazetteer is None else MAX_NAME_TOKENS - 1
+    tagged = tag_entities(offset_tokens(docs, id_col, text_col, ahead), rules, gazetteer)
     m = keep_mentions(drop_last(tagged), types)
     return m.select("doc_id", "pos", "token", "ent_type", "char_start", "span_end")
 
@@ -143,11 +222,13 @@ def entity_type_counts(m: DataFrame, docs: DataFrame,
 
     A pivot over the fixed type list plus a left join from all documents
     gives the zero rows without a documents x types cross join."""
+    names = list(types)
     keyed = m.select("doc_id", F.lower("ent_type").alias("t"))
-    wide = keyed.groupBy("doc_id").pivot("t", list(types)).count()
+    wide = keyed.groupBy("doc_id").pivot("t", sorted({t.lower() for t in names})).count()
     full = docs.select("doc_id").distinct().join(wide, "doc_id", "left")
-    stack = ", ".join(f"'{t}', coalesce(`{t}`, 0L)" for t in types)
-    return full.select("doc_id", F.expr(f"stack({len(types)}, {stack}) AS (ent_type, n)"))
+    pairs = F.array(*[F.struct(F.lit(t).alias("ent_type"), F.coalesce(F.col(f"`{t.lower()}`"), F.lit(0)).alias("n"))
+                      for t in names])
+    return full.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.ent_type", "x.n")
 
 
 def entity_histogram(m: DataFrame, surface_col: str = "token") -> DataFrame:

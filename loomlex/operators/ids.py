@@ -16,24 +16,15 @@ from loomlex.session import cut_lineage, shuffle_partitions
 
 _LOW_BITS = (1 << 33) - 1
 
-# Row bound under which a plain global row_number is used instead: the whole
-# input then fits one task comfortably.
-SMALL_ROWS = 100_000
-
-
 def dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id",
-              num_partitions: int | None = None, known_rows: int | None = None) -> DataFrame:
+              num_partitions: int | None = None) -> DataFrame:
     """Add ``id_col`` = 0-based position of each row in ``order_cols`` order.
 
     ``order_cols`` must identify rows uniquely (ties would get arbitrary
     consecutive ids).  The range-partitioned, locally numbered rows are
-    checkpointed so that the partition sizes and the local numbers always
+    staged so that the partition sizes and the local numbers always
     describe the same layout, even if executors are lost later.
     """
-    if known_rows is not None and known_rows <= SMALL_ROWS:
-        # proven small: one ordered window over at most SMALL_ROWS rows
-        w = Window.orderBy(*order_cols)
-        return df.withColumn(id_col, (F.row_number().over(w) - 1).cast("bigint"))
     n = num_partitions or shuffle_partitions(df.sparkSession)
     ranged = (df.repartitionByRange(n, *order_cols)
                 .sortWithinPartitions(*order_cols)

@@ -1,26 +1,42 @@
-"""Join helpers: broadcast only behind a checked size bound."""
+"""Join helpers: broadcast only behind a measured size bound."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Row bound under which a join side is sent to every executor.  Sides above
-# it are joined with a shuffle (AQE still splits skewed partitions).
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# A side of at most this many bytes (rows without compression) is sent to every
+# executor.  Larger sides are joined with a shuffle (AQE splits skewed partitions).
+MAX_BROADCAST_BYTES = 64 << 20
 
+# Rows of tables whose length is a model or configuration parameter (topics,
+# labels, types) and is known without counting.
+FEW_ROWS = 10_000
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      known_rows: int | None = None) -> DataFrame:
-    """Return ``broadcast(df)`` when it has at most ``max_rows`` rows, else
-    ``df`` unchanged.  Counting reads only the row count (no columns)."""
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of all rows: variable-length columns by their bytes, others by 8 each.
+    One aggregate with a partial sum per task."""
+    wide = [f for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    other = [f for f in df.schema.fields if f not in wide]
+    if any(isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType) for f in other):
+        return MAX_BROADCAST_BYTES + 1  # nested columns are not measured: shuffle
+    row = F.lit(16 + 8 * len(other))
+    for f in wide:
+        row = row + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 8
+    return int(df.agg(F.sum(row.cast("long"))).first()[0] or 0)
+
+
+def bounded_broadcast(df: DataFrame, known_rows: int | None = None) -> DataFrame:
+    """``broadcast(df)`` if its length is known to be small or its measured bytes
+    are within the bound, else ``df`` unchanged."""
+    if known_rows is not None and known_rows <= FEW_ROWS:
+        return F.broadcast(df)
+    return F.broadcast(df) if measured_bytes(df) <= MAX_BROADCAST_BYTES else df
 
 
 def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = DEFAULT_BROADCAST_ROWS,
                  known_rows: int | None = None) -> DataFrame:
-    """Join ``big`` with ``small``, broadcasting ``small`` only when its row
-    count is proven to be under ``max_rows``."""
-    return big.join(bounded_broadcast(small, max_rows, known_rows), on, how)
+    """Join ``big`` with ``small``, broadcasting ``small`` only behind the bound."""
+    return big.join(bounded_broadcast(small, known_rows), on, how)

@@ -17,7 +17,7 @@ from loomlex.functions.constants import CONFIG_EXCLUDE_WORDS, EN_STOP_WORDS
 from loomlex.functions.text import prepare, tokenize
 from loomlex.operators.ids import dense_ids
 from loomlex.operators.joins import join_bounded
-from loomlex.session import cut_lineage
+from loomlex.session import stage_table
 
 
 def default_stop_words(extra: list[str] | None = None) -> list[str]:
@@ -49,9 +49,12 @@ def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def explode_tokens(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """One row per token with its 0-based position."""
+    """One row per token with its 0-based position.
+
+    The outer explode keeps Catalyst from inferring ``size(tokens) > 0`` and
+    evaluating the whole token expression a second time below the filter."""
     others = [c for c in df.columns if c != tokens_col]
-    return df.select(*others, F.posexplode(tokens_col).alias("pos", "term"))
+    return df.select(*others, F.posexplode_outer(tokens_col).alias("pos", "term")).where("pos IS NOT NULL")
 
 
 def drop_stopwords(df: DataFrame, words: list[str] | DataFrame, col: str = "term",
@@ -95,7 +98,10 @@ def term_freq(df: DataFrame) -> DataFrame:
 
 
 def drop_rare(df: DataFrame, min_cf: int = 2) -> DataFrame:
-    """Drop tokens whose corpus frequency is below ``min_cf``."""
+    """Drop tokens whose corpus frequency is below ``min_cf``.
+
+    The tokens are read twice (count and filter), so they are staged first."""
+    df = stage_table(df, "tokens")
     keep = term_freq(df).where(F.col("cf") >= min_cf).select("term")
     return df.join(keep, "term", "left_semi")
 
@@ -150,12 +156,12 @@ def build_corpus(docs: DataFrame, stop_words: list[str] | DataFrame | None = Non
 
     F3 is applied before the count because it only looks at the token itself,
     so it commutes with F2 and prunes rows before the shuffle.  ``tf`` is
-    checkpointed once: the dictionary and the bag of words both read it.
+    staged once: the dictionary and the bag of words both read it.
     """
     words = default_stop_words() if stop_words is None else stop_words
     toks = explode_tokens(doc_tokens(docs, id_col, text_col, keep_unicode))
     toks = min_length(drop_stopwords(toks.select("doc_id", "term"), words), min_len)
-    tf_all = cut_lineage(term_counts(toks))
+    tf_all = stage_table(term_counts(toks), "term-counts")
     stats = term_stats(tf_all).where(F.col("cf") >= min_cf)
     dictionary = assign_token_ids(stats)
     vocab = dictionary.count()
@@ -175,7 +181,7 @@ def count_words(df: DataFrame, id_cols: str | list[str], text_col: str = "text")
     """A4: per document a ``MAP<term, count>`` of lowercased whitespace
     tokens (built from a grouped count, never a per-row Python dict)."""
     ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    toks = df.select(*ids, F.explode(tokenize(text_col)).alias("term"))
+    toks = df.select(*ids, F.explode_outer(tokenize(text_col)).alias("term")).where("term IS NOT NULL")
     counts = toks.groupBy(*ids, "term").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(*ids).agg(
         F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("counts"))
@@ -191,19 +197,21 @@ def map_drop_keys(m: Column | str, words: list[str]) -> Column:
 def trim_rare(tokens: DataFrame, group_col: str, threshold: int = 2,
               words: list[str] | None = None) -> DataFrame:
     """per group (file), keep tokens seen at least ``threshold`` times
-    in that group and not in ``words``.
-
-    With only ``(group, term)`` columns the kept tokens are rebuilt from the
-    grouped counts (one pass, no join back); richer token rows are
-    semi-joined to the kept ``(group, term)`` pairs."""
+    in that group and not in ``words``: the token rows, semi-joined to the kept
+    ``(group, term)`` pairs."""
     t = tokens if not words else drop_stopwords(tokens, words)
-    counts = t.groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("_n")) \
-        .where(F.col("_n") >= threshold)
-    if set(tokens.columns) == {group_col, "term"}:
-        return counts.select(group_col, F.explode(F.array_repeat("term", F.col("_n").cast("int"))).alias("term"))
+    counts = trimmed_counts(t, group_col, threshold)
     return t.join(counts.select(group_col, "term"), [group_col, "term"], "left_semi")
 
 
+def trimmed_counts(tokens: DataFrame, group_col: str, threshold: int = 2,
+                   words: list[str] | None = None) -> DataFrame:
+    """F13 as counts: ``(group, term, n)`` of the kept tokens, one row each
+    however often a term is repeated."""
+    t = tokens if not words else drop_stopwords(tokens, words)
+    return t.groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold)
+
+
 def union_docs(*dfs: DataFrame) -> DataFrame:
     """Concatenate document collections (by column name)."""
     out = dfs[0]

@@ -12,13 +12,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlex.functions.constants import RELEVANCE_STEPS, SUMMARY_TERMS
 from loomlex.operators.ids import dense_ids
 from loomlex.operators.joins import bounded_broadcast
-from loomlex.session import cut_lineage
+from loomlex.session import cut_lineage, stage_table
 
 
 def _ln(c: Column) -> Column:
@@ -104,73 +106,62 @@ def rank_key(x: Column, decimals: int = 9) -> Column:
     return F.floor(x * F.lit(float(10 ** decimals)) + F.lit(0.5))
 
 
-def relevant_terms(base: DataFrame, r: int = SUMMARY_TERMS,
-                   steps: int = RELEVANCE_STEPS, prune: bool = False,
-                   anchors: int = 4) -> DataFrame:
+ANCHORS = 4
+
+
+def relevant_terms(base: DataFrame, r: int = SUMMARY_TERMS, steps: int = RELEVANCE_STEPS,
+                   anchors: int = ANCHORS) -> DataFrame:
     """T5: per topic the distinct union over lam = i/steps (i = 0..steps)
     of the top-r terms by relevance (ranked by :func:`rank_key`, ties by
     term).
 
-    Default plan: every (topic, term) row is expanded over the grid inside
-    its task and ranked with a window whose group limit runs before the
-    shuffle (partial ``WindowGroupLimit``), so only r rows per task and
-    (topic, lam) are shuffled whatever the vocabulary size.
-
-    ``prune=True`` adds an exact pruning pass first (worth it when K x V is
-    very large and few terms can ever rank): for any fixed set S of r terms, the
-    r-th best (key, term) at lam is no worse than the worst member of S at
-    lam.  The top-r sets at ``anchors + 1`` evenly spaced anchor lams give,
-    for every grid lam, the bound = the best of those worst members (K x
-    (steps+1) rows, broadcast).  A term below the bound at every grid lam can
-    never be in a top-r; only survivors are expanded over the grid and
-    ranked, so the result equals ranking the full grid.
-    """
+    Relevance is linear in lam, which prunes exactly before the grid is
+    expanded.  Let S be a topic's top-r terms at an anchor a, and b the next
+    anchor.  The worst member of S is a concave function of lam, so a term that
+    is below it at a and at b is below r terms everywhere between, and cannot
+    rank there.  Only terms that reach it at either end of some interval
+    (``anchors`` intervals, two thresholds each per topic) are expanded over the
+    grid and ranked; the partial group limit then sends r rows per task and
+    (topic, lam) to the shuffle."""
     grid = [i / steps for i in range(steps + 1)]
+    ends = sorted({grid[round(j * steps / anchors)] for j in range(anchors + 1)})
+    base = stage_table(base.select("topic", "term", "phi", "ttf", "tot", "logprob", "loglift"), "relevance")
 
     def rel(lam) -> Column:
         one_minus = (1 - lam) if isinstance(lam, float) else (F.lit(1.0) - lam)
         return lam * F.col("logprob") + one_minus * F.col("loglift")
 
-    def rank_grid(rows: DataFrame) -> DataFrame:
-        full = rows.select("*", F.explode(F.array(*[F.lit(x) for x in grid])).alias("lam"))
-        w2 = Window.partitionBy("topic", "lam").orderBy(F.desc(rank_key(rel(F.col("lam")))), "term")
-        top = full.withColumn("_rk", F.row_number().over(w2)).where(F.col("_rk") <= r)
-        return top.drop("lam", "_rk").dropDuplicates(["topic", "term"])
-
-    cols = ["topic", "term", "phi", "ttf", "tot", "logprob", "loglift"]
-    if not prune:
-        return rank_grid(base.select(*cols))
-    base = cut_lineage(base.select(*cols))
-    anchor_lams = sorted({grid[round(j * steps / anchors)] for j in range(anchors + 1)})
-
-    # 1. any r-term set per anchor gives a valid bound: rank on the raw value
-    anc = base.select("topic", "term", "logprob", "loglift",
-                      F.explode(F.array(*[F.lit(a) for a in anchor_lams])).alias("a"))
-    w = Window.partitionBy("topic", "a").orderBy(F.desc(rel(F.col("a"))), "term")
-    sets = anc.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= r) \
-        .select("topic", "a", "term", "logprob", "loglift")
-    # 2. bound per (topic, grid lam) in ranking order (key desc, term asc):
-    #    the worst member of each anchor set, then the best of those
-    g = sets.select("topic", "a", "term", "logprob", "loglift",
-                    F.posexplode(F.array(*[F.lit(x) for x in grid])).alias("i", "lam"))
-    g = g.select("topic", "a", "i", "term", rank_key(rel(F.col("lam"))).alias("k"))
-    worst_k = g.groupBy("topic", "a", "i").agg(F.min("k").alias("k"))
-    worst = g.join(worst_k, ["topic", "a", "i", "k"]).groupBy("topic", "a", "i", "k") \
-        .agg(F.max("term").alias("bt"))
-    best_k = worst.groupBy("topic", "i").agg(F.max("k").alias("k"))
-    bounds = worst.join(best_k, ["topic", "i", "k"]).groupBy("topic", "i", "k") \
-        .agg(F.min("bt").alias("bt"))
-    wide = bounds.groupBy("topic").pivot("i", list(range(steps + 1))).agg(
-        F.first("k").alias("b"), F.first("bt").alias("t"))
-    # 3. survivors: at some grid lam, key > bound or equal with term <= bound
-    hits = []
-    for i, lam in enumerate(grid):
-        k = rank_key(rel(lam))
-        hits.append(F.when((k > F.col(f"{i}_b")) | ((k == F.col(f"{i}_b")) & (F.col("term") <= F.col(f"{i}_t"))),
-                           1).otherwise(0))
-    cand = base.join(bounded_broadcast(wide), "topic").where(F.greatest(*hits) == 1).select(*base.columns)
-    # 4. exact ranking over the full grid, survivors only
-    return rank_grid(cand)
+    at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+                   for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))])
+    best = base.select("topic", "term", "logprob", "loglift", F.explode(at).alias("x")).select(
+        "topic", "term", F.col("x.i").alias("i"), rel(F.col("x.a")).alias("low"), rel(F.col("x.b")).alias("high"))
+    w = Window.partitionBy("topic", "i").orderBy(F.desc("low"), "term")
+    worst = best.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= r).groupBy("topic", "i").agg(
+        F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.min("high").alias("high"))
+    # a topic with fewer than r terms keeps them all; keys are rounded to 1e-9
+    full = F.col("n") >= r
+    worst = worst.select("topic", "i", F.when(full, F.col("low") - 2e-9).otherwise(float("-inf")).alias("low"),
+                         F.when(full, F.col("high") - 2e-9).otherwise(float("-inf")).alias("high"))
+    wide = worst.groupBy("topic").pivot("i", list(range(len(ends) - 1))).agg(
+        F.first("low").alias("low"), F.first("high").alias("high"))
+    reach = None
+    for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        here = (rel(a) >= F.col(f"{i}_low")) | (rel(b) >= F.col(f"{i}_high"))
+        reach = here if reach is None else reach | here
+    # one row per topic (K, a model parameter)
+    kept = base.join(F.broadcast(wide), "topic").where(reach).select(*base.columns)
+    grown = kept.select("*", F.explode(F.array(*[F.lit(x) for x in grid])).alias("lam"))
+    rank = Window.partitionBy("topic", "lam").orderBy(F.desc(rank_key(rel(F.col("lam")))), "term")
+    top = grown.withColumn("_rk", F.row_number().over(rank)).where(F.col("_rk") <= r)
+    return top.drop("lam", "_rk").dropDuplicates(["topic", "term"])
+
+
+def relevant_terms_direct(base: DataFrame, r: int = SUMMARY_TERMS, steps: int = RELEVANCE_STEPS) -> DataFrame:
+    """T5 by ranking the whole grid; for checks of :func:`relevant_terms`."""
+    lam = F.explode(F.array(*[F.lit(i / steps) for i in range(steps + 1)]))
+    grown = base.select("topic", "term", "logprob", "loglift", lam.alias("lam"))
+    rank = Window.partitionBy("topic", "lam").orderBy(F.desc(rank_key(relevance(grown, F.col("lam")))), "term")
+    return grown.withColumn("_rk", F.row_number().over(rank)).where(F.col("_rk") <= r).select("topic", "term").distinct()
 
 
 def topic_info(st: TopicStats, r: int = SUMMARY_TERMS, steps: int = RELEVANCE_STEPS) -> DataFrame:
@@ -205,34 +196,41 @@ def token_table(st: TopicStats, info: DataFrame) -> DataFrame:
                     (F.bround("ttf", 0) / F.col("tot")).alias("freq"))
 
 
-def js_distances(topic_term: DataFrame, n_topics: int) -> DataFrame:
-    """Jensen-Shannon divergence (natural log) for every topic pair
-    ``a < b``.
+def js_distances(topic_term: DataFrame) -> DataFrame:
+    """Jensen-Shannon divergence (natural log) for every pair
+    ``topic_a < topic_b`` of the topics that have terms.
 
-    Each term's K weights are gathered into one K-array (K is the model's
-    topic count), the K(K-1)/2 pair contributions are computed inside the
-    row, and a partial+final sum over terms adds them up, so only
-    K(K-1)/2 rows per task reach the shuffle.
+    Each term's weights become one row; a task adds up the K x K pair sums of
+    its terms in numpy, one topic against all later ones at a time, and sends
+    one row per pair to the final sum.  K is the model's topic count.
     """
-    k = n_topics
-    wide = topic_term.groupBy("term").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("topic").cast("int"), "p"))).alias("_m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                      lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    pairs = [(a, b) for a in range(k) for b in range(a + 1, k)]
-
-    def half_kl(p: Column, m: Column) -> Column:
-        return F.when(p > 0, p * F.ln(p / m)).otherwise(F.lit(0.0))
-
-    contrib = []
-    for a, b in pairs:
-        p, q = F.col("_v")[a], F.col("_v")[b]
-        m = (p + q) / 2
-        contrib.append(F.struct(F.lit(a).alias("topic_a"), F.lit(b).alias("topic_b"),
-                                (0.5 * (half_kl(p, m) + half_kl(q, m))).alias("c")))
-    rows = wide.select(vec.alias("_v")).select(F.explode(F.array(*contrib)).alias("x"))
-    return rows.groupBy(F.col("x.topic_a").alias("topic_a"), F.col("x.topic_b").alias("topic_b")) \
-        .agg(F.sum("x.c").alias("js"))
+    ids = sorted(r["topic"] for r in topic_term.select("topic").distinct().collect())  # K rows
+    place = {t: i for i, t in enumerate(ids)}
+    wide = topic_term.groupBy("term").agg(F.collect_list("topic").alias("t"), F.collect_list("p").alias("p"))
+
+    def pair_sums(batches):
+        k = len(ids)
+        total = np.zeros((k, k))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                sizes = pc.list_value_length(part["t"]).to_numpy()
+                dense = np.zeros((part.num_rows, k))
+                columns = [place[t] for t in part["t"].flatten().to_pylist()]
+                dense[np.repeat(np.arange(part.num_rows), sizes), columns] = part["p"].flatten().to_numpy()
+                for a in range(k - 1):
+                    p, q = dense[:, a, None], dense[:, a + 1:]
+                    m = (p + q) / 2
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        half = np.where(p > 0, p * np.log(p / m), 0) + np.where(q > 0, q * np.log(q / m), 0)
+                    total[a, a + 1:] += 0.5 * half.sum(axis=0)
+        a, b = np.triu_indices(k, 1)
+        topics = np.array(ids, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(topics[a].astype(np.int32)), pa.array(topics[b].astype(np.int32)),
+                                          pa.array(total[a, b])], names=["topic_a", "topic_b", "c"])
+
+    return wide.select("t", "p").mapInArrow(pair_sums, "topic_a int, topic_b int, c double") \
+        .groupBy("topic_a", "topic_b").agg(F.sum("c").alias("js"))
 
 
 def topic_coordinates(js: DataFrame, topics: DataFrame) -> DataFrame:
@@ -246,9 +244,10 @@ def topic_coordinates(js: DataFrame, topics: DataFrame) -> DataFrame:
     k = len(t)
     idx = {r["topic"]: i for i, r in enumerate(t)}
     d = np.zeros((k, k))
-    for r in js.collect():
-        a, b = idx[r["topic_a"]], idx[r["topic_b"]]
-        d[a, b] = d[b, a] = r["js"]
+    for r in js.collect():  # K(K-1)/2 rows
+        if r["topic_a"] in idx and r["topic_b"] in idx:
+            a, b = idx[r["topic_a"]], idx[r["topic_b"]]
+            d[a, b] = d[b, a] = r["js"]
     h = np.eye(k) - np.ones((k, k)) / k
     bmat = -h.dot(d ** 2).dot(h) / 2
     vals, vecs = np.linalg.eigh(bmat)
@@ -282,7 +281,7 @@ def labelled_model(bow_terms: DataFrame, docs: DataFrame, label_col: str):
     labels) where labels = (label, topic)."""
     distinct = docs.select(label_col).distinct()
     n_labels = distinct.count()
-    labels = dense_ids(distinct, [label_col], "topic", known_rows=n_labels)
+    labels = dense_ids(distinct, [label_col], "topic", num_partitions=1)
     dl = docs.select("doc_id", label_col).join(bounded_broadcast(labels, known_rows=n_labels), label_col)
     counts = bow_terms.join(dl.select("doc_id", "topic"), "doc_id") \
         .groupBy("topic", "term").agg(F.sum("tf").alias("n"))

@@ -255,7 +255,7 @@ ORACLES["c1_top_terms_per_doc"] = TOP_TERMS_SQL.strip()
 
 
 _PARTS = ("loomlex.plans.registry_topics", "loomlex.plans.registry_sources",
-          "loomlex.plans.registry_entities")
+          "loomlex.plans.registry_entities", "loomlex.plans.registry_files")
 
 
 def _load_parts() -> None:

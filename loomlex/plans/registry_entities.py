@@ -187,13 +187,13 @@ def a8_events(spark, sf):
 
 
 @query("w1_first_seen_ids", """
-WITH b AS (SELECT split_part(text, ' ', 1) AS word, conv_id, turn FROM conversations),
-f AS (SELECT word, min(conv_id * 1000000 + turn) AS first FROM b GROUP BY word)
+WITH b AS (SELECT unnest(string_split(text, ' ')) AS word, conv_id, turn FROM conversations),
+f AS (SELECT word, min((conv_id, turn)) AS first FROM b GROUP BY word)
 SELECT word, row_number() OVER (ORDER BY first, word) - 1 AS id FROM f
 """)
 def w1(spark, sf):
     c = read_table(spark, sf, "conversations").select(
-        F.substring_index("text", " ", 1).alias("word"), "conv_id", "turn")
+        F.explode(F.split("text", " ")).alias("word"), "conv_id", "turn")
     return first_seen_ids(c, "word", ["conv_id", "turn"], "id").select("word", "id")
 
 

@@ -11,7 +11,7 @@ from loomlex.functions.constants import RARE_TRIM_STOP_WORDS
 from loomlex.operators import tokens as TK
 from loomlex.operators.joins import join_bounded
 from loomlex.plans import sqlparts as Q
-from loomlex.plans.registry import base_tokens, docs, query
+from loomlex.plans.registry import base_tokens, docs, query, spread
 from loomlex.session import read_table
 from loomlex.sources import catalog as CT
 from loomlex.sources import files as FS
@@ -28,8 +28,15 @@ def _html_sql(col: str) -> str:
     for pat in (X.SCRIPT_RE, X.STYLE_RE, X.COMMENT_RE):
         s = Q.rx(s, pat, " ")
     s = Q.rx(s, X.TAG_RE, " ")
-    for ent, ch in X.HTML_ENTITIES:
-        s = f"replace({s}, {Q.lit(ent)}, {Q.lit(ch)})"
+    names = ", ".join(f"{Q.lit(k)}: {Q.lit(v)}" for k, v in sorted(X.named_references().items()))
+    code = ("CASE WHEN regexp_matches(p, '^&#[0-9]+;$') THEN CAST(p[3:-2] AS BIGINT) "
+            "WHEN regexp_matches(p, '^&#[xX][0-9a-fA-F]+;$') THEN CAST('0x' || p[4:-2] AS BIGINT) END")
+    one = (f"CASE WHEN NOT regexp_matches(p, '^&.+;$') THEN p "
+           f"WHEN p[2] <> '#' THEN coalesce(MAP {{{names}}}[p[2:-2]], p) "
+           f"WHEN ({code}) = 160 THEN ' ' "
+           f"WHEN ({code}) BETWEEN 1 AND 1114111 AND NOT ({code}) BETWEEN 55296 AND 57343 THEN chr(CAST(({code}) AS INTEGER)) "
+           f"ELSE p END")
+    s = f"array_to_string(list_transform(regexp_extract_all({s}, {Q.lit(X.REFERENCE_RE)}), lambda p: {one}), '')"
     return f"trim({Q.rx(s, X.SPACE_RUN_RE, ' ')})"
 
 
@@ -135,9 +142,9 @@ GROUP BY doc_id, term HAVING count(*) >= 2
 """)
 def f13(spark, sf):
     d = FS.drop_empty_docs(docs(spark, sf))
-    toks = d.select("doc_id", F.explode(X.tokenize(X.remove_digits(X.remove_punctuation("text")))).alias("term"))
-    kept = TK.trim_rare(toks, "doc_id", 2, RARE_TRIM_STOP_WORDS)
-    return kept.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    d = spread(d.select("doc_id", "text"))
+    toks = d.select("doc_id", F.explode_outer(X.tokenize(X.remove_digits(X.remove_punctuation("text")))).alias("term"))
+    return TK.trimmed_counts(toks.where("term IS NOT NULL"), "doc_id", 2, RARE_TRIM_STOP_WORDS)
 
 
 # ------------------------------------------------------------ scalar functions
@@ -236,13 +243,12 @@ def x3(spark, sf):
 
 
 @query("x4_name_slug", """
-SELECT conv_id, turn, CASE WHEN contains(split_part(text, '.', 1), ' ')
-                           THEN replace(split_part(text, '.', 1), ' ', '%20') ELSE 'None' END AS name_slug
+SELECT conv_id, turn, CASE WHEN contains(text, ' ') THEN replace(text, ' ', '%20') ELSE 'None' END AS name_slug
 FROM conversations
 """)
 def x4(spark, sf):
     c = _t(spark, sf, "conversations")
-    return c.select("conv_id", "turn", X.name_slug(F.split_part("text", F.lit("."), F.lit(1))).alias("name_slug"))
+    return c.select("conv_id", "turn", X.name_slug("text").alias("name_slug"))
 
 
 @query("x9_offset_label", """

@@ -195,20 +195,18 @@ FROM pairs GROUP BY topic_a, topic_b
 
 def _labelled_phi(spark, sf, label: str = LABEL):
     c = TK.build_corpus(_scan_docs(spark, sf))
-    phi, _, labels = TV.labelled_model(c.tf, docs(spark, sf).select("doc_id", label), label)
-    return phi, labels.count()
+    return TV.labelled_model(c.tf, docs(spark, sf).select("doc_id", label), label)[0]
 
 
 def _js(spark, sf):
     st, phi = labelled_stats(spark, sf)
-    return TV.js_distances(phi, st.n_topics), st
+    return TV.js_distances(phi), st
 
 
 @query("m13_js_distances", _JS_SQL)
 def m13(spark, sf):
-    # the distances need only phi and K (the label count), not the summaries
-    phi, k = _labelled_phi(spark, sf)
-    return TV.js_distances(phi, k).select("topic_a", "topic_b", F.round("js", 9).alias("js"))
+    # the distances need only phi, not the summaries
+    return TV.js_distances(_labelled_phi(spark, sf)).select("topic_a", "topic_b", F.round("js", 9).alias("js"))
 
 
 @query("j9_topic_pairs", _JS_SQL)
@@ -228,7 +226,9 @@ __all__ = ["QUERIES", "ORACLES"]
 # ------------------------------------------------------------ MLlib models (rows-only)
 
 QUERY_TOPICS = 10
-QUERY_ITERATIONS = 5
+# Full passes of the online fit: a document is left out of all of them with
+# probability e**-10.
+QUERY_PASSES = 10
 
 
 def _lda(spark, sf, optimizer: str = "online"):
@@ -236,7 +236,7 @@ def _lda(spark, sf, optimizer: str = "online"):
     d = _scan_docs(spark, sf)
     c = TK.build_corpus(d)
     vec = TM.bow_vectors(c.bow, c.vocab_size, "tf", d.select("doc_id"))
-    model = TM.fit_lda(vec, QUERY_TOPICS, QUERY_ITERATIONS, seed=7, optimizer=optimizer)
+    model = TM.fit_lda(vec, QUERY_TOPICS, QUERY_PASSES, seed=7, optimizer=optimizer)
     return c, vec, model
 
 
@@ -294,14 +294,17 @@ def m15(spark, sf):
 def c1(spark, sf):
     """Full topic job (online LDA) -> topic info table."""
     from loomlex.plans.jobs import topic_job
-    out = topic_job(_scan_docs(spark, sf), k=QUERY_TOPICS, max_iter=QUERY_ITERATIONS, seed=7, with_map=False)
-    return out["topic_info"]
+    out = topic_job(_scan_docs(spark, sf), k=QUERY_TOPICS, max_iter=QUERY_PASSES, seed=7)
+    # the topic map (M13) as further categories of the same table
+    at = out["topic_coordinates"].select(
+        F.concat(F.lit("Map"), F.col("topic").cast("string")).alias("category"), F.lit(None).cast("string").alias("term"),
+        "freq", F.lit(100.0).alias("total"), F.col("x").alias("logprob"), F.col("y").alias("loglift"))
+    return out["topic_info"].unionByName(at)
 
 
 def _line_job(spark, sf):
     from loomlex.plans.jobs import line_topic_job
-    return line_topic_job(docs(spark, sf).select("doc_id", "text"), k=QUERY_TOPICS,
-                          max_iter=QUERY_ITERATIONS, seed=7)
+    return line_topic_job(docs(spark, sf).select("doc_id", "text"), k=QUERY_TOPICS, seed=7)
 
 
 @query("m6_fit_lda_lines")
@@ -320,3 +323,44 @@ def m14(spark, sf):
 def c3(spark, sf):
     out = _line_job(spark, sf)
     return out["stats"].topics
+
+
+# ------------------------------------------------------------ exactly checkable rows of the models
+
+@query("m3_doc_topic_sums", f"""
+SELECT doc_id, CAST({QUERY_TOPICS} AS BIGINT) AS n_topics, CAST(1 AS DOUBLE) AS total FROM documents WHERE text IS NOT NULL
+""")
+def m3_sums(spark, sf):
+    """M2, M3, M4: every document, empty ones included, has all topics and sums to 1."""
+    from loomlex.plans import topics as TM
+    d = _scan_docs(spark, sf).where(F.col("text").isNotNull())
+    c = TK.build_corpus(d)
+    vec = TM.bow_vectors(c.bow, c.vocab_size, "tf", d.select("doc_id"))
+    model = TM.fit_lda(vec, QUERY_TOPICS, 2, seed=7)
+    return TM.doc_topics(model, vec, None).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_topics"), F.round(F.sum("p"), 6).alias("total"))
+
+
+@query("m5_topic_term_sums", f"""
+WITH {Q.corpus_ctes()}
+SELECT CAST(i AS INTEGER) AS topic, (SELECT count(*) FROM dict) AS n_terms, CAST(1 AS DOUBLE) AS total
+FROM range({QUERY_TOPICS}) t(i)
+""")
+def m5_sums(spark, sf):
+    """M5: every topic lists the whole dictionary and sums to 1."""
+    from loomlex.plans import topics as TM
+    c, _, model = _lda(spark, sf)
+    return TM.topic_terms(model, c.dictionary, c.vocab_size).groupBy("topic").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("p"), 6).alias("total"))
+
+
+@query("m13_map_invariants", """
+WITH t AS (SELECT count(DISTINCT lang) AS k FROM documents)
+SELECT k AS n_topics, CAST(100 AS DOUBLE) AS freq, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y FROM t
+""")
+def m13_invariants(spark, sf):
+    """One point per topic, shares of 100 in all, centred at the origin."""
+    js, st = _js(spark, sf)
+    return TV.topic_coordinates(js, st.topics).agg(
+        F.count(F.lit(1)).alias("n_topics"), F.round(F.sum("freq"), 6).alias("freq"),
+        F.abs(F.round(F.sum("x"), 6)).alias("x"), F.abs(F.round(F.sum("y"), 6)).alias("y"))

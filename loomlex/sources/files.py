@@ -38,10 +38,12 @@ def scan_files(spark: SparkSession, path: str | list[str], pattern: str | None =
 def scan_images(spark: SparkSession, staging: str, images: DataFrame) -> DataFrame:
     """One scan over every staged image folder ``<staging>/<image_index>``
     keeping the image index as a column (no per-image loop)."""
-    idx = [r["image_index"] for r in images.select("image_index").distinct().collect()]
-    df = scan_files(spark, [f"{staging.rstrip('/')}/{i}" for i in idx])
-    return df.withColumn("image_index", F.regexp_extract(
-        "path", rf"{staging.rstrip('/')}/(\d+)/", 1).cast("int"))
+    root = staging.rstrip("/") + "/"
+    df = scan_files(spark, root)
+    inside = F.expr("substring(path, instr(path, _root) + length(_root))")
+    df = df.withColumn("_root", F.lit(root)).withColumn("_in", inside) \
+        .withColumn("image_index", F.expr("try_cast(substring_index(_in, '/', 1) AS int)")).drop("_root", "_in")
+    return join_bounded(df, images.select("image_index").distinct(), "image_index", "left_semi")
 
 
 def with_inventory(files: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -126,9 +128,10 @@ def extract_text(df: DataFrame, extractors: dict[str, Extractor] | None = None,
     """S3: per-file text by extension; any failure gives a NULL document.
 
     Text files decode natively; HTML/XML go through :func:`html_to_text`
-    natively; other extensions go to a pluggable extractor run in
-    ``mapInPandas`` with a per-file try/except (no extractor -> NULL).
-    Excluded formats (F4) give NULL without being read."""
+    natively (bytes that are not UTF-8 are read as ISO-8859-1, so no page can
+    end the job); only files of other extensions reach a pluggable extractor, run
+    in ``mapInPandas`` with a per-file try/except (no extractor -> NULL).
+    Excluded formats (F4) give NULL and are not handed to any decoder."""
     p = F.col("path")
     ext = ext_col(p)
     is_text = F.greatest(*[p.endswith(s) for s in TEXT_SUFFIXES])
@@ -136,22 +139,18 @@ def extract_text(df: DataFrame, extractors: dict[str, Extractor] | None = None,
     excluded_c = ~is_text & ext.isin(list(excluded))
     native = (F.when(excluded_c, F.lit(None).cast("string"))
               .when(is_text, F.decode("content", "ISO-8859-1"))
-              .when(is_markup, X.html_to_text(F.decode("content", "UTF-8"))))
+              .when(is_markup, X.html_to_text(X.decode_text("content"))))
     out = df.withColumn("text", native).withColumn("_plug", ~excluded_c & ~is_text & ~is_markup)
     if not extractors:
         return out.drop("_plug")
     ship_package(df.sparkSession)
     table = dict(extractors)
     schema = out.schema
-    ext_out = out.withColumn("_ext", ext)
 
     def run(batches):
         for pdf in batches:
             texts = []
-            for plug, e, content, t in zip(pdf["_plug"], pdf["_ext"], pdf["content"], pdf["text"]):
-                if not plug:
-                    texts.append(t)
-                    continue
+            for e, content in zip(pdf["_ext"], pdf["content"], strict=True):
                 fn = table.get(e)
                 try:
                     texts.append(None if fn is None else fn(bytes(content)))
@@ -160,7 +159,8 @@ def extract_text(df: DataFrame, extractors: dict[str, Extractor] | None = None,
             pdf["text"] = pd.Series(texts, dtype="object")
             yield pdf.drop(columns=["_ext"])
 
-    return ext_out.mapInPandas(run, schema).drop("_plug")
+    plugged = out.where("_plug").withColumn("_ext", ext).mapInPandas(run, schema)
+    return out.where("NOT _plug").unionByName(plugged).drop("_plug")
 
 
 # ------------------------------------------------------------ line documents

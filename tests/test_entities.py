@@ -51,3 +51,62 @@ def test_keep_mentions_table(spark):
     df = spark.createDataFrame([("PERSON",), ("person",), ("ORG",), ("date",)], "ent_type string")
     types = spark.createDataFrame([("person",), ("PERSON",)], "ent_type string")
     assert sorted(r[0] for r in EN.keep_mentions(df, types).collect()) == ["PERSON", "person"]
+
+
+def test_keep_mentions_table_keeps_repeats(spark):
+    df = spark.createDataFrame([("PERSON",)] * 3 + [("date",)], "ent_type string")
+    types = spark.createDataFrame([("person",), ("PERSON",)], "ent_type string")
+    assert [r[0] for r in EN.keep_mentions(df, types).collect()] == ["PERSON"] * 3
+    assert EN.keep_mentions(df, types).columns == ["ent_type"]
+
+
+def test_gazetteer_clash_and_long_names(spark):
+    docs = spark.createDataFrame([(0, "Washington saw New  York City, New York."), (1, "x New")], "doc_id bigint, text string")
+    gaz = spark.createDataFrame([("Washington", "PERSON"), ("washington", "GPE"), ("new york", "GPE"),
+                                 ("New York City", "GPE"), ("New", "ORG")], "term string, ent_type string")
+    m = EN.mentions(docs, ["gpe", "org"], rules=[], gazetteer=gaz)
+    got = sorted((r.doc_id, r.char_start, r.token, r.ent_type, r.span_end) for r in m.collect())
+    assert got == [(0, 0, "Washington", "GPE", 10), (0, 15, "New York City", "GPE", 30), (0, 31, "New York", "GPE", 40)]
+
+
+def test_upper_case_type_names_are_counted(spark):
+    docs = spark.createDataFrame([(0, "Ann met Bob, in Paris.")], "doc_id bigint, text string")
+    m = EN.mentions(docs, ["PERSON"])
+    got = {r.ent_type: r.n for r in EN.entity_type_counts(m, docs, ["PERSON", "it's"]).collect()}
+    assert got == {"PERSON": 3, "it's": 0}
+
+
+def test_badly_encoded_documents_are_skipped(spark):
+    docs = spark.createDataFrame([(0, bytearray(b"Ann met Bob")), (1, bytearray(b"Ann \xff Bob")), (2, None)],
+                                 "doc_id bigint, content binary")
+    assert [r.doc_id for r in EN.mentions(docs, ["person"]).collect()] == [0]
+
+
+def test_places(spark):
+    nation = spark.createDataFrame([("NATION_0",)], "n_name string")
+    region = spark.createDataFrame([("MIDDLE EAST",)], "r_name string")
+    docs = spark.createDataFrame([(0, "in the middle east of it")], "doc_id bigint, text string")
+    got = [(r.token, r.ent_type) for r in EN.mentions(docs, gazetteer=EN.places(nation, region)).collect()]
+    assert got == [("middle east", "GPE")]
+
+
+def test_offsets_equal_a_regex_scan(spark):
+    """Non-ASCII letters, runs of marks, blanks only, empty and null texts."""
+    import random
+    import re
+    rng = random.Random(5)
+    texts = ["", "  ", "é", "...", "a", ".a.", "x\u00a0y \U0001f600!", None] + [
+        "".join(rng.choice("ab é\u4e2d.,! \n\t") for _ in range(rng.randrange(60))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {}
+    for r in EN.offset_tokens(docs).collect():
+        got.setdefault(r.doc_id, {})[r.pos] = (r.token, r.char_start, r.char_end, r.is_punct, r.span_end, r.n_tokens)
+    for d, text in enumerate(texts):
+        ms = list(re.finditer(EN.TOKEN_RE, text or ""))
+        want = {}
+        for i, m in enumerate(ms):
+            j = i
+            while j + 1 < len(ms) and re.fullmatch(EN.PUNCT_CLASS, ms[j + 1][0]):
+                j += 1
+            want[i] = (m[0], m.start(), m.end(), bool(re.fullmatch(EN.PUNCT_CLASS, m[0])), ms[j].end(), len(ms))
+        assert got.get(d, {}) == want

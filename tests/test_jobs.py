@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from loomlex.plans.jobs import catalog_job, list_files
+from loomlex.plans.jobs import catalog_job, folder_topic_job, list_files
 from loomlex.sources import catalog as CT
 from loomlex.sources import files as FS
 
@@ -38,18 +38,36 @@ def test_catalog_job(spark, tmp_path):
                          F.col("p_inode").alias("par_addr"), F.lit(0).cast("bigint").alias("mtime"),
                          F.lit(0).cast("bigint").alias("atime"), F.lit(0).cast("bigint").alias("ctime"),
                          F.when(F.col("is_dir"), 2).otherwise(1).alias("type"), F.lit(1).alias("flags"))
-    for i, text in [(0, "cat sat cat dog"), (1, "cat dog sat sat")]:
-        d = tmp_path / str(i)
-        d.mkdir()
-        (d / "f.txt").write_text(text)
+    (tmp_path / "0" / "a").mkdir(parents=True)
+    (tmp_path / "1").mkdir()
+    (tmp_path / "0" / "a" / "x.txt").write_text("cat sat cat dog")
+    (tmp_path / "1" / "z.txt").write_text("cat dog sat sat")
+    (tmp_path / "1" / "not_listed.txt").write_text("zebra zebra zebra")
     staged = FS.scan_images(spark, str(tmp_path), imgs)
-    assert sorted(r.image_index for r in staged.collect()) == [0, 1]
+    assert sorted(r.image_index for r in staged.collect()) == [0, 1, 1]
     out = catalog_job(raw, vols, imgs, staged, k=2, max_iter=2, stop_words=[], with_map=False)
     assert sorted(r.path for r in out["files"].collect()) == ["/a/x.txt", "/y.pdf", "/z.txt"]
+    assert sorted(r.offset for r in out["files"].collect()) == [0, 63 * 512, 63 * 512]
+    assert out["documents"].count() == 2      # the catalog, not the folder, chooses the files
     assert out["corpus"].vocab_size == 3
     assert out["topic_terms"].select("topic").distinct().count() == 2
 
 
+def test_folder_job(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.txt").write_text("cat sat cat dog")
+    (tmp_path / "sub" / "b.html").write_bytes(b"<p>cat dog &amp; caf&eacute; sat sat</p>")
+    (tmp_path / "latin.html").write_bytes(b"<p>cat caf\xe9 sat dog</p>")      # not UTF-8: must not end the job
+    (tmp_path / "c.jpg").write_bytes(b"\xff\xd8")
+    (tmp_path / "empty.txt").write_bytes(b"")
+    inv = spark.createDataFrame([(f"file:{tmp_path}/empty.txt", 0)], "path string, length bigint")
+    out = folder_topic_job(spark, str(tmp_path), inv, k=2, max_iter=2, stop_words=[], with_map=False)
+    texts = {os.path.basename(r.path): r.text for r in out["documents"].collect()}
+    assert texts == {"a.txt": "cat sat cat dog", "b.html": "cat dog & caf\u00e9 sat sat",
+                     "latin.html": "cat caf\u00e9 sat dog", "empty.txt": ""}
+    assert out["doc_topics"].select("doc_id").distinct().count() == 4      # the empty document too
+
+
 def test_small_filters(spark):
     vols = spark.createDataFrame([("p10",), ("p2",), ("p1",)], "volume_id string")
     assert [r.volume_id for r in CT.order_volumes(vols).collect()] == ["p1", "p10", "p2"]

@@ -52,10 +52,10 @@ def test_summary_invariants(job):
 
 def test_js_matrix(job):
     st = job["stats"]
-    js = TV.js_distances(job["topic_terms"], st.n_topics).collect()
+    js = TV.js_distances(job["topic_terms"]).collect()
     assert len(js) == 6
     assert all(0 <= r.js <= 0.6931471805599453 + 1e-12 for r in js)
-    coords = TV.topic_coordinates(TV.js_distances(job["topic_terms"], st.n_topics), st.topics).collect()
+    coords = TV.topic_coordinates(TV.js_distances(job["topic_terms"]), st.topics).collect()
     assert sorted(r.topic for r in coords) == [1, 2, 3, 4]
     assert abs(sum(r.freq for r in coords) - 100) < 1e-6
 
@@ -79,5 +79,46 @@ def test_line_job_em(spark):
 def test_relevance_pruned_equals_direct(job):
     base = TV.relevance_base(job["stats"])
     a = {tuple(r) for r in TV.relevant_terms(base).select("topic", "term").collect()}
-    b = {tuple(r) for r in TV.relevant_terms(base, prune=True).select("topic", "term").collect()}
+    b = {tuple(r) for r in TV.relevant_terms_direct(base).collect()}
     assert a == b and len(a) >= 30
+
+
+def test_js_many_topics_and_gaps(spark):
+    """K = 100 with missing topic numbers, against a dense numpy sum."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    ids = [3 * i for i in range(100)]
+    dense = rng.random((100, 40)) * (rng.random((100, 40)) < 0.7)
+    dense /= dense.sum(axis=1, keepdims=True)
+    rows = [(t, f"w{j}", float(dense[i, j])) for i, t in enumerate(ids) for j in range(40) if dense[i, j] > 0]
+    js = {(r.topic_a, r.topic_b): r.js for r in
+          TV.js_distances(spark.createDataFrame(rows, "topic int, term string, p double")).collect()}
+    assert len(js) == 4950
+
+    def kl(p, m):
+        ok = p > 0
+        return float((p[ok] * np.log(p[ok] / m[ok])).sum())
+    for a, b in [(0, 1), (5, 77), (98, 99)]:
+        m = (dense[a] + dense[b]) / 2
+        assert abs(js[ids[a], ids[b]] - (kl(dense[a], m) + kl(dense[b], m)) / 2) < 1e-12
+
+
+def test_label_without_tokens_leaves_a_gap(spark):
+    """A label whose documents are empty has a number but no terms: the others keep theirs."""
+    tf = spark.createDataFrame([(0, "a", 2), (0, "b", 1), (2, "b", 3)], "doc_id bigint, term string, tf bigint")
+    docs = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "doc_id bigint, lang string")
+    phi, theta, labels = TV.labelled_model(tf, docs, "lang")
+    lengths = spark.createDataFrame([(0, 3), (2, 3)], "doc_id bigint, len bigint")
+    st = TV.topic_stats(phi, theta, lengths)
+    js = TV.js_distances(phi)
+    assert [(r.topic_a, r.topic_b) for r in js.collect()] == [(0, 2)]
+    assert TV.topic_coordinates(js, st.topics).count() == 2
+
+
+def test_relevance_with_few_terms(spark):
+    """Fewer terms than the report length: all are kept at every step."""
+    phi = spark.createDataFrame([(0, "a", 0.5), (0, "b", 0.5), (1, "b", 1.0)], "topic int, term string, p double")
+    theta = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "doc_id bigint, topic int, p double")
+    lengths = spark.createDataFrame([(0, 4), (1, 2)], "doc_id bigint, len bigint")
+    base = TV.relevance_base(TV.topic_stats(phi, theta, lengths))
+    assert sorted((r.topic, r.term) for r in TV.relevant_terms(base).collect()) == [(0, "a"), (0, "b"), (1, "b")]
