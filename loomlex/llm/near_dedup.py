@@ -7,10 +7,15 @@
 2. Texts with the same set are collapsed before anything else: a group of exact
    copies enters the search as one representative.
 3. ``BANDS`` buckets of ``ROWS`` bins each.  In a bucket every member is paired
-   with the bucket's hub only (a star), never with all others.  At a similarity
-   of 0.8 a pair shares no bucket with probability (1 - 0.8**5)**32 = 3e-6.
-4. Links are confirmed on the full sets.  Members that are not in their hub's
-   component form a smaller bucket with a hub of its own, round by round.
+   with the bucket's centre only (a star), never with all others.  The centre is
+   the member that meets most others over all its buckets.  At a similarity of
+   0.8 a pair shares no bucket with probability (1 - 0.8**5)**32 = 3e-6.
+4. Links are confirmed on the full sets, after a filter by set size.  In buckets
+   that still hold several components, ``CENTRES - 1`` further centres are tried on
+   the members outside their component; at last each member that is still outside
+   the component of the bucket's first centre becomes the centre of a star of its
+   own.  So every two members of a bucket end in one component or were compared,
+   and the pairs grow with the members left over, not with the square of a group.
 5. Components by smallest identifier (hooking and pointer jumping on tables).
 
 Defined cases: null or blank text has an empty set and is linked with nothing;
@@ -33,6 +38,7 @@ from loomlex.llm.arrays import LOWER, gram_hashes, mix, text_chunks, word_hashes
 from loomlex.llm.common import row_key, spread, stage
 
 ROWS, BANDS = 5, 32
+CENTRES = 3
 THRESHOLD_PERCENT = 80
 
 
@@ -159,13 +165,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = THRESHOLD_PERCENT,
-                max_rounds: int = 4) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    ``max_rounds`` bounds the star rounds per bucket (hub after hub), not the
-    members of a bucket: every member is compared in each round.
-    """
+def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     source = spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stage(source.mapInArrow(
@@ -176,36 +177,60 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = THRESHOL
     reps = known.groupBy(*same).agg(F.min("doc_id").alias("rep"))
     member = known.join(reps, same).select("doc_id", "rep", "n_shingles", "bands")
     first = member.where("doc_id = rep").dropDuplicates(["rep", "n_shingles"])
-    keys = first.select("rep", F.explode("bands").alias("key"))
-    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = stage(keys.join(full, "key"), "near-buckets")
+    keys = first.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = stage(keys.join(full, "key"), "near-buckets")
+    weight = met.groupBy("rep").agg(F.sum("size").alias("weight"))
+    buckets = stage(met.select("key", "rep", "n").join(weight, "rep"), "near-buckets")
     nodes = stage(buckets.select("rep").distinct(), "near-nodes")
     text = source.withColumnRenamed("doc_id", "rep").join(nodes, "rep", "left_semi")
     sets = stage(text.mapInArrow(_sets(shingle_words), f"rep {kind}, shingles binary"), "near-sets")
-    links = None
+
     labels = nodes.select("rep", F.col("rep").alias("label"))
-    for _ in range(max_rounds):
-        hubs = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        stars = (buckets.join(hubs, "key").where("rep <> hub").select("hub", "rep").distinct())
+    links = checked = used = None
+    for step in range(CENTRES + 1):
+        now = buckets.join(labels, "rep")
+        if step:
+            split = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+            now = stage(now.join(split.select("key"), "key", "left_semi"), "near-split")
+            if now.isEmpty():
+                break
+            buckets = now.drop("label")
+        if step < CENTRES:
+            free = now if used is None else now.join(used, ["key", "rep"], "left_anti")
+            hubs = _centres(free)
+            used = stage(hubs.select("key", F.col("hub").alias("rep")) if used is None else
+                         used.union(hubs.select("key", F.col("hub").alias("rep"))), "near-used")
+        else:
+            # every member outside the component of its bucket's centre
+            main = _centres(now).select("key", F.col("hub_label").alias("main"))
+            hubs = now.join(main, "key").where("label <> main").select(
+                "key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
+        small, large = F.least("n", "hub_n"), F.greatest("n", "hub_n")
+        stars = (now.join(hubs, "key").where((F.col("label") != F.col("hub_label")) & (100 * small >= percent * large))
+                 .select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("rep")).distinct())
+        if checked is not None:
+            stars = stars.join(checked, ["hub", "rep"], "left_anti")
+        stars = stage(stars, "near-stars")
+        checked = stars if checked is None else checked.union(stars)
         found = confirm(stars, sets, percent, kind)
         links = stage(found if links is None else links.union(found), "near-links")
         labels = components(nodes, links)
-        left = (buckets.join(hubs.select("key", "hub"), "key")
-                .join(labels, "rep")
-                .join(labels.select(F.col("rep").alias("hub"), F.col("label").alias("hub_label")), "hub")
-                .where("label <> hub_label").select("rep", "key"))
-        buckets = stage(left, "near-buckets")
-        if buckets.isEmpty():
-            break
     of = (member.select("doc_id", "n_shingles", "rep").join(labels, "rep", "left")
           .select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id")))
-    # rows that share a doc_id belong together: the smallest component of any of them
     rest = rows.where("n_shingles = 0 OR doc_id IS NULL").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return of.union(rest).select("doc_id", "n_shingles", "component_id",
                                  F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _centres(members: DataFrame) -> DataFrame:
+    """(key, hub, hub_n, hub_label): per bucket the member of the largest weight."""
+    best = F.max(F.struct("weight", "rep", "n", "label")).alias("h")
+    return members.groupBy("key").agg(best).select(
+        "key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label"))
+
+
 def confirm(stars: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
     """The stars whose full sets are similar enough."""
     pairs = (stars.join(sets.select("rep", F.col("shingles").alias("set_y")), "rep")
