@@ -11,8 +11,8 @@ r"""Personal data: base patterns, then bootstrapped contextual extraction (DataF
    smoothed mean over its values, and an unseen value gets its best pattern's
    score.  Counts cover all documents.
 4. Patterns with a score of ``ACCEPT`` or more and ``SUPPORT`` different seed values
-   give their kind to every unseen token of the same letter and digit shape as one
-   of their seeds.
+   give their kind to every unseen token of the same coarse form (address sign,
+   digit count, dots) as one of their seeds.
 
 The possessive quantifiers keep the scans linear and free of recursion on long
 texts.  Defined cases: null text is empty; rows that repeat doc_id and text get
@@ -99,9 +99,12 @@ def scan(texts: DataFrame, patterns: dict[str, str]) -> DataFrame:
                     "end", F.col("m.match").alias("match"), F.col("m.before").alias("before")))
 
 
-def shape(match: Column) -> Column:
-    """Letters and digits by class, runs once: the form of an identifier."""
-    return F.regexp_replace(F.regexp_replace(match, "[^0-9\\x21-\\x2F\\x3A-\\x40]+", "a"), "[0-9]+", "9")
+def form(match: Column) -> Column:
+    """Coarse form of an identifier: an address sign, or how many digits and dots."""
+    digits = F.length(_digits(match))
+    return (F.when(match.contains("@"), "@")
+            .otherwise(F.concat(F.when(digits < 4, "few").when(digits < 9, "some").otherwise("many"),
+                                F.when(match.rlike(r"[0-9]\.[0-9]"), ".").otherwise(""))))
 
 
 def instances(base: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -119,7 +122,7 @@ def instances(base: DataFrame, tokens: DataFrame) -> DataFrame:
     kind = (F.when(F.col("last.end") > F.col("start"), F.col("last.kind"))
             .when(F.col("next.start") < F.col("end"), F.col("next.kind")))
     words = F.lower(F.regexp_extract("before", r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-    return (seen.select("row_key", "start", "end", "match", shape(F.col("match")).alias("form"),
+    return (seen.select("row_key", "start", "end", "match", form(F.col("match")).alias("form"),
                         F.regexp_replace(words, r"[\x20\x09-\x0D]+", " ").alias("pattern"), kind.alias("seed"))
             .where("pattern <> ''"))
 
