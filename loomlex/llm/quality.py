@@ -210,7 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> tuple[np
                     [batch["quality"][lo:hi], pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
 
     picked = docs.join(sample, "doc_id").select("quality", "text")
-    rows = picked.mapInArrow(features, "quality int, x binary").orderBy("x").collect()  # about max_train rows
+    rows = picked.mapInArrow(features, "quality int, x binary").collect()  # about max_train rows
+    rows.sort(key=lambda r: (r.x, r.quality))
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(-1, 2 * DIMS)
     y = np.array([r.quality for r in rows])
     mixed = np.random.default_rng(3).permutation(len(y))
