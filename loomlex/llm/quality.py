@@ -5,7 +5,9 @@
    of its neighbours (two on each side) wherever it occurs.  Tasks add up a dense
    table of ``BUCKETS x DIMS`` counts and merge it block by block; the merged table
    (2 MB, fixed by these parameters) is the only corpus statistic that is sent out.
-2. A document is the mean and the spread of its words' unit vectors.
+2. A document is the mean and the spread of its words' unit vectors, the mean
+   similarity and share of equal neighbours, the share of distinct words and the
+   logarithm of their number.
 3. A two-layer numpy network learns the label on at most ``max_train`` labelled
    documents (a documented bound, picked by a hash of the id) outside the held-out
    quarter; a temperature fitted on a part it has not seen calibrates it.
@@ -111,18 +113,36 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (table / np.maximum(norm, 1e-12)).astype(np.float32)
 
 
+FEATURES = 2 * DIMS + 4
+
+
 def pooled(data: np.ndarray, offs: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the word vectors of each text; zeros for an empty one."""
+    """Per text: mean and spread of its word vectors, mean similarity and share
+    of equal neighbours, share of distinct words, log word count; zeros for an
+    empty text."""
     bucket, first = tokens(data, offs)
     n = np.diff(first)
-    out = np.zeros((len(n), 2 * DIMS), np.float32)
+    out = np.zeros((len(n), FEATURES), np.float32)
     some = np.flatnonzero(n)
     if len(some):
+        lead, count = first[some], n[some, None]
         found = vectors[bucket]
-        mean = np.add.reduceat(found, first[some], axis=0) / n[some, None]
-        square = np.add.reduceat(found * found, first[some], axis=0) / n[some, None]
+        mean = np.add.reduceat(found, lead, axis=0) / count
+        square = np.add.reduceat(found * found, lead, axis=0) / count
         out[some, :DIMS] = mean
-        out[some, DIMS:] = np.sqrt(np.maximum(square - mean * mean, 0))
+        out[some, DIMS:2 * DIMS] = np.sqrt(np.maximum(square - mean * mean, 0))
+        inner = np.ones(len(bucket))
+        inner[lead] = 0  # a text's first word has no neighbour before it
+        pairs = np.maximum(n[some] - 1, 1)
+        near = np.zeros(len(bucket))
+        near[1:] = np.einsum("ij,ij->i", found[1:], found[:-1])
+        same = np.zeros(len(bucket))
+        same[1:] = bucket[1:] == bucket[:-1]
+        distinct = np.unique(np.repeat(np.arange(len(n)), n) * BUCKETS + bucket) // BUCKETS
+        out[some, -4] = np.add.reduceat(near * inner, lead) / pairs
+        out[some, -3] = np.add.reduceat(same * inner, lead) / pairs
+        out[some, -2] = np.bincount(distinct, minlength=len(n))[some] / n[some]
+        out[some, -1] = np.log1p(n[some])
     return out
 
 
@@ -155,7 +175,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, seed
     """Adam on the logistic loss; every fifth row is kept for the temperature."""
     x = x.astype(np.float64)
     if len(x) == 0 or len(np.unique(y)) == 0:
-        return Network(np.zeros(2 * DIMS), np.ones(2 * DIMS), np.zeros((2 * DIMS, 1)), np.zeros(1), np.zeros(1), 0.0)
+        return Network(np.zeros(FEATURES), np.ones(FEATURES), np.zeros((FEATURES, 1)), np.zeros(1), np.zeros(1), 0.0)
     calibrate = np.arange(len(x)) % 5 == 4
     fit_x, fit_y = x[~calibrate], y[~calibrate].astype(np.float64)
     rng = np.random.default_rng(seed)
@@ -182,7 +202,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, seed
     net.b2 = float(params[3][0])
     if calibrate.any():
         z, t = net.logit(x[calibrate]), y[calibrate]
-        grid = np.exp(np.linspace(-2, 3, 101))
+        grid = np.exp(np.linspace(-0.7, 3, 101))
         net.temperature = float(grid[np.argmin([_loss(z / g, t) for g in grid])])
     return net
 
@@ -212,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> tuple[np
     picked = docs.join(sample, "doc_id").select("quality", "text")
     rows = picked.mapInArrow(features, "quality int, x binary").collect()  # about max_train rows
     rows.sort(key=lambda r: (r.x, r.quality))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(-1, 2 * DIMS)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(-1, FEATURES)
     y = np.array([r.quality for r in rows])
     mixed = np.random.default_rng(3).permutation(len(y))
     return vectors, train(x[mixed], y[mixed])

@@ -64,7 +64,7 @@ def test_keep_good_keeps_columns(spark):
 
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(4000, 2 * quality.DIMS))
+    x = rng.normal(size=(4000, quality.FEATURES))
     y = (rng.random(4000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(int)
     net = quality.train(x[:3000], y[:3000])
     p = net.probability(x[3000:])
