@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlex.llm.common import partitions, spread, stage
+from loomlex.operators.joins import join_bounded
 
 MIN_PAGES, CONSTANT, LINKS, MAX_DEPTH = 4, 0.9, 0.6, 64
 
@@ -297,7 +298,7 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                          rows[0]["host_pages"])
         return pa.RecordBatch.from_arrays(
             [pa.array([host] * len(found), pa.string()), pa.array(list(found), pa.int64()),
-             pa.array(list(found.values()), pa.list_(pa.int32()))], names=["host", "shape_key", "content"])
+             pa.array([",".join(map(str, c)) for c in found.values()], pa.string())], names=["host", "shape_key", "content"])
 
     host, rows = None, []
     for batch in batches:
@@ -326,30 +327,35 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = stage(source.mapInArrow(
         _blocks, f"page_id {kind}, url string, host string, shape_key long, shape string, "
                  "blocks array<struct<slot:int,text:string,link:int>>"), "html-blocks")
-    # copies of a page count once: one row per host, skeleton and block texts
-    distinct = rows.groupBy("host", "shape_key", F.xxhash64("blocks").alias("page")).agg(
-        F.min("shape").alias("shape"), F.min("blocks").alias("blocks"))
-    one = distinct.select("host", "shape_key", "shape", "blocks")
+    # only slots, hashes and lengths of the blocks are shuffled; copies of a page count once
+    brief = F.transform("blocks", lambda b: F.struct(
+        b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("text"), F.length(b["text"]).alias("chars"),
+        b["link"].alias("link")))
+    one = (rows.select("host", "shape_key", brief.alias("brief"))
+           .groupBy("host", "shape_key", F.xxhash64("brief").alias("page")).agg(F.min("brief").alias("brief")))
+    one = stage(one.select("host", "shape_key", "brief"), "html-pages")
     host_pages = one.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    shapes = one.groupBy("host", "shape_key").agg(F.min("shape").alias("shape"), F.count(F.lit(1)).alias("n"))
-    texts = (one.select("host", "shape_key", F.explode("blocks").alias("b"))
-             .groupBy("host", "shape_key", F.col("b.slot").alias("slot"), F.xxhash64("b.text").alias("text"))
-             .agg(F.count(F.lit(1)).alias("times"), F.sum(F.length("b.text")).alias("chars"),
-                  F.sum("b.link").alias("links")))
-    slots = (texts.join(shapes.select("host", "shape_key", "n"), ["host", "shape_key"])
+    shapes = (rows.groupBy("host", "shape_key").agg(F.min("shape").alias("shape"))
+              .join(one.groupBy("host", "shape_key").agg(F.count(F.lit(1)).alias("n")), ["host", "shape_key"]))
+    texts = (one.select("host", "shape_key", F.explode("brief").alias("b"))
+             .groupBy("host", "shape_key", F.col("b.slot").alias("slot"), F.col("b.text").alias("text"))
+             .agg(F.count(F.lit(1)).alias("times"), F.sum("b.chars").alias("chars"), F.sum("b.link").alias("links")))
+    sizes = one.groupBy("host", "shape_key").agg(F.count(F.lit(1)).alias("n"))
+    slots = (texts.join(sizes, ["host", "shape_key"])
              .groupBy("host", "shape_key", "slot")
              .agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"),
                   F.sum(F.when(2 * F.col("times") >= F.col("n"), F.col("chars")).otherwise(0)).alias("constant"))
              .groupBy("host", "shape_key")
              .agg(F.collect_list(F.struct("slot", "chars", "links", "constant")).alias("slots")))
-    induced = (shapes.join(slots, ["host", "shape_key"]).join(host_pages, "host")
-               .repartition(partitions(spark), "host")
-               .sortWithinPartitions("host", F.desc("n"), "shape_key")
-               .select("host", "shape_key", "shape", "slots", "host_pages")
-               .mapInArrow(_induce, "host string, shape_key long, content array<int>"))
+    induced = stage(shapes.join(slots, ["host", "shape_key"]).join(host_pages, "host")
+                    .repartition(partitions(spark), "host")
+                    .sortWithinPartitions("host", F.desc("n"), "shape_key")
+                    .select("host", "shape_key", "shape", "slots", "host_pages")
+                    .mapInArrow(_induce, "host string, shape_key long, content string"), "html-wrappers")
+    wanted = F.split("content", ",")
     text = F.array_join(F.transform(
-        F.filter("blocks", lambda b: F.array_contains("content", b["slot"])), lambda b: b["text"]), "\n")
-    out = (rows.select("page_id", "url", "host", "shape_key", "blocks")
-           .join(induced, ["host", "shape_key"], "left")
+        F.filter("blocks", lambda b: F.array_contains(wanted, b["slot"].cast("string"))), lambda b: b["text"]), "\n")
+    # wrappers within the byte bound are broadcast, so that no text is shuffled
+    out = (join_bounded(rows.select("page_id", "url", "host", "shape_key", "blocks"), induced, ["host", "shape_key"], "left")
            .select("page_id", "url", F.coalesce(text, F.lit("")).alias("text")))
     return out.withColumn("n_chars", F.length("text").cast("long"))
