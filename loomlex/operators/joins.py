@@ -40,3 +40,22 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner",
                  known_rows: int | None = None) -> DataFrame:
     """Join ``big`` with ``small``, broadcasting ``small`` only behind the bound."""
     return big.join(bounded_broadcast(small, known_rows), on, how)
+
+
+HEAD_ROWS = 100_000
+
+
+def join_head_tail(big: DataFrame, small: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``big`` with ``small`` (one row per ``key``) when few keys own
+    many rows of ``big``; ``weight`` is a key's row count in ``big``.
+
+    Within the byte bound ``small`` is broadcast.  Beyond it, the keys that own at
+    least one in ``HEAD_ROWS`` of all rows (so at most ``HEAD_ROWS`` keys) are
+    broadcast and never shuffled; only the rows of the other keys are."""
+    if measured_bytes(small) <= MAX_BROADCAST_BYTES:
+        return big.join(F.broadcast(small), key)
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    is_head = F.col(weight) * HEAD_ROWS >= total
+    head, tail = small.where(is_head), small.where(~is_head)
+    rest = big.join(F.broadcast(head.select(key)), key, "left_anti")
+    return big.join(F.broadcast(head), key).unionByName(rest.join(tail, key))

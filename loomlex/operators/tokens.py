@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomlex.functions.constants import CONFIG_EXCLUDE_WORDS, EN_STOP_WORDS
 from loomlex.functions.text import prepare, tokenize
 from loomlex.operators.ids import dense_ids
-from loomlex.operators.joins import join_bounded
+from loomlex.operators.joins import join_bounded, join_head_tail
 from loomlex.session import stage_table
 
 
@@ -165,8 +165,7 @@ def build_corpus(docs: DataFrame, stop_words: list[str] | DataFrame | None = Non
     stats = term_stats(tf_all).where(F.col("cf") >= min_cf)
     dictionary = assign_token_ids(stats)
     vocab = dictionary.count()
-    bow_full = join_bounded(tf_all, dictionary.select("term", "token_id", "df"), "term",
-                            "inner", known_rows=vocab)
+    bow_full = join_head_tail(tf_all, dictionary.select("term", "token_id", "df"), "term", "df")
     tf = bow_full.select("doc_id", "term", "tf")
     bow = bow_full.select("doc_id", "token_id", "tf", "df")
     return Corpus(tf=tf, dictionary=dictionary, bow=bow,

@@ -36,8 +36,8 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents")
 
 
-def _scan_docs(spark, sf) -> DataFrame:
-    return spread(docs(spark, sf).select("doc_id", "text"))
+def _scan_docs(spark, sf, *more: str) -> DataFrame:
+    return spread(docs(spark, sf).select("doc_id", "text", *more))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -228,3 +228,26 @@ def c4(spark, sf):
     out = counts.join(spans, "doc_id", "left")
     return out.select("doc_id", F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
                       *[F.col(t).alias(f"n_{t}") for t in TYPES])
+
+
+@query("e3_full_report", f"""
+WITH {_TOK_CTES},
+src AS (SELECT d.source AS img, m.doc_id AS doc, m.token AS ent, m.doc_id AS o1, m.pos AS o2
+        FROM ments m JOIN documents d USING (doc_id)),
+pts AS (WITH {_POINTS_SQL})
+SELECT 'span' AS section, CAST(doc_id AS VARCHAR) AS a,
+       CAST(char_start AS VARCHAR) || ':' || CAST(span_end AS VARCHAR) || ':' || ent_type AS b, 1 AS n FROM ments
+UNION ALL SELECT 'surface', lower(ent_type), token, count(*) FROM ments GROUP BY 2, 3
+UNION ALL SELECT 'point', CAST(x AS VARCHAR), CAST(y AS VARCHAR) || ':' || CAST(z AS VARCHAR), 1 FROM pts
+""")
+def e3_full(spark, sf):
+    """The whole report of the entity job in one table: spans, surfaces, points."""
+    from loomlex.plans.jobs import entity_job
+    rep = entity_job(_scan_docs(spark, sf, "source"), image_col="source")
+    one = F.lit(1).cast("bigint").alias("n")
+    spans = rep["spans"].select(F.lit("span").alias("section"), F.col("doc_id").cast("string").alias("a"),
+                                F.explode(F.transform("spans", EN.span_label)).alias("b"), one)
+    surfaces = rep["histogram"].select(F.lit("surface"), "ent_type", "surface", "n")
+    points = rep["points"].select(F.lit("point"), F.col("x").cast("string"),
+                                  F.concat_ws(":", F.col("y").cast("string"), F.col("z").cast("string")), one)
+    return spans.union(surfaces).union(points)
