@@ -176,3 +176,24 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows; all columns stay."""
     bad = contamination(docs, benchmark).where(contaminated()).select(F.col("row_key").alias("_lx_key")).distinct()
     return docs.withColumn("_lx_key", row_key()).join(bad, "_lx_key", "left_anti").drop("_lx_key")
+
+
+SQL = r"""
+WITH up AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+iw AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+       FROM benchmark, up WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[i:i + 12], ' ') AS win
+        FROM iw, range(1, 10000) t(i) WHERE len(ws) > 0 AND (i = 1 OR i + 12 <= len(ws))),
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents, up),
+pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM dw),
+ns AS (SELECT DISTINCT n FROM win),
+cand AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM pos, ns WHERE i + n - 1 <= len(ws)),
+hit AS (SELECT c.doc_id, c.i, c.n, w.item_id FROM cand c JOIN win w ON w.win = c.win AND w.n = c.n),
+hw AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM hit),
+nh AS (SELECT doc_id, count(*) AS n_hit FROM hw GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+       FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)
+"""

@@ -242,3 +242,25 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """``docs`` with one row of each near-duplicate group; all columns stay."""
     gone = near_groups(docs, shingle_words).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])
+                                          ELSE ws END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sets AS (SELECT doc_id, n, md5(string_agg(sh, chr(10) ORDER BY sh)) AS h FROM s JOIN n USING (doc_id) GROUP BY doc_id, n),
+rep AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS rep FROM sets),
+r AS (SELECT s.sh, s.doc_id AS rep, p.n FROM s JOIN rep p ON p.doc_id = s.doc_id AND p.rep = p.doc_id),
+pair AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM r a JOIN r b ON a.sh = b.sh AND a.rep < b.rep
+         AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+link AS (SELECT a, b FROM pair WHERE 100 * k >= 80 * (na + nb - k)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+comp AS (SELECT a AS rep, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(rep.n, 0) AS n_shingles, coalesce(comp.c, rep.rep, d.doc_id) AS component_id,
+       d.doc_id = coalesce(comp.c, rep.rep, d.doc_id) AS kept
+FROM documents d LEFT JOIN rep USING (doc_id) LEFT JOIN comp ON comp.rep = rep.rep
+"""

@@ -40,7 +40,7 @@ def op3(spark, sf):
     return packing.pack(read_table(spark, sf, "documents"))
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", substring_dedup.SQL)
 def op4(spark, sf):
     return substring_dedup.report(read_table(spark, sf, "documents"))
 
@@ -50,7 +50,7 @@ def op5(spark, sf):
     return suffix_dedup.report(read_table(spark, sf, "documents"))
 
 
-@query("op6_near_dedup")
+@query("op6_near_dedup", near_dedup.SQL)
 def op6(spark, sf):
     return near_dedup.near_groups(read_table(spark, sf, "documents"), shingle_words=2)
 
@@ -60,7 +60,7 @@ def op7(spark, sf):
     return url_filter.judge(read_table(spark, sf, "pages"))
 
 
-@query("op8_decontaminate")
+@query("op8_decontaminate", decontaminate.SQL)
 def op8(spark, sf):
     return decontaminate.report(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
 

@@ -287,3 +287,20 @@ def report(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (source.join(by_doc, "row_key", "left").select("doc_id", "text", "spans")
             .mapInArrow(_removal, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"))
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+hs AS (SELECT doc_id, list_transform(range(1, len(ws) - 33), lambda i: md5(array_to_string(ws[i:i + 34], ' '))) AS hs FROM w),
+win AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM hs),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM rep)),
+cov AS (SELECT p.doc_id, p.i, word, max(CASE WHEN s.i IS NOT NULL THEN 1 ELSE 0 END)
+          OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+        FROM p LEFT JOIN starts s ON s.doc_id = p.doc_id AND s.i = p.i),
+agg AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed,
+               string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM cov GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN agg USING (doc_id)
+"""
