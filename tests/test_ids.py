@@ -22,8 +22,9 @@ def test_first_seen_ids(spark):
     assert got == {"b": 0, "a": 1, "c": 2}
 
 
-def test_dense_ids_small_path_matches(spark):
+def test_dense_ids_do_not_depend_on_partitions(spark):
+    """One path at every size: the ids are the positions in key order."""
     df = spark.range(0, 300).select((F.col("id") * 37 % 301).alias("k"))
-    a = {r.k: r.rid for r in dense_ids(df, ["k"], "rid").collect()}
-    b = {r.k: r.rid for r in dense_ids(df, ["k"], "rid", known_rows=300).collect()}
-    assert a == b
+    want = {k: i for i, k in enumerate(sorted(r.k for r in df.collect()))}
+    for n in (1, 7, None):
+        assert {r.k: r.rid for r in dense_ids(df, ["k"], "rid", num_partitions=n).collect()} == want
