@@ -1,37 +1,17 @@
-"""Helpers shared by the training-data operators: stage tables, keys, joins."""
+"""Helpers shared by the training-data operators: stage tables, keys, spreading."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlex.session import ensure_checkpoint_dir, shuffle_partitions
+from loomlex.session import shuffle_partitions, stage_table
 
 # Characters that separate words: [\x20\x09-\x0D], as a Java regex class.
 BLANKS = r"[\x20\x09-\x0D]"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
-
-    The files survive lost executors and cut the lineage; reads prune columns.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Delete the files behind a table made by ``stage`` once nothing lazy reads it."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+stage = stage_table
 
 
 def partitions(spark: SparkSession) -> int:
