@@ -174,10 +174,10 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = THRESHOL
         "near-sketches")
     same = ["set_a", "set_b", "n_shingles"]
     known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = known.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    member = known.join(reps, same).select("doc_id", "rep", "n_shingles", "bands")
-    first = member.where("doc_id = rep").dropDuplicates(["rep", "n_shingles"])
-    keys = first.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    # equal sets have equal bands: one representative per task and set is shuffled
+    reps = stage(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-reps")
+    member = known.select("doc_id", *same).join(reps.select(*same, "rep"), same)
+    keys = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = stage(keys.join(full, "key"), "near-buckets")
     weight = met.groupBy("rep").agg(F.sum("size").alias("weight"))
