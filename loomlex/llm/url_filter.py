@@ -81,9 +81,10 @@ def templates(shapes: DataFrame, levels: int = LEVELS) -> DataFrame:
                 .when((F.col("alike") > 1) & similar, F.concat(F.lit("+"), F.col("label")))
                 .otherwise(F.col("seg")))
         kids = kids.select("host", "template", "seg", name.alias("name"))
-        tree = (tree.join(kids, ["host", "template", "seg"])
-                .withColumn("template", F.concat("template", F.lit("/"), "name"))
-                .drop("seg", "name"))
+        # staged level by level: the plan stays small however deep the tree is
+        tree = stage(tree.join(kids, ["host", "template", "seg"])
+                     .withColumn("template", F.concat("template", F.lit("/"), "name"))
+                     .drop("seg", "name"), "url-tree")
     return tree
 
 
