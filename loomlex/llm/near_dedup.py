@@ -11,11 +11,11 @@
    the member that meets most others over all its buckets.  At a similarity of
    0.8 a pair shares no bucket with probability (1 - 0.8**5)**32 = 3e-6.
 4. Links are confirmed on the full sets, after a filter by set size.  In buckets
-   that still hold several components, ``CENTRES - 1`` further centres are tried on
-   the members outside their component; at last each member that is still outside
-   the component of the bucket's first centre becomes the centre of a star of its
-   own.  So every two members of a bucket end in one component or were compared,
-   and the pairs grow with the members left over, not with the square of a group.
+   that still hold several components, further centres are tried on the members
+   outside their component (``CENTRES`` rounds).  What is still outside then is
+   compared with all members of its buckets' components block by block, through
+   an inverted index, without a row per pair.  So every two members of a bucket
+   end in one component or were compared.
 5. Components by smallest identifier (hooking and pointer jumping on tables).
 
 Defined cases: null or blank text has an empty set and is linked with nothing;
@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlex.llm.arrays import LOWER, gram_hashes, mix, text_chunks, word_hashes, words
-from loomlex.llm.common import row_key, spread, stage
+from loomlex.llm.common import partitions, spread, stage
 
 ROWS, BANDS = 5, 32
-CENTRES = 3
+CENTRES = 2
 THRESHOLD_PERCENT = 80
 
 
@@ -165,6 +165,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after new links: only the components that they connect are searched."""
+    name = {c: labels.select(F.col("rep").alias(c), F.col("label").alias(f"{c}_label")) for c in ("hub", "rep")}
+    between = stage(links.join(name["hub"], "hub").join(name["rep"], "rep")
+                    .select(F.col("hub_label").alias("hub"), F.col("rep_label").alias("rep"))
+                    .where("hub <> rep").distinct(), "near-between")
+    if between.isEmpty():
+        return labels
+    ends = between.select("rep").union(between.select("hub")).distinct()
+    low = components(ends, between).select(F.col("rep").alias("label"), F.col("label").alias("low"))
+    return stage(labels.join(low, "label", "left").select("rep", F.coalesce("low", "label").alias("label")), "near-labels")
+
+
 def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     source = spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
@@ -187,8 +200,8 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = THRESHOL
     sets = stage(text.mapInArrow(_sets(shingle_words), f"rep {kind}, shingles binary"), "near-sets")
 
     labels = nodes.select("rep", F.col("rep").alias("label"))
-    links = checked = used = None
-    for step in range(CENTRES + 1):
+    checked = used = None
+    for step in range(CENTRES):
         now = buckets.join(labels, "rep")
         if step:
             split = now.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
@@ -196,16 +209,10 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = THRESHOL
             if now.isEmpty():
                 break
             buckets = now.drop("label")
-        if step < CENTRES:
-            free = now if used is None else now.join(used, ["key", "rep"], "left_anti")
-            hubs = _centres(free)
-            used = stage(hubs.select("key", F.col("hub").alias("rep")) if used is None else
-                         used.union(hubs.select("key", F.col("hub").alias("rep"))), "near-used")
-        else:
-            # every member outside the component of its bucket's centre
-            main = _centres(now).select("key", F.col("hub_label").alias("main"))
-            hubs = now.join(main, "key").where("label <> main").select(
-                "key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
+        free = now if used is None else now.join(used, ["key", "rep"], "left_anti")
+        hubs = _centres(free)
+        done = hubs.select("key", F.col("hub").alias("rep"))
+        used = stage(done if used is None else used.union(done), "near-used")
         small, large = F.least("n", "hub_n"), F.greatest("n", "hub_n")
         stars = (now.join(hubs, "key").where((F.col("label") != F.col("hub_label")) & (100 * small >= percent * large))
                  .select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("rep")).distinct())
@@ -213,9 +220,8 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = THRESHOL
             stars = stars.join(checked, ["hub", "rep"], "left_anti")
         stars = stage(stars, "near-stars")
         checked = stars if checked is None else checked.union(stars)
-        found = confirm(stars, sets, percent, kind)
-        links = stage(found if links is None else links.union(found), "near-links")
-        labels = components(nodes, links)
+        labels = merged(labels, stage(confirm(stars, sets, percent, kind), "near-links"))
+    labels = merged(labels, leftover_links(buckets.join(labels, "rep"), sets, percent, kind))
     of = (member.select("doc_id", "n_shingles", "rep").join(labels, "rep", "left")
           .select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id")))
     rest = rows.where("n_shingles = 0 OR doc_id IS NULL").select(
@@ -224,6 +230,71 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = THRESHOL
                                  F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+BLOCK_SETS = 2048
+
+
+def _blocks(percent: int):
+    """Compare the outsiders (role 1) of each block with its sets (role 0, sorted
+    first) through an inverted index; one link per outsider and component."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, reps, labels, sizes, held, index = None, [], [], [], [], None
+        for batch in batches:
+            hubs, others = [], []
+            columns = [batch[c].to_pylist() for c in ("main", "salt", "role", "rep", "label")]
+            for main, salt, role, rep, label, raw in zip(*columns, batch["shingles"], strict=True):
+                found = np.frombuffer(raw.as_buffer(), np.uint64)
+                if (main, salt) != block:
+                    block, reps, labels, sizes, held, index = (main, salt), [], [], [], [], None
+                if role == 0:
+                    reps.append(rep)
+                    labels.append(label)
+                    sizes.append(len(found))
+                    held.append(found.copy())
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    values = np.concatenate(held)
+                    order = np.argsort(values, kind="stable")
+                    index = values[order], np.repeat(np.arange(len(held)), sizes)[order], np.array(sizes)
+                values, owner, size = index
+                lo, hi = np.searchsorted(values, found, "left"), np.searchsorted(values, found, "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                both = np.bincount(owner[at], minlength=len(size))
+                close = np.flatnonzero((both > 0) & (100 * both >= percent * (size + len(found) - both)))
+                linked = {labels[i]: reps[i] for i in close.tolist() if labels[i] != label}
+                hubs += [rep] * len(linked)
+                others += linked.values()
+            kind = batch["rep"].type
+            yield pa.RecordBatch.from_arrays([pa.array(hubs, kind), pa.array(others, kind)], names=["hub", "rep"])
+    return run
+
+
+def leftover_links(members: DataFrame, sets: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links of the members that the centres left outside.
+
+    Buckets with several components are grouped by the component of their centre.
+    A group's sets are dealt to blocks of about ``BLOCK_SETS``; the outsiders go to
+    every block of their group.  What is shuffled grows with the sets and with
+    outsiders times blocks, and no pair of texts ever becomes a row unless linked.
+    """
+    spread_out = members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    now = stage(members.join(spread_out.select("key"), "key", "left_semi"), "near-split")
+    main = _centres(now).select("key", F.col("hub_label").alias("main"))
+    inside = stage(now.join(main, "key").select("main", "rep", "label").distinct(), "near-groups")
+    blocks = inside.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
+    dealt = inside.join(blocks, "main").join(sets, "rep")
+    own = dealt.select("main", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("salt"), F.lit(0).alias("role"),
+                       "rep", "label", "shingles")
+    outside = dealt.where("label <> main").select(
+        "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(1).alias("role"),
+        "rep", "label", "shingles")
+    rows = own.union(outside)
+    return stage(rows.repartition(partitions(members.sparkSession), "main", "salt").sortWithinPartitions("main", "salt", "role")
+                 .mapInArrow(_blocks(percent), f"hub {kind}, rep {kind}"), "near-links")
+
+
 def _centres(members: DataFrame) -> DataFrame:
     """(key, hub, hub_n, hub_label): per bucket the member of the largest weight."""
     best = F.max(F.struct("weight", "rep", "n", "label")).alias("h")
