@@ -3,10 +3,11 @@
 1. Every page is parsed once into a tree of block elements.  Equal neighbouring
    siblings collapse into one repeated node, which gives the page's skeleton;
    each text block knows its node (slot).  The blocks go to a stage table.
-2. Statistics cover all pages: per host and skeleton, how often each block's
-   text recurs over distinct pages, and how much of a slot is link text.
-3. Per host the distinct skeletons are aligned by simple tree matching into one
-   master tree.  Slots whose text is constant over the host's pages are template,
+2. Per host the distinct skeletons are aligned by simple tree matching into one
+   master tree; every slot of a skeleton gets its master slot.
+3. Statistics cover all pages: per host and master slot, on how many of the
+   distinct pages that hold the slot each text occurs, and how much of it is link
+   text.  Slots whose text is constant over the host's pages are template,
    and so are menus, headers, footers, sidebars, notices, adverts, forms and
    comments by their tag, class or role, and slots made of links; what varies
    inside the article (or, without one, elsewhere) is content.
@@ -17,8 +18,8 @@ Scripts, styles and comments never become blocks.  An unfinished tag at the end
 of a cut-off page is markup and goes.  ``<br>`` is white space inside a block.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of
-its own; a host with fewer than ``MIN_PAGES`` distinct pages has no constant
-slots; copies of a page count once; rows that repeat are extracted each; an
+its own; a slot that fewer than ``MIN_PAGES`` distinct pages hold is not
+constant; copies of a page count once; rows that repeat are extracted each; an
 empty table gives no rows; other columns are ignored; elements nested deeper
 than ``MAX_DEPTH`` are read as children of their ancestor at that depth.
 """
@@ -180,7 +181,7 @@ def skeleton(root: Node) -> tuple[list, list[tuple[int, str, int]]]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string()), ("link", pa.int32())]))
+    kind = pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string()), ("link", pa.int32()), ("first", pa.bool_())]))
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
@@ -189,7 +190,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tree, blocks = skeleton(parse(page))
                 shapes.append(json.dumps(tree, separators=(",", ":")))
                 keys.append(int.from_bytes(hashlib.blake2b(shapes[-1].encode(), digest_size=8).digest(), "big", signed=True))
-                found.append([{"slot": s, "text": t, "link": k} for s, t, k in blocks])
+                seen: set[tuple[int, str]] = set()
+                one = []
+                for s, t, k in blocks:
+                    one.append({"slot": s, "text": t, "link": k, "first": (s, t) not in seen})
+                    seen.add((s, t))
+                found.append(one)
             yield pa.RecordBatch.from_arrays(
                 [part["page_id"], part["url"], part["host"], pa.array(keys, pa.int64()),
                  pa.array(shapes, pa.string()), pa.array(found, kind)],
@@ -197,13 +203,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Master:
-    """A node of the master tree with the statistics of all aligned slots."""
+    """A node of the master tree."""
 
-    __slots__ = ("label", "children", "chars", "links", "constant")
+    __slots__ = ("label", "children")
 
     def __init__(self, label: str):
         self.label, self.children = label, []
-        self.chars = self.links = self.constant = 0
 
 
 def _match(a: Master, b: list) -> tuple[int, list]:
@@ -249,67 +254,90 @@ def _align(master: Master, tree: list, pairs: list, slots: list) -> None:
     master.children += new
 
 
-def wrappers(skeletons: list[tuple[int, list, list]], n_pages: int) -> dict[int, list[int]]:
-    """Per skeleton key: its content slots.
-
-    ``skeletons``: (key, tree, [(slot, chars, link chars, constant chars)]), the
-    most frequent first.
-    """
-    master = Master(skeletons[0][1][0])
+def induce(trees: list[tuple[int, list]]) -> tuple[list, dict[int, list[int]]]:
+    """(master tree, per key the master slot of each of its slots) of (key, tree),
+    the most frequent first.  Slots number the master tree in preorder."""
+    master = Master(trees[0][1][0])
     placed = []
-    for key, tree, stats in skeletons:
+    for key, tree in trees:
         slots: list[Master] = []
         _align(master, tree, _match(master, tree)[1], slots)
-        for slot, chars, links, constant in stats:
-            node = slots[slot]
-            node.chars += chars
-            node.links += links
-            node.constant += constant
         placed.append((key, slots))
+    numbers: dict[int, int] = {}
+
+    def number(node):
+        numbers[id(node)] = len(numbers)
+        return [node.label, [number(child) for child in node.children]]
+
+    tree = number(master)
+    return tree, {key: [numbers[id(node)] for node in slots] for key, slots in placed}
+
 
-    good: set[int] = set()
-    inside: set[int] = set()
+def grades(tree: list, stats: dict[int, tuple[int, int, int]]) -> dict[int, int]:
+    """Master slots of content: 2 inside the article, 1 elsewhere.
 
-    def judge(node, template, article):
-        tag = node.label.split(".")[0].rstrip("!")
-        template = template or node.label.endswith("!") or tag in TEMPLATE_TAGS and not (article and tag == "header")
+    ``stats``: per master slot (chars, link chars, constant chars).
+    """
+    out: dict[int, int] = {}
+
+    def judge(node, at, template, article):
+        """Judges the subtree from slot ``at``; returns the next free slot."""
+        label = node[0]
+        tag = label.split(".")[0].rstrip("!")
+        template = template or label.endswith("!") or tag in TEMPLATE_TAGS and not (article and tag == "header")
         article = article or tag in ("article", "main")
-        fixed = n_pages >= MIN_PAGES and node.constant >= CONSTANT * node.chars
-        if node.chars and not template and not fixed and node.links <= LINKS * node.chars:
-            good.add(id(node))
-            if article:
-                inside.add(id(node))
-        for child in node.children:
-            judge(child, template, article)
-
-    judge(master, False, False)
-    out = {}
-    for key, slots in placed:
-        main = [s for s, n in enumerate(slots) if id(n) in inside]
-        out[key] = main or [s for s, n in enumerate(slots) if id(n) in good]
+        chars, links, constant = stats.get(at, (0, 0, 0))
+        if chars and not template and constant < CONSTANT * chars and links <= LINKS * chars:
+            out[at] = 2 if article else 1
+        at += 1
+        for child in node[1]:
+            at = judge(child, at, template, article)
+        return at
+
+    judge(tree, 0, False, False)
     return out
 
 
+_PLACED = "host string, shape_key long, slot int, node int, tree string"
+
+
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by host, the most frequent skeleton first."""
-    def emit(host, rows):
-        found = wrappers([(r["shape_key"], json.loads(r["shape"]),
-                           [(s["slot"], s["chars"], s["links"], s["constant"]) for s in r["slots"]]) for r in rows],
-                         rows[0]["host_pages"])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([host] * len(found), pa.string()), pa.array(list(found), pa.int64()),
-             pa.array([",".join(map(str, c)) for c in found.values()], pa.string())], names=["host", "shape_key", "content"])
-
-    host, rows = None, []
+    """The master slot (``node``) of every slot, and one row per host with its master
+    tree.  Rows come sorted by host, the most frequent skeleton first."""
+    def emit(host, trees):
+        tree, found = induce(trees)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([host], pa.string()), pa.array([None], pa.int64()), pa.array([None], pa.int32()),
+             pa.array([None], pa.int32()), pa.array([json.dumps(tree, separators=(",", ":"))], pa.string())],
+            names=["host", "shape_key", "slot", "node", "tree"])
+        for key, slots in found.items():
+            n = len(slots)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([host] * n, pa.string()), pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()),
+                 pa.array(slots, pa.int32()), pa.array([None] * n, pa.string())],
+                names=["host", "shape_key", "slot", "node", "tree"])
+
+    host, trees = None, []
     for batch in batches:
         for r in batch.to_pylist():
-            if rows and r["host"] != host:
-                yield emit(host, rows)
-                rows = []
+            if trees and r["host"] != host:
+                yield from emit(host, trees)
+                trees = []
             host = r["host"]
-            rows.append(r)
-    if rows:
-        yield emit(host, rows)
+            trees.append((r["shape_key"], json.loads(r["shape"])))
+    if trees:
+        yield from emit(host, trees)
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per content slot of each host's master tree."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            found = grades(json.loads(r["tree"]),
+                           {s["node"]: (s["chars"], s["links"], s["constant"]) for s in r["stats"]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["host"]] * len(found), pa.string()), pa.array(list(found), pa.int32()),
+                 pa.array(list(found.values()), pa.int32())], names=["host", "node", "grade"])
 
 
 def host_of(url: Column) -> Column:
@@ -326,32 +354,41 @@ def extract(pages: DataFrame) -> DataFrame:
                                  F.coalesce("html", F.lit("")).alias("html")))
     rows = stage(source.mapInArrow(
         _blocks, f"page_id {kind}, url string, host string, shape_key long, shape string, "
-                 "blocks array<struct<slot:int,text:string,link:int>>"), "html-blocks")
+                 "blocks array<struct<slot:int,text:string,link:int,first:boolean>>"), "html-blocks")
     # only slots, hashes and lengths of the blocks are shuffled; copies of a page count once
     brief = F.transform("blocks", lambda b: F.struct(
         b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("text"), F.length(b["text"]).alias("chars"),
-        b["link"].alias("link")))
+        b["link"].alias("link"), b["first"].alias("first")))
     one = (rows.select("host", "shape_key", brief.alias("brief"))
            .groupBy("host", "shape_key", F.xxhash64("brief").alias("page")).agg(F.min("brief").alias("brief")))
     one = stage(one.select("host", "shape_key", "brief"), "html-pages")
-    host_pages = one.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    shapes = (rows.groupBy("host", "shape_key").agg(F.min("shape").alias("shape"))
-              .join(one.groupBy("host", "shape_key").agg(F.count(F.lit(1)).alias("n")), ["host", "shape_key"]))
-    texts = (one.select("host", "shape_key", F.explode("brief").alias("b"))
-             .groupBy("host", "shape_key", F.col("b.slot").alias("slot"), F.col("b.text").alias("text"))
-             .agg(F.count(F.lit(1)).alias("times"), F.sum("b.chars").alias("chars"), F.sum("b.link").alias("links")))
     sizes = one.groupBy("host", "shape_key").agg(F.count(F.lit(1)).alias("n"))
-    slots = (texts.join(sizes, ["host", "shape_key"])
-             .groupBy("host", "shape_key", "slot")
-             .agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"),
-                  F.sum(F.when(2 * F.col("times") >= F.col("n"), F.col("chars")).otherwise(0)).alias("constant"))
-             .groupBy("host", "shape_key")
-             .agg(F.collect_list(F.struct("slot", "chars", "links", "constant")).alias("slots")))
-    induced = stage(shapes.join(slots, ["host", "shape_key"]).join(host_pages, "host")
-                    .repartition(partitions(spark), "host")
+    shapes = rows.groupBy("host", "shape_key").agg(F.min("shape").alias("shape")).join(sizes, ["host", "shape_key"])
+    aligned = stage(shapes.repartition(partitions(spark), "host")
                     .sortWithinPartitions("host", F.desc("n"), "shape_key")
-                    .select("host", "shape_key", "shape", "slots", "host_pages")
-                    .mapInArrow(_induce, "host string, shape_key long, content string"), "html-wrappers")
+                    .select("host", "shape_key", "shape").mapInArrow(_induce, _PLACED), "html-aligned")
+    trees = aligned.where("tree IS NOT NULL").select("host", "tree")
+    placed = aligned.where("tree IS NULL").select("host", "shape_key", "slot", "node")
+    # the pages that hold a master slot, and those of them on which a text occurs in it
+    holding = placed.join(sizes, ["host", "shape_key"]).groupBy("host", "node").agg(F.sum("n").alias("pages"))
+    blocks = one.select("host", "shape_key", F.explode("brief").alias("b")).select(
+        "host", "shape_key", F.col("b.slot").alias("slot"), F.col("b.text").alias("text"),
+        F.col("b.chars").alias("chars"), F.col("b.link").alias("link"), F.col("b.first").alias("first"))
+    texts = (join_bounded(blocks, placed, ["host", "shape_key", "slot"]).groupBy("host", "node", "text")
+             .agg(F.count_if("first").alias("times"), F.sum("chars").alias("chars"), F.sum("link").alias("links")))
+    fixed = (F.col("pages") >= MIN_PAGES) & (2 * F.col("times") >= F.col("pages"))
+    stats = (join_bounded(texts, holding, ["host", "node"]).groupBy("host", "node")
+             .agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"),
+                  F.sum(F.when(fixed, F.col("chars")).otherwise(0)).alias("constant"))
+             .groupBy("host").agg(F.collect_list(F.struct("node", "chars", "links", "constant")).alias("stats")))
+    graded = stage(trees.join(stats, "host").select("host", "tree", "stats")
+                   .mapInArrow(_judge, "host string, node int, grade int"), "html-grades")
+    inside, outside = (F.collect_list(F.when(F.col("grade") == g, F.col("slot"))) for g in (2, 1))
+    induced = stage(join_bounded(placed, graded, ["host", "node"]).groupBy("host", "shape_key")
+                    .agg(inside.alias("inside"), outside.alias("outside"))
+                    .select("host", "shape_key", F.array_join(
+                        F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("outside")).cast("array<string>"),
+                        ",").alias("content")), "html-wrappers")
     wanted = F.split("content", ",")
     text = F.array_join(F.transform(
         F.filter("blocks", lambda b: F.array_contains(wanted, b["slot"].cast("string"))), lambda b: b["text"]), "\n")

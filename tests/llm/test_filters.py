@@ -208,6 +208,26 @@ def test_extraction_of_given_pages(spark):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def test_constancy_over_the_hosts_pages(spark):
+    """A host whose pages all differ in layout keeps its articles; what most of its
+    pages repeat in one aligned place is template, a part of one page is content."""
+    parts = ["<p>a{i}</p><ul><li>b{i}</li></ul>", "<p>a{i}</p><h2>c{i}</h2><p>d{i}</p>", "<h2>c{i}</h2><p>a{i}</p>",
+             "<p>a{i}</p><table><tr><td>e{i}</td></tr></table>", "<p>a{i}</p><ul><li>b{i}</li></ul><p>d{i}</p>",
+             "<p>a{i}</p><ol><li>f{i}</li></ol>"]
+    bodies = [p.format(i=i) for i, p in enumerate(parts)]
+    rows = [(i, f"http://h.com/{i}", f"<div class=x><p>Always the same words</p></div><article>{b}</article>")
+            for i, b in enumerate(bodies)]
+    # without an article the constant slot itself shows, and a text twice on a page counts once
+    rows += [(10 + i, f"http://k.com/{i}", f"<div class=x><p>The same</p></div><div class=y>{b}<h5>{'<b>z</b>'}</h5>"
+              + (f"<h6>r{i}</h6>" * 9 if i < 3 else "") + "</div>") for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text.split("\n") for r in
+           html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, b in enumerate(bodies):
+        want = [w for w in b.replace("<", " <").replace(">", "> ").split() if "<" not in w and ">" not in w]
+        assert got[i] == want
+        assert got[10 + i] == want + [f"r{i}"] * (9 if i < 3 else 0)
+
+
 def test_tree_matching():
     """Alignment keeps order and inserts what has no partner."""
     m = html_text.Master("r")
