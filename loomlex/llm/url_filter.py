@@ -14,8 +14,12 @@ labelled rows; the others are judged by their path template:
 3. A template's purity is its blocked share, smoothed towards that of all
    labelled rows; a template of purity ``REJECT`` or more is blocked.
 
+No evidence reaches a template without labelled rows: its purity is the blocked
+share of all labelled rows.  With rules that cover whole first-level directories or
+hosts, such as ``RULES``, that is every url without a rule.
+
 Defined cases: a null url or one without ``://`` has empty host and path and is
-allowed; rows that repeat are judged each; without labelled rows everything is
+judged like any url without a rule; rows that repeat are judged each; without labelled rows everything is
 allowed; an empty table gives no rows; other columns are ignored.
 """
 
