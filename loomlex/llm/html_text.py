@@ -4,7 +4,10 @@
    siblings collapse into one repeated node, which gives the page's skeleton;
    each text block knows its node (slot).  The blocks go to a stage table.
 2. Per host the distinct skeletons are aligned by simple tree matching into one
-   master tree; every slot of a skeleton gets its master slot.
+   master tree; every slot of a skeleton gets its master slot.  Parts of about
+   ``GROUP`` skeletons give partial masters, which are aligned ``FAN`` at a time
+   by the same matching, staged level by level, so no task holds all skeletons
+   of a host; what it holds grows with the size of the masters only.
 3. Statistics cover all pages: per host and master slot, on how many of the
    distinct pages that hold the slot each text occurs, and how much of it is link
    text.  Slots whose text is constant over the host's pages are template,
@@ -40,6 +43,7 @@ from loomlex.llm.common import partitions, spread, stage
 from loomlex.operators.joins import join_bounded
 
 MIN_PAGES, CONSTANT, LINKS, MAX_DEPTH = 4, 0.9, 0.6, 64
+GROUP, FAN = 256, 8  # skeletons of a first master; masters of a level merged into one
 
 # Elements by their role in HTML.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr "
@@ -298,35 +302,69 @@ def grades(tree: list, stats: dict[int, tuple[int, int, int]]) -> dict[int, int]
     return out
 
 
-_PLACED = "host string, shape_key long, slot int, node int, tree string"
+_PLACED = "host string, part long, key long, slot int, node int, tree string, n long, parts long"
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The master slot (``node``) of every slot, and one row per host with its master
-    tree.  Rows come sorted by host, the most frequent skeleton first."""
-    def emit(host, trees):
+    """The master slot (``node``) of every slot of every tree (``key``), and one row per
+    part of a host with its master tree.  Rows come sorted by part, the most frequent
+    tree first."""
+    names = ["host", "part", "key", "slot", "node", "tree", "n", "parts"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+
+    def rows(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    def emit(host, part, parts, n, trees):
         tree, found = induce(trees)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([host], pa.string()), pa.array([None], pa.int64()), pa.array([None], pa.int32()),
-             pa.array([None], pa.int32()), pa.array([json.dumps(tree, separators=(",", ":"))], pa.string())],
-            names=["host", "shape_key", "slot", "node", "tree"])
+        yield rows([host], [part], [None], [None], [None], [json.dumps(tree, separators=(",", ":"))], [n], [parts])
         for key, slots in found.items():
-            n = len(slots)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([host] * n, pa.string()), pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()),
-                 pa.array(slots, pa.int32()), pa.array([None] * n, pa.string())],
-                names=["host", "shape_key", "slot", "node", "tree"])
+            k = len(slots)
+            yield rows([host] * k, [part] * k, [key] * k, range(k), slots, *[[None] * k] * 3)
 
-    host, trees = None, []
+    last, trees, n = None, [], 0
     for batch in batches:
         for r in batch.to_pylist():
-            if trees and r["host"] != host:
-                yield from emit(host, trees)
-                trees = []
-            host = r["host"]
-            trees.append((r["shape_key"], json.loads(r["shape"])))
+            now = (r["host"], r["part"], r["parts"])
+            if trees and now != last:
+                yield from emit(*last, n, trees)
+                trees, n = [], 0
+            last = now
+            trees.append((r["key"], json.loads(r["shape"])))
+            n += r["n"]
     if trees:
-        yield from emit(host, trees)
+        yield from emit(*last, n, trees)
+
+
+def parts_of(shapes: DataFrame, group: int) -> DataFrame:
+    """(host, part, parts, key, shape, n): a host's skeletons dealt to parts of about ``group``."""
+    parts = shapes.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group).cast("long").alias("parts"))
+    return join_bounded(shapes, parts, "host").select(
+        "host", F.pmod(F.xxhash64("shape_key"), F.col("parts")).alias("part"), "parts",
+        F.col("shape_key").alias("key"), "shape", "n")
+
+
+def align_hosts(shapes: DataFrame, group: int = GROUP, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """(host, shape_key, slot, node) and (host, tree): the master tree of every host and
+    the places of all skeletons in it, of (host, shape_key, shape, n)."""
+    level, placed = parts_of(shapes, group), None
+    while True:
+        aligned = stage(level.repartition(partitions(shapes.sparkSession), "host", "part")
+                        .sortWithinPartitions("host", "part", F.desc("n"), "key")
+                        .select("host", "part", "parts", "key", "shape", "n").mapInArrow(_induce, _PLACED), "html-aligned")
+        here = aligned.where("tree IS NULL").select("host", "part", "key", "slot", "node")
+        if placed is None:
+            placed = here.withColumnRenamed("key", "shape_key")
+        else:
+            inner = placed.select("host", "shape_key", "slot", F.col("part").alias("key"), F.col("node").alias("inner"))
+            placed = stage(join_bounded(inner, here.withColumnRenamed("slot", "inner"), ["host", "key", "inner"])
+                           .select("host", "shape_key", "slot", "part", "node"), "html-placed")
+        trees = aligned.where("tree IS NOT NULL")
+        if (trees.agg(F.max("parts")).first()[0] or 1) == 1:
+            return placed.select("host", "shape_key", "slot", "node"), trees.select("host", "tree")
+        level = trees.select("host", F.floor(F.col("part") / fan).alias("part"),
+                             F.ceil(F.col("parts") / fan).cast("long").alias("parts"),
+                             F.col("part").alias("key"), F.col("tree").alias("shape"), "n")
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +384,7 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``."""
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -364,11 +402,7 @@ def extract(pages: DataFrame) -> DataFrame:
     one = stage(one.select("host", "shape_key", "brief"), "html-pages")
     sizes = one.groupBy("host", "shape_key").agg(F.count(F.lit(1)).alias("n"))
     shapes = rows.groupBy("host", "shape_key").agg(F.min("shape").alias("shape")).join(sizes, ["host", "shape_key"])
-    aligned = stage(shapes.repartition(partitions(spark), "host")
-                    .sortWithinPartitions("host", F.desc("n"), "shape_key")
-                    .select("host", "shape_key", "shape").mapInArrow(_induce, _PLACED), "html-aligned")
-    trees = aligned.where("tree IS NOT NULL").select("host", "tree")
-    placed = aligned.where("tree IS NULL").select("host", "shape_key", "slot", "node")
+    placed, trees = align_hosts(stage(shapes, "html-shapes"), group)
     # the pages that hold a master slot, and those of them on which a text occurs in it
     holding = placed.join(sizes, ["host", "shape_key"]).groupBy("host", "node").agg(F.sum("n").alias("pages"))
     blocks = one.select("host", "shape_key", F.explode("brief").alias("b")).select(

@@ -228,6 +228,40 @@ def test_constancy_over_the_hosts_pages(spark):
         assert got[10 + i] == want + [f"r{i}"] * (9 if i < 3 else 0)
 
 
+def test_skeletons_of_a_hot_host_are_merged_in_a_tree(spark):
+    """No part of a host holds all its skeletons; the merged masters place every slot."""
+    import itertools
+    import json
+    layouts = list(itertools.product(["<p>{}</p>", "<ul><li>{}</li></ul>", "<h2>{}</h2>", "<div>{}</div>"], repeat=4))
+    rows, want = [], {}
+    for i, parts in enumerate(layouts):
+        want[i] = "\n".join(f"t{i}x{k}" for k in range(4))
+        body = "".join(p.format(f"t{i}x{k}") for k, p in enumerate(parts))
+        rows.append((i, f"http://h.com/{i}", f"<section>Always the same words</section><article>{body}</article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages, group=16).collect()} == want
+
+    trees = {}
+    for _, _, page in rows:
+        tree = html_text.skeleton(html_text.parse(page))[0]
+        trees.setdefault(json.dumps(tree), len(trees))
+    shapes = spark.createDataFrame([("h", k, t, 1) for t, k in trees.items()] + [("i", 1, next(iter(trees)), 1)],
+                                   "host string, shape_key long, shape string, n long")
+    held = [r["count"] for r in html_text.parts_of(shapes, 16).groupBy("host", "part").count().collect()]
+    assert max(held) < 48 < len(trees)
+    placed, masters = html_text.align_hosts(shapes, 16, 2)
+    labels, masters = {}, {r.host: json.loads(r.tree) for r in masters.collect()}
+    assert set(masters) == {"h", "i"}
+
+    def labelled(node):
+        return [node[0]] + [x for c in node[1] for x in labelled(c)]
+    for r in placed.collect():
+        labels.setdefault((r.host, r.shape_key), {})[r.slot] = (r.node, labelled(masters[r.host])[r.node])
+    for t, k in trees.items():
+        found = [labels["h", k][s] for s in range(len(labels["h", k]))]
+        assert [x for _, x in found] == labelled(json.loads(t)) and len({n for n, _ in found}) == len(found)
+
+
 def test_tree_matching():
     """Alignment keeps order and inserts what has no partner."""
     m = html_text.Master("r")
