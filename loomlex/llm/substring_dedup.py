@@ -13,7 +13,10 @@ Pass 2 groups exactly the windows estimated repeated: their 64-bit hashes travel
 in runs that share an anchor, keyed by the anchor, and two windows are equal if
 both 64-bit hashes agree.  Runs that are equal within one task's chunk travel
 once with their count, so a passage found in a third of all rows reaches its
-reducer at most once per chunk.  On larger inputs the sketch gets less selective;
+reducer at most once per chunk.  An anchor with more than ``HOT`` such windows (a
+phrase in a third of all rows, say, with different words around it) is split: its
+windows travel one by one, keyed by anchor and window hash, so that only equal
+windows meet.  The windows per anchor are counted exactly beforehand.  On larger inputs the sketch gets less selective;
 results stay the same, only more windows are grouped.
 
 Defined cases: null text has no words; windows never cross documents; rows that
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,7 @@ from loomlex.llm.arrays import (
 from loomlex.llm.common import keyed_docs, partitions, spread
 
 WINDOW, GRAM = 35, 12
+HOT = 1 << 19  # windows of one anchor beyond which they are spread by their own hash
 BLOCK = 16  # a block of the sketch has 2**BLOCK cells
 _SEEDS = (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x2545F4914F6CDD1D))
 
@@ -135,11 +140,43 @@ def estimated_repeated(anchors: np.ndarray, maps: list[np.ndarray], log2_cells:
     return ok
 
 
-def _candidates(handle, window: int, gram: int, log2_cells: int):
+def hot_keys(docs: DataFrame, find, size, limit: int) -> np.ndarray:
+    """Sorted anchors whose runs (of ``find``, without marks) add up to more than ``limit``;
+    ``size`` gives a run's size from its number of windows.  At most total size /
+    ``limit`` numbers reach the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in find(batches):
+            real = batch.filter(pc.not_equal(batch["kind"], 1))
+            key, which = np.unique(real["key"].to_numpy(), return_inverse=True)
+            total = np.bincount(which, size(real["n"].to_numpy()), minlength=len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total.astype(np.int64))], names=["key", "size"])
+
+    sizes = docs.mapInArrow(run, "key long, size long").groupBy("key").agg(F.sum("size").alias("size"))
+    found = [r.key for r in sizes.where(F.col("size") > limit).select("key").collect()]
+    return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
+
+
+def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted ``wanted``."""
+    if not len(wanted):
+        return np.zeros(len(values), dtype=bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
+def joined_marks(at: np.ndarray, n: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first run, windows) of marked runs, those that follow each other as one."""
+    if not len(marks):
+        return marks, n[marks]
+    lead = np.flatnonzero(np.append(True, at[marks[1:]] != at[marks[:-1]] + n[marks[:-1]]))
+    return marks[lead], np.add.reduceat(n[marks], lead)
+
+
+def _candidates(handle, window: int, gram: int, log2_cells: int, hot: np.ndarray):
     """Runs of windows with a common anchor: (kind, key, row_key, start, n, hashes).
 
     kind 0: one run; kind 1: windows already known to be repeated (spread by
     document); kind 2: an equal run stands for several, all of them known.
+    Windows of a hot anchor are runs of their own, keyed by anchor and window.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,10 +190,12 @@ def _candidates(handle, window: int, gram: int, log2_cells: int):
                 if not len(at):
                     continue
                 wins = gram_hashes(h, window)[at]
-                cut = (np.diff(at, prepend=-2) != 1) | (np.diff(place, prepend=-1) != 0)
+                single = among(grams[place], hot)
+                cut = (np.diff(at, prepend=-2) != 1) | (np.diff(place, prepend=-1) != 0) | single
                 lead = np.flatnonzero(cut)
                 n = np.diff(np.append(lead, len(at)))
-                anchor = grams[place[lead]].view(np.int64)
+                anchor = grams[place[lead]]
+                anchor = np.where(single[lead], mix(anchor ^ wins[lead]), anchor).view(np.int64)
                 doc = np.searchsorted(first, at[lead], side="right") - 1
                 start = at[lead] - first[doc]
                 # equal runs within the chunk: same anchor and same windows
@@ -170,14 +209,14 @@ def _candidates(handle, window: int, gram: int, log2_cells: int):
                 raw = wins.tobytes()
                 rows = np.flatnonzero(solo | stand)
                 hashes = [raw[8 * lead[i]:8 * (lead[i] + n[i])] for i in rows]
-                marks = np.flatnonzero(~solo)
+                marks, covered = joined_marks(at[lead], n, np.flatnonzero(~solo))
                 blank = [b""] * len(marks)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate([np.where(stand[rows], 2, 0), np.ones(len(marks), np.int64)]).astype(np.int32)),
                     pa.array(np.concatenate([anchor[rows], keys[lo + doc[marks]]])),
                     pa.array(np.concatenate([keys[lo + doc[rows]], keys[lo + doc[marks]]])),
                     pa.array(np.concatenate([start[rows], start[marks]])),
-                    pa.array(np.concatenate([n[rows], n[marks]])),
+                    pa.array(np.concatenate([n[rows], covered])),
                     pa.array(hashes + blank, pa.binary())],
                     names=["kind", "key", "row_key", "start", "n", "hashes"])
     return run
@@ -187,7 +226,7 @@ def _exact(window: int):
     """Group the windows of each anchor exactly; yield covered word spans.
 
     Rows come sorted by anchor; whole anchors are gathered until about 2**19
-    windows are there, so one task's memory follows its largest anchor group.
+    windows are there; hot anchors come split, so no group is much larger.
     """
     def spans(rows):
         kind = np.concatenate([r[0] for r in rows])
@@ -266,16 +305,24 @@ def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log2_cells: int = 27) -> DataFrame:
+def candidates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log2_cells: int = 27, hot: int = HOT) -> DataFrame:
+    """Runs of the windows estimated repeated, keyed by anchor (hot ones by window)."""
+    maps = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, word_anchors(window, gram), log2_cells))
+
+    def find(split):
+        return _candidates(maps, window, gram, log2_cells, split)
+    split = hot_keys(docs, find(np.zeros(0, np.uint64)), lambda n: n, hot)
+    return docs.mapInArrow(find(split), "kind int, key long, row_key long, start long, n long, hashes binary")
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log2_cells: int = 27,
+                   hot: int = HOT) -> DataFrame:
     """(row_key, start, end): word spans covered by windows that start more than once.
 
     ``docs`` is (row_key, text).
     """
-    spark = docs.sparkSession
-    maps = spark.sparkContext.broadcast(repeated_cells(docs, word_anchors(window, gram), log2_cells))
-    rows = docs.mapInArrow(_candidates(maps, window, gram, log2_cells),
-                           "kind int, key long, row_key long, start long, n long, hashes binary")
-    return (rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    rows = candidates(docs, window, gram, log2_cells, hot)
+    return (rows.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
             .mapInArrow(_exact(window), "row_key long, start long, end long"))
 
 

@@ -92,6 +92,29 @@ def test_sketch_overestimates_only(spark, docs, rows, rows_of):
     assert cover(small) == cover(large)
 
 
+@pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
+def test_hot_anchors_are_split(spark, docs, rows_of, module):
+    """A phrase in many documents, with different words around it, does not gather in one bucket."""
+    rng = random.Random(5)
+    line = "the same seventeen words stand in each of these documents again and again with different words around it"
+    rows = [(i, f"{words(rng, 40, 9999)} {line} {words(rng, 40, 9999)}") for i in range(200)]
+    rows += [(500 + i, rows[i][1] + " end") for i in range(5)]
+    tables = [spark.createDataFrame(rows, SCHEMA), docs]
+    find = module.candidates if module is substring_dedup else module.slices
+
+    def cover(spans):
+        return {(k, i) for k, s, e in rows_of(spans) for i in range(s, e)}
+    for table in tables:
+        source = substring_dedup.keyed_docs(table).select("row_key", "text").repartition(4)
+        want = cover(module.repeated_spans(source))
+        assert want and cover(module.repeated_spans(source, hot=100)) == want
+
+    def largest(hot):
+        source = substring_dedup.keyed_docs(tables[0]).select("row_key", "text").repartition(4)
+        return find(source, hot=hot).where("kind <> 1").groupBy("key").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    assert largest(1 << 30) > 100 >= largest(100)
+
+
 def test_small_blocks_sort_the_same(docs, rows, rows_of, monkeypatch):
     """Suffix buckets one at a time."""
     got = []
