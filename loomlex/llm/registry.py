@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomlex.llm import (
-    decontaminate, exact_dedup, html_text, near_dedup, packing, pii, quality, substring_dedup, suffix_dedup,
-    url_filter)
+    centroids, decontaminate, exact_dedup, html_text, mixing, near_dedup, packing, pii, prefix_trie, quality,
+    substring_dedup, suffix_dedup, url_filter)
 from loomlex.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,18 @@ def op9(spark, sf):
 @query("op10_pii")
 def op10(spark, sf):
     return pii.report(read_table(spark, sf, "documents"))
+
+
+@query("op11_source_mix", mixing.SQL)
+def op11(spark, sf):
+    return mixing.mix(read_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op12_centroid_clusters", centroids.sql())
+def op12(spark, sf):
+    return centroids.cluster(read_table(spark, sf, "embeddings"))
+
+
+@query("op13_prefix_trie", prefix_trie.SQL)
+def op13(spark, sf):
+    return prefix_trie.trie(read_table(spark, sf, "conversations"))
