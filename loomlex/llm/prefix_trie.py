@@ -44,7 +44,7 @@ from loomlex.operators.joins import join_bounded
 DONOR_EVERY = 20
 HEADS = 4  # a conversation borrows fewer turns than this
 HEAVY_PARTS = 100_000
-MIN_HEAVY = 1_000
+MIN_HEAVY = 64
 PIECE = 20_000  # conversation ids in a row on their way into one digest
 
 NODE = ["depth", "k1", "k2"]
