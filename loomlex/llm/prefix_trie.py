@@ -203,7 +203,7 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 def rebuild(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rebuilt turns with prefix hashes, all conversation ids)."""
-    rows = turns(conversations)
+    rows = stage(turns(conversations), "trie-rows")  # the range partition reads it twice
     own = scan(rows, [F.asc_nulls_first("turn"), F.col("h1"), F.col("h2")], "trie-own")
     ids = stage(own.where("place = 0").select("conv_id"), "trie-ids")
     borrowed = F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEADS
@@ -213,7 +213,7 @@ def rebuild(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     takes = ids.select("conv_id", donor.alias("donor"), borrowed.alias("h")).where("h > 0")
     start = takes.join(heads, "donor").where("place < h").select("conv_id", "place", "h1", "h2", "words")
     rest = own.where(F.col("place") >= borrowed).select("conv_id", "place", "h1", "h2", "words")
-    built = start.unionByName(rest).withColumnRenamed("place", "seq")
+    built = stage(start.unionByName(rest).withColumnRenamed("place", "seq"), "trie-built")
     return scan(built, [F.col("seq")], "trie-turns"), ids
 
 
