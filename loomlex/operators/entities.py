@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlex.functions.constants import PUNCTUATION
+from loomlex.operators import names as NM
 from loomlex.operators.ids import first_seen_ids
-from loomlex.operators.joins import join_bounded
+from loomlex.operators.joins import MAX_BROADCAST_BYTES, join_bounded
 from loomlex.session import cut_lineage, ship_package
 
 # A token is a run of characters that are neither ASCII whitespace nor ASCII
@@ -53,8 +55,9 @@ _KIND[list(PUNCTUATION.encode())] = 1
 PART_BYTES = 1 << 20
 
 
-def _token_part(doc: pa.Array, offs: np.ndarray, data: np.ndarray, ahead: int) -> pa.RecordBatch:
-    """The tokens of whole texts laid end to end (byte offsets from 0)."""
+def _token_part(doc: pa.Array, offs: np.ndarray, data: np.ndarray) -> tuple[dict, np.ndarray]:
+    """(columns, tokens left in the text from each token on) for the tokens of whole
+    texts laid end to end (byte offsets from 0)."""
     kind = _KIND[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offs] = True
@@ -81,84 +84,274 @@ def _token_part(doc: pa.Array, offs: np.ndarray, data: np.ndarray, ahead: int) -
     gather = np.repeat(starts - at, sizes) + np.arange(int(sizes.sum()))
     token = pa.StringArray.from_buffers(
         n, pa.py_buffer(np.concatenate([at, [sizes.sum()]]).astype(np.int32)), pa.py_buffer(data[gather]))
-    columns = {"doc_id": doc.take(pa.array(row)), "pos": pa.array((np.arange(n) - first[row]).astype(np.int32)),
-               "token": token, "char_start": pa.array((chars[starts] - base).astype(np.int32)),
-               "char_end": pa.array(char_end.astype(np.int32)), "is_punct": pa.array(punct),
-               "span_end": pa.array(char_end[last].astype(np.int32)),
-               "n_tokens": pa.array((first[row + 1] - first[row]).astype(np.int32))}
-    for k in range(1, ahead + 1):
-        there = np.arange(n) + k
-        ok = there < first[row + 1]
-        there = pa.array(np.minimum(there, max(n - 1, 0)), mask=~ok)
-        columns[f"next{k}"] = token.take(there)
-        columns[f"end{k}"] = columns["span_end"].take(there)
-    return pa.RecordBatch.from_pydict(columns)
-
-
-def _token_batches(ahead: int):
+    return {"doc_id": doc.take(pa.array(row)), "pos": pa.array((np.arange(n) - first[row]).astype(np.int32)),
+            "token": token, "char_start": pa.array((chars[starts] - base).astype(np.int32)),
+            "char_end": pa.array(char_end.astype(np.int32)), "is_punct": pa.array(punct),
+            "span_end": pa.array(char_end[last].astype(np.int32)),
+            "n_tokens": pa.array((first[row + 1] - first[row]).astype(np.int32))}, first[row + 1] - np.arange(n)
+
+
+def _parts(batches):
+    """(first row, end row, batch, byte offsets from 0, bytes) of whole texts, PART_BYTES at
+    most or a long text by itself."""
+    for batch in batches:
+        text = batch["text"].cast(pa.large_string())
+        if not len(text):
+            continue
+        offs = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset:text.offset + len(text) + 1]
+        raw = text.buffers()[2]
+        data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        lo = 0
+        while lo < len(text):
+            hi = int(np.searchsorted(offs, offs[lo] + PART_BYTES, side="right")) - 1
+            hi = min(max(hi, lo + 1), len(text))
+            yield lo, hi, batch, offs[lo:hi + 1] - offs[lo], data[offs[lo]:offs[hi]]
+            lo = hi
+
+
+def _token_batches(batches):
+    for lo, hi, batch, offs, data in _parts(batches):
+        yield pa.RecordBatch.from_pydict(_token_part(batch["doc_id"][lo:hi], offs, data)[0])
+
+
+def _doc_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship_package(docs.sparkSession)
+    return docs.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def offset_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Tokens with character offsets, punctuation flag, W4 span end and the
+    document's token count (for W5)."""
+    return _doc_texts(docs, id_col, text_col).mapInArrow(_token_batches, TOKEN_SCHEMA)
+
+
+# ------------------------------------------------------------ names (gazetteer)
+
+NAME_SCHEMA = "name_type string, name_n int, name string, name_end int, in_name boolean"
+
+
+def _name_lists(batches):
+    """(number, text, ent_type) -> the lowercased tokens of each name."""
+    for lo, hi, batch, offs, data in _parts(batches):
+        cols, _ = _token_part(pa.array(np.arange(lo, hi)), offs, data)
+        first = np.searchsorted(cols["doc_id"].to_numpy(), np.arange(lo, hi + 1))
+        lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pc.utf8_lower(cols["token"]))
+        yield pa.RecordBatch.from_pydict({"tokens": lists, "ent_type": batch["ent_type"][lo:hi]})
+
+
+def name_table(gazetteer: DataFrame) -> DataFrame:
+    """``(tokens, ent_type)``, one row per name: the term's tokens, lowercased.  A term
+    listed with several types has the first in alphabetical order; terms without
+    a token and rows with a null are left out."""
+    ship_package(gazetteer.sparkSession)
+    rows = gazetteer.where("term IS NOT NULL AND ent_type IS NOT NULL").select(F.col("term").alias("text"), "ent_type")
+    return rows.mapInArrow(_name_lists, NM.NAMES_SCHEMA).where(F.size("tokens") > 0) \
+        .groupBy("tokens").agg(F.min("ent_type").alias("ent_type"))
+
+
+def _named_batches(trie):
     def run(batches):
-        for batch in batches:
-            text = batch["text"].cast(pa.large_string())
-            if not len(text):
-                continue
-            offs = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset:text.offset + len(text) + 1]
-            raw = text.buffers()[2]
-            data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
-            lo = 0
-            while lo < len(text):  # parts of whole texts, a long text by itself
-                hi = int(np.searchsorted(offs, offs[lo] + PART_BYTES, side="right")) - 1
-                hi = min(max(hi, lo + 1), len(text))
-                yield _token_part(batch["doc_id"][lo:hi], offs[lo:hi + 1] - offs[lo], data[offs[lo]:offs[hi]], ahead)
-                lo = hi
+        names = trie.value
+        kinds = pa.array(names.type_names, pa.string())
+        for lo, hi, batch, offs, data in _parts(batches):
+            cols, room = _token_part(batch["doc_id"][lo:hi], offs, data)
+            at, size, kind = names.longest(pc.utf8_lower(cols["token"]), room)
+            keep = NM.leftmost(at, size)
+            yield pa.RecordBatch.from_pydict(cols | _name_columns(cols, at[keep], size[keep], kinds.take(pa.array(kind[keep]))))
     return run
 
 
-def offset_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ahead: int = 0) -> DataFrame:
-    """Tokens with character offsets, punctuation flag, W4 span end and the
-    document's token count (for W5); with ``ahead``, also the next tokens of the
-    document and their span ends."""
-    ship_package(docs.sparkSession)
-    d = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    more = "".join(f", next{k} string, end{k} int" for k in range(1, ahead + 1))
-    return d.mapInArrow(_token_batches(ahead), TOKEN_SCHEMA + more)
+def _name_columns(cols: dict, at: np.ndarray, size: np.ndarray, kind: pa.Array) -> dict:
+    """NAME_SCHEMA for tokens at which the names (start, tokens, type) begin."""
+    n = len(cols["token"])
+    slot = np.full(n, -1, dtype=np.int64)
+    slot[at] = np.arange(len(at))
+    where = pa.array(slot, mask=slot < 0)
+    inside = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(inside, at + 1, 1)
+    np.add.at(inside, at + size, -1)
+    return {"name_type": kind.take(where), "name_n": pa.array(size.astype(np.int32)).take(where),
+            "name": _joined(cols["token"], at, size).take(where),
+            "name_end": cols["span_end"].take(pa.array(at + size - 1)).take(where),
+            "in_name": pa.array(np.cumsum(inside[:-1]) > 0)}
+
 
+def _joined(token: pa.Array, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The tokens of each run, joined by one blank."""
+    return pc.binary_join(_runs(token, at, size), " ")
 
-MAX_NAME_TOKENS = 4
 
+def _runs(token: pa.Array, at: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    ends = np.cumsum(size)
+    gather = np.repeat(at - (ends - size), size) + np.arange(int(size.sum()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), token.take(pa.array(gather)))
 
-def tag_entities(tokens: DataFrame, rules: list[tuple[str, str]] = ENTITY_RULES,
-                 gazetteer: DataFrame | None = None) -> DataFrame:
+
+def _candidate_batches(found):
+    def run(batches):
+        for lo, hi, batch, offs, data in _parts(batches):
+            cols, room = _token_part(batch["doc_id"][lo:hi], offs, data)
+            lowered = pc.utf8_lower(cols["token"])
+            at, size = found.value.candidates(lowered, room)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": cols["doc_id"].take(pa.array(at)), "pos": cols["pos"].take(pa.array(at)),
+                "tokens": _runs(lowered, at, size), "name": _joined(cols["token"], at, size),
+                "name_n": pa.array(size.astype(np.int32)), "name_end": cols["span_end"].take(pa.array(at + size - 1))})
+    return run
+
+
+def _leftmost_batches(batches):
+    """Matches by document, position and falling length -> those that stay."""
+    doc, free = None, 0
+    for batch in batches:
+        keep = []
+        for d, p, n in zip(*[batch[c].to_pylist() for c in ("doc_id", "pos", "name_n")]):
+            if d != doc:
+                doc, free = d, 0
+            keep.append(p >= free)
+            if p >= free:
+                free = p + n
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def named_tokens(docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``offset_tokens`` with the gazetteer names marked: at a name's first token its
+    type, number of tokens, text (tokens joined by one blank) and span end; ``in_name``
+    for its other tokens.
+
+    A gazetteer of more than ``max_bytes`` is not sent to the tasks: they send the
+    runs of tokens that may be names to the table of names instead, and documents
+    are told apart by their id."""
+    spark = docs.sparkSession
+    names = cut_lineage(name_table(gazetteer))
+    found = NM.compile_names(names, max_bytes)
+    texts = _doc_texts(docs, id_col, text_col)
+    shared = spark.sparkContext.broadcast(found)
+    if isinstance(found, NM.TokenTrie):
+        return texts.mapInArrow(_named_batches(shared), TOKEN_SCHEMA + ", " + NAME_SCHEMA)
+    maybe = texts.mapInArrow(_candidate_batches(shared), "doc_id bigint, pos int, tokens array<string>, name string, "
+                             "name_n int, name_end int")
+    hits = maybe.join(names.withColumnRenamed("ent_type", "name_type"), "tokens").drop("tokens")
+    hits = hits.repartition("doc_id").sortWithinPartitions("doc_id", "pos", F.desc("name_n"))
+    hits = cut_lineage(hits.mapInArrow(_leftmost_batches, hits.schema))
+    inside = hits.where("name_n > 1").select(
+        "doc_id", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + F.col("name_n") - 1)).alias("pos"))
+    marks = hits.select("doc_id", "pos", "name_type", "name_n", "name", "name_end", F.lit(False).alias("in_name")) \
+        .unionByName(inside.withColumn("in_name", F.lit(True)), allowMissingColumns=True)
+    out = join_bounded(offset_tokens(docs, id_col, text_col), marks, ["doc_id", "pos"], "left")
+    return out.withColumn("in_name", F.coalesce("in_name", F.lit(False)))
+
+
+def tag_entities(tokens: DataFrame, rules: list[tuple[str, str]] = ENTITY_RULES) -> DataFrame:
     """Add ``ent_type`` ('' when untagged).
 
-    A gazetteer ``(term, ent_type)`` takes precedence over the rules.  Terms of
-    several tokens (``New York``) are matched where ``tokens`` carries the next
-    ones (``offset_tokens(ahead=...)``): the longest term that starts at a token
-    wins, that row's ``token`` becomes the whole name and its span reaches over
-    it.  Matching ignores case; a term listed with several types has the first
-    in alphabetical order, so no token is doubled."""
+    Names marked by ``named_tokens`` take precedence over the rules: the row of a
+    name's first token stands for the whole name (``token`` becomes the name, the
+    span reaches over it), its other tokens are untagged."""
     rule = F.lit("")
     for ent_type, pattern in reversed(rules):
         rule = F.when(F.col("token").rlike(pattern), F.lit(ent_type)).otherwise(rule)
-    out = tokens.withColumn("ent_type", rule)
-    if gazetteer is None:
-        return out
-    names = gazetteer.select(F.lower(F.trim(F.regexp_replace("term", r"\s+", " "))).alias("_lt"), "ent_type") \
-        .groupBy("_lt").agg(F.min("ent_type").alias("_gt"))
-    ahead = sum(c.startswith("next") for c in tokens.columns)
-    for k in range(ahead + 1):  # longer names override shorter ones
-        name = F.concat_ws(" ", "token0", *[f"next{i}" for i in range(1, k + 1)])
-        if k == 0:
-            out = out.withColumn("token0", F.col("token"))
-        last = F.col(f"next{k}").isNotNull() if k else F.lit(True)
-        out = join_bounded(out.withColumn("_lt", F.when(last, F.lower(name))), names, "_lt", "left")
-        hit = F.col("_gt").isNotNull()
-        out = out.withColumn("ent_type", F.coalesce("_gt", "ent_type"))
-        if k:
-            out = out.withColumn("token", F.when(hit, name).otherwise(F.col("token"))) \
-                .withColumn("span_end", F.when(hit, F.col(f"end{k}")).otherwise(F.col("span_end")))
-        out = out.drop("_lt", "_gt")
-    return out.select(*[c for c in tokens.columns if not c.startswith(("next", "end"))], "ent_type")
+    if "name_type" not in tokens.columns:
+        return tokens.withColumn("ent_type", rule)
+    tagged = tokens.withColumn("ent_type", F.when(F.col("in_name"), F.lit("")).otherwise(F.coalesce("name_type", rule)))
+    return tagged.withColumn("token", F.coalesce("name", "token")) \
+        .withColumn("span_end", F.coalesce("name_end", "span_end")) \
+        .drop("name_type", "name_n", "name", "name_end", "in_name")
+
+
+# ------------------------------------------------------------ tagger hook
+
+def _spans_of(tagger, texts: list[str]) -> list:
+    """Per text its spans, or the error that tagging it gave."""
+    def checked(got, text):
+        spans = [(int(s), int(e), str(t)) for s, e, t in got]
+        for s, e, _ in spans:
+            if not 0 <= s < e <= len(text):
+                raise ValueError(f"span {s}:{e} of a text of {len(text)} characters")
+        return sorted(spans, key=lambda x: (x[0], -x[1], x[2]))
+
+    def alone(text):
+        try:
+            (got,) = tagger([text])
+            return checked(got, text)
+        except Exception as error:  # noqa: BLE001 - a failing text is skipped
+            return error
+
+    try:
+        every = list(tagger(texts))
+        if len(every) != len(texts):
+            raise ValueError(f"{len(every)} results for {len(texts)} texts")
+        return [checked(got, text) for got, text in zip(every, texts)]
+    except Exception:  # noqa: BLE001 - find the failing texts one by one
+        return [alone(text) for text in texts]
+
+
+def _tagged_batches(tagger, align: str):
+    def run(batches):
+        for lo, hi, batch, offs, data in _parts(batches):
+            found = _spans_of(tagger, batch["text"][lo:hi].to_pylist())
+            cols, _ = _token_part(batch["doc_id"][lo:hi], offs, data)
+            n = len(cols["token"])
+            begin, end = cols["char_start"].to_numpy(), cols["char_end"].to_numpy()
+            firsts = np.flatnonzero(cols["pos"].to_numpy() == 0)
+            sizes = np.diff(np.concatenate([firsts, [n]]))
+            has = _with_tokens(offs, data)
+            kind, drop = np.full(n, "", dtype=object), np.zeros(n, dtype=bool)
+            for spans, at, size in zip([found[i] for i in has], firsts, sizes):
+                if isinstance(spans, Exception):
+                    drop[at:at + size] = True
+                    continue
+                for s, e, t in reversed(spans):  # the first span of a token decides
+                    if align == "inside":
+                        a = np.searchsorted(begin[at:at + size], s)
+                        b = np.searchsorted(end[at:at + size], e, side="right")
+                    else:
+                        a = np.searchsorted(end[at:at + size], s, side="right")
+                        b = np.searchsorted(begin[at:at + size], e)
+                    kind[at + a:at + max(a, b)] = t
+            out = pa.RecordBatch.from_pydict(cols | {"ent_type": pa.array(kind, pa.string())})
+            yield out.filter(pa.array(~drop))
+    return run
+
+
+def _with_tokens(offs: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Numbers of the texts that have a token."""
+    some = np.concatenate([[0], np.cumsum(_KIND[data] != 0)])
+    return np.flatnonzero(some[offs[1:]] > some[offs[:-1]])
+
+
+def tagger_tokens(docs: DataFrame, tagger, id_col: str = "doc_id", text_col: str = "text",
+                  align: str = "inside") -> DataFrame:
+    """E1 with a tagger of the caller's: ``offset_tokens`` with ``ent_type``.
+
+    ``tagger(texts)`` gets a list of whole texts and returns, per text, a list of
+    (start, end, type) in characters.  It runs inside the tasks, on Arrow batches of
+    at most PART_BYTES (or one long text), and has to be picklable.  A token has the
+    type of the first span (smallest start, then longest, then smallest type) that
+    holds it whole (``align="inside"``) or in part (``"overlap"``).  If a call fails, its
+    texts are tagged one by one; a text that fails alone, or has a span outside it, is
+    skipped: it has no tokens here and a row in ``tagger_failures``."""
+    if align not in ("inside", "overlap"):
+        raise ValueError(f"align is 'inside' or 'overlap', not {align!r}")
+    return _doc_texts(docs, id_col, text_col).mapInArrow(_tagged_batches(tagger, align), TOKEN_SCHEMA + ", ent_type string")
+
+
+def _failure_batches(tagger):
+    def run(batches):
+        for lo, hi, batch, _, _ in _parts(batches):
+            found = _spans_of(tagger, batch["text"][lo:hi].to_pylist())
+            bad = [i for i, x in enumerate(found) if isinstance(x, Exception)]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch["doc_id"][lo:hi].take(pa.array(bad, pa.int64())),
+                "error": pa.array([f"{type(found[i]).__name__}: {found[i]}" for i in bad], pa.string())})
+    return run
+
+
+def tagger_failures(docs: DataFrame, tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, error)`` of the documents that ``tagger`` fails on."""
+    return _doc_texts(docs, id_col, text_col).mapInArrow(_failure_batches(tagger), "doc_id bigint, error string")
 
 
 def places(nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -193,16 +386,21 @@ def drop_last(tokens: DataFrame) -> DataFrame:
 
 def mentions(docs: DataFrame, types: list[str] | DataFrame = DEFAULT_ENABLED_TYPES,
              rules: list[tuple[str, str]] = ENTITY_RULES, gazetteer: DataFrame | None = None,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text", tagger=None) -> DataFrame:
     """Documents -> tagged tokens -> enabled mentions (last token
     dropped).  Documents given as bytes (``content`` without a text column) that
-    are not valid UTF-8 are skipped (N8).
+    are not valid UTF-8 are skipped (N8), as are documents that ``tagger`` fails on.
+    A ``tagger`` stands in for the rules and the gazetteer.
     Columns: doc_id, pos, token, ent_type, char_start, span_end."""
     if text_col not in docs.columns and "content" in docs.columns:
         docs = docs.where(F.is_valid_utf8(F.col("content").cast("string"))) \
             .withColumn(text_col, F.col("content").cast("string"))
-    ahead = 0 if gazetteer is None else MAX_NAME_TOKENS - 1
-    tagged = tag_entities(offset_tokens(docs, id_col, text_col, ahead), rules, gazetteer)
+    if tagger is not None:
+        tagged = tagger_tokens(docs, tagger, id_col, text_col)
+    elif gazetteer is not None:
+        tagged = tag_entities(named_tokens(docs, gazetteer, id_col, text_col), rules)
+    else:
+        tagged = tag_entities(offset_tokens(docs, id_col, text_col), rules)
     m = keep_mentions(drop_last(tagged), types)
     return m.select("doc_id", "pos", "token", "ent_type", "char_start", "span_end")
 

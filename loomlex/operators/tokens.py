@@ -102,8 +102,8 @@ def drop_rare(df: DataFrame, min_cf: int = 2) -> DataFrame:
 
     The tokens are read twice (count and filter), so they are staged first."""
     df = stage_table(df, "tokens")
-    keep = term_freq(df).where(F.col("cf") >= min_cf).select("term")
-    return df.join(keep, "term", "left_semi")
+    keep = stage_table(term_freq(df).where(F.col("cf") >= min_cf), "term-counts")
+    return join_head_tail(df, keep.withColumnRenamed("cf", "_cf"), "term", "_cf").select(*df.columns)
 
 
 def term_stats(tf: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def assign_token_ids(stats: DataFrame) -> DataFrame:
 
 def encode(tf: DataFrame, dictionary: DataFrame, dict_rows: int | None = None) -> DataFrame:
     """J1 + A2: ``(doc_id, token_id, tf)``; the dictionary is broadcast only
-    under the checked row bound, otherwise a shuffle join (skew handled by
+    within the measured byte bound, otherwise a shuffle join (skew handled by
     AQE)."""
     d = dictionary.select("term", "token_id")
     return join_bounded(tf, d, "term", "inner", known_rows=dict_rows) \

@@ -123,8 +123,8 @@ def f1(spark, sf):
 @query("f2_drop_rare", f"""
 WITH {_TOK_SQL},
 s AS (SELECT * FROM tok WHERE term NOT IN {Q.STOP}),
-cf AS (SELECT term FROM s GROUP BY term HAVING count(*) >= 2)
-SELECT doc_id, pos, term FROM s WHERE term IN (SELECT term FROM cf)
+c AS (SELECT *, count(*) OVER (PARTITION BY term) AS cf FROM s)
+SELECT doc_id, pos, term FROM c WHERE cf >= 2
 """)
 def f2(spark, sf):
     return TK.drop_rare(TK.drop_stopwords(base_tokens(spark, sf), TK.default_stop_words()), 2)
