@@ -296,10 +296,55 @@ def m5(spark, sf):
 @query("m15_lsi")
 def m15(spark, sf):
     """LSI: 3-component truncated SVD of the TF-IDF matrix; U*S per doc."""
-    from loomlex.plans import topics as TM
+    from loomlex.plans.lsi import lsi
     c = TK.build_corpus(_scan_docs(spark, sf))
-    doc_topic, _, _ = TM.lsi(WT.tfidf(c.bow, c.n_docs), c.vocab_size, 3)
-    return doc_topic
+    return lsi(WT.tfidf(c.bow, c.n_docs), 3)[0]
+
+
+def _eigen_sql(n: int) -> str:
+    """CTEs l1 .. ln (value, vector): the largest eigenpairs of the symmetric matrix in ``g0``
+    (m), one by one: the matrix squared 14 times is a multiple of v v'; then v is taken out."""
+    parts = []
+    for i in range(n):
+        parts.append(f"""
+sq{i} AS (SELECT 0 AS i, m FROM g{i} UNION ALL
+  SELECT i + 1, list_transform(p, lambda r: list_transform(r, lambda x: x / tr)) FROM (
+    SELECT i, p, list_sum(list_transform(p, lambda r, j: r[j])) AS tr FROM (
+      SELECT i, list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c))) AS p FROM sq{i} WHERE i < 14))),
+r{i} AS (SELECT m[list_position(list_transform(m, lambda r, j: r[j]), list_max(list_transform(m, lambda r, j: r[j])))] AS row
+        FROM sq{i} WHERE i = 14),
+v{i} AS (SELECT list_transform(row, lambda x: x / sqrt(list_dot_product(row, row))) AS v FROM r{i}),
+l{i + 1} AS MATERIALIZED (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS value FROM v{i}, g{i}),
+g{i + 1} AS MATERIALIZED (SELECT list_transform(m, lambda r, a: list_transform(r, lambda x, b: x - value * v[a] * v[b])) AS m
+       FROM g{i}, l{i + 1})""")
+    return ",".join(parts)
+
+
+@query("m15_lsi_by_language", f"""
+WITH RECURSIVE {Q.corpus_ctes()},
+lw AS MATERIALIZED (SELECT coalesce(lang, '') AS lang, token_id, sum(weight) AS w FROM tfidf JOIN documents USING (doc_id) GROUP BY 1, 2),
+gr AS (SELECT a.lang AS l1, b.lang AS l2, sum(a.w * b.w) AS v FROM lw a JOIN lw b USING (token_id) GROUP BY 1, 2),
+ls AS MATERIALIZED (SELECT lang, row_number() OVER (ORDER BY lang) AS n FROM (SELECT DISTINCT lang FROM lw)),
+gf AS (SELECT a.lang AS l1, b.lang AS l2, coalesce(v, 0) AS v FROM ls a CROSS JOIN ls b LEFT JOIN gr ON l1 = a.lang AND l2 = b.lang),
+g0 AS MATERIALIZED (SELECT list(r ORDER BY l1) AS m FROM (SELECT l1, list(v ORDER BY l2) AS r FROM gf GROUP BY l1)),
+{_eigen_sql(3)},
+el AS (SELECT 0 AS component, * FROM l1 UNION ALL SELECT 1, * FROM l2 UNION ALL SELECT 2, * FROM l3)
+SELECT CAST(component AS INTEGER) AS component, lang, round(sqrt(value), 6) AS singular_value,
+       round(abs(v[n]) * sqrt(value), 6) AS distance FROM el CROSS JOIN ls
+""")
+def m15_languages(spark, sf):
+    """LSI of the terms by language (TF-IDF weights summed): singular values and the
+    languages' coordinates without their sign."""
+    from loomlex.plans.lsi import lsi
+    d = _scan_docs(spark, sf, "lang")
+    c = TK.build_corpus(d)
+    lang = F.coalesce("lang", F.lit("")).alias("doc_id")
+    rows = WT.tfidf(c.bow, c.n_docs).join(d.select("doc_id", "lang"), "doc_id").select(lang, "token_id", "weight") \
+        .groupBy("doc_id", "token_id").agg(F.sum("weight").alias("weight"))
+    u, _, s = lsi(rows, 3)
+    return u.select("component", F.col("doc_id").alias("lang"),
+                    F.round(F.element_at(F.array(*[F.lit(x) for x in s]), F.col("component") + 1), 6).alias("singular_value"),
+                    F.round(F.abs("value"), 6).alias("distance"))
 
 
 @query("c1_topic_job")
