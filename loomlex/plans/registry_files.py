@@ -17,7 +17,7 @@ from loomlex.operators import tokens as TK
 from loomlex.operators import weights as WT
 from loomlex.operators.ids import dense_ids
 from loomlex.plans import sqlparts as Q
-from loomlex.plans.jobs import catalog_job, list_files
+from loomlex.plans.jobs import catalog_documents, catalog_job, list_files
 from loomlex.plans.registry import _scan_docs, docs, query
 from loomlex.plans.registry_entities import _TOK_CTES
 from loomlex.plans.registry_sources import _URL_TREE_SQL
@@ -310,6 +310,11 @@ FROM p WHERE path LIKE '%.html' AND substr(path, 2) NOT IN (SELECT key FROM dirs
 """)
 def c2(spark, sf):
     """The documents that the catalog selects among the staged pages."""
+    return catalog_documents(*_staged_catalog(spark, sf))["documents"].select("path", "doc_id")
+
+
+def _staged_catalog(spark, sf):
+    """Raw entries, volumes, images and staged files out of the pages."""
     entries, volumes, images = _one_image(spark, sf)
     raw = entries.select("image_index", "partition", "name", F.lit(10).cast("bigint").alias("size"),
                          F.lit(33188).alias("mode"), F.col("inode").alias("addr"), F.col("p_inode").alias("par_addr"),
@@ -322,5 +327,10 @@ def c2(spark, sf):
         F.lit(0).alias("image_index"), F.concat(F.lit("stage/0/"), F.array_join(segs, "/")).alias("path"), "page_id", "html") \
         .groupBy("image_index", "path").agg(F.min_by("html", "page_id").alias("html")) \
         .select("image_index", "path", F.encode("html", "UTF-8").alias("content"))
-    out = catalog_job(raw, volumes, images, staged, k=2, max_iter=2, with_map=False)
-    return out["documents"].select("path", "doc_id")
+    return raw, volumes, images, staged
+
+
+@query("c2_catalog_topics")
+def c2_topics(spark, sf):
+    """The whole catalog job with its defaults: the topic report of the selected pages."""
+    return catalog_job(*_staged_catalog(spark, sf), seed=7)["topic_info"]
