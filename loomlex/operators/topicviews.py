@@ -10,6 +10,7 @@ per-term work is partitioned by term.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from loomlex.functions.constants import RELEVANCE_STEPS, SUMMARY_TERMS
 from loomlex.operators.ids import dense_ids
 from loomlex.operators.joins import bounded_broadcast
-from loomlex.session import cut_lineage, stage_table
+from loomlex.session import cut_lineage, ship_package
 
 
 def _ln(c: Column) -> Column:
@@ -98,6 +99,10 @@ def salient_terms(st: TopicStats, r: int = SUMMARY_TERMS) -> DataFrame:
     return st.terms.orderBy(F.desc(F.round("saliency", 12)), "term").limit(r)
 
 
+# Twice the ranking key's rounding: lines closer than this may change places in it.
+RANK_SLACK = 2e-9
+
+
 def rank_key(x: Column, decimals: int = 9) -> Column:
     """Integer ranking key ``floor(x * 10^d + 0.5)``: values closer than
     10^-d compare equal (and fall back to the term tie-break).  Plain IEEE
@@ -106,54 +111,175 @@ def rank_key(x: Column, decimals: int = 9) -> Column:
     return F.floor(x * F.lit(float(10 ** decimals)) + F.lit(0.5))
 
 
-ANCHORS = 4
-
-
-def relevant_terms(base: DataFrame, r: int = SUMMARY_TERMS, steps: int = RELEVANCE_STEPS,
-                   anchors: int = ANCHORS) -> DataFrame:
+def level_walk(a: np.ndarray, b: np.ndarray, r: int) -> list[tuple[float, np.ndarray]]:
+    """The top-r level of the lines ``b + lam * (a - b)`` for lam from 0 to 1.
+
+    Returns (lam, members from there on), one entry per crossing, the first at 0.  Lines
+    come in the order that decides ties.  At a crossing an outside line with a larger
+    slope meets the lowest member; there are few crossings, and each is found by one
+    pass over members x lines."""
+    slope = a - b
+    order = np.lexsort((np.arange(len(a)), -slope, -b))
+    members, lam = np.sort(order[:r]), 0.0
+    walk = [(0.0, members)]
+    outside = np.ones(len(a), dtype=bool)
+    outside[members] = False
+    while outside.any():
+        rest = np.flatnonzero(outside)
+        steeper = slope[rest][None, :] - slope[members][:, None]
+        gap = b[members][:, None] - b[rest][None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = np.where(steeper > 0, np.maximum(gap / steeper, lam), np.inf)
+        first = at.min()
+        if not first <= 1.0:
+            break
+        # of the pairs that meet first: the steepest outside line comes in (of equals the
+        # earlier), the flattest member goes (of equals the later)
+        m, o = np.nonzero(at == first)
+        pick = np.lexsort((-members[m], slope[members[m]], rest[o], -slope[rest[o]]))[0]
+        goes, comes = members[m[pick]], rest[o[pick]]
+        outside[goes], outside[comes] = True, False
+        members = np.sort(np.append(members[members != goes], comes))
+        lam = float(first)
+        walk.append((lam, members))
+    return walk
+
+
+def reaching(a: np.ndarray, b: np.ndarray, r: int, slack: float = RANK_SLACK) -> np.ndarray:
+    """Which lines come within ``slack`` of the top-r level for some lam in [0, 1].
+
+    Between two crossings the lowest member is concave in lam, so a line's distance
+    to it is largest at an end of the interval."""
+    if len(a) <= r:
+        return np.ones(len(a), dtype=bool)
+    walk = level_walk(a, b, r)
+    keep = np.zeros(len(a), dtype=bool)
+    for (lo, members), hi in zip(walk, [lam for lam, _ in walk[1:]] + [1.0], strict=True):
+        for lam in (lo, hi):
+            y = b + lam * (a - b)
+            keep |= y + slack >= y[members].min()
+    return keep
+
+
+_LINES = ["topic", "term", "phi", "ttf", "tot", "logprob", "loglift"]
+
+
+def on_grid(a: np.ndarray, b: np.ndarray, r: int, steps: int) -> np.ndarray:
+    """Which lines are in the top r at some lam = i/steps by :func:`rank_key`; lines come in
+    the order that decides ties."""
+    near = np.flatnonzero(reaching(a, b, r))
+    keep = np.zeros(len(a), dtype=bool)
+    x, y = a[near], b[near]
+    for i in range(steps + 1):
+        lam = i / steps
+        key = np.floor((lam * x + (1 - lam) * y) * 1e9 + 0.5)
+        if len(key) <= r:
+            keep[near] = True
+            break
+        least = np.partition(key, len(key) - r)[len(key) - r]
+        above = np.flatnonzero(key > least)
+        keep[near[above]] = True
+        keep[near[np.flatnonzero(key == least)[:r - len(above)]]] = True
+    return keep
+
+
+def on_level(a: np.ndarray, b: np.ndarray, r: int) -> np.ndarray:
+    """Which lines are in the top r for some lam in [0, 1].  Values that differ only by the
+    order of float sums are one line."""
+    keep = np.zeros(len(a), dtype=bool)
+    for _, members in level_walk(np.round(a, 10), np.round(b, 10), r):
+        keep[members] = True
+    return keep
+
+
+def _pruned(choose):
+    """Rows of a task -> those that ``choose`` keeps per topic, while the batches go by: a
+    row in the whole's top r is in its part's top r."""
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            topics = batch["topic"].to_numpy()
+            for t in np.unique(topics):
+                rows = pa.Table.from_batches([batch.filter(pa.array(topics == t))])
+                rows = pa.concat_tables([held[t], rows]) if t in held else rows
+                rows = rows.take(pc.sort_indices(rows, [("term", "ascending")]))
+                held[t] = rows.filter(pa.array(choose(rows["logprob"].to_numpy(), rows["loglift"].to_numpy())))
+        for rows in held.values():
+            yield from rows.to_batches()
+    return run
+
+
+def _by_topic(batches):
+    """Sorted rows -> one table per topic (what the pruning left of it)."""
+    held = []
+    for batch in batches:
+        topics = batch["topic"].to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(topics[1:] != topics[:-1]) + 1, [len(topics)]]) if len(topics) else []
+        for lo, hi in zip(edges, edges[1:]):
+            part = batch.slice(lo, hi - lo)
+            if held and held[0]["topic"][0] != part["topic"][0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _chosen(choose):
+    def run(batches):
+        for rows in _by_topic(batches):
+            keep = choose(rows["logprob"].to_numpy(), rows["loglift"].to_numpy())
+            yield from rows.filter(pa.array(keep)).to_batches()
+    return run
+
+
+def _level_intervals(r: int):
+    def run(batches):
+        for rows in _by_topic(batches):
+            a, b = (np.round(rows[c].to_numpy(), 10) for c in ("logprob", "loglift"))
+            since: dict = {}
+            out = []
+            walk = level_walk(a, b, r)
+            for lam, members in [*walk, (1.0, np.zeros(0, dtype=np.int64))]:
+                now = set(members.tolist())
+                out += [(i, since.pop(i), lam) for i in list(since) if i not in now]
+                since |= {i: lam for i in now if i not in since}
+            i = pa.array([x[0] for x in out], pa.int64())
+            yield pa.RecordBatch.from_pydict({
+                "topic": rows["topic"].combine_chunks().take(i), "term": rows["term"].combine_chunks().take(i),
+                "lam_from": pa.array([x[1] for x in out], pa.float64()), "lam_to": pa.array([x[2] for x in out], pa.float64())})
+    return run
+
+
+def _candidates(base: DataFrame, choose) -> DataFrame:
+    """What can be in a topic's top r, a few times r rows per topic and task, by topic and term."""
+    ship_package(base.sparkSession)
+    lines = base.select(*_LINES)
+    return lines.mapInArrow(_pruned(choose), lines.schema).repartition("topic").sortWithinPartitions("topic", "term")
+
+
+def relevant_terms(base: DataFrame, r: int = SUMMARY_TERMS, steps: int = RELEVANCE_STEPS) -> DataFrame:
     """T5: per topic the distinct union over lam = i/steps (i = 0..steps)
     of the top-r terms by relevance (ranked by :func:`rank_key`, ties by
     term).
 
-    Relevance is linear in lam, which prunes exactly before the grid is
-    expanded.  Let S be a topic's top-r terms at an anchor a, and b the next
-    anchor.  The worst member of S is a concave function of lam, so a term that
-    is below it at a and at b is below r terms everywhere between, and cannot
-    rank there.  Only terms that reach it at either end of some interval
-    (``anchors`` intervals, two thresholds each per topic) are expanded over the
-    grid and ranked; the partial group limit then sends r rows per task and
-    (topic, lam) to the shuffle."""
-    grid = [i / steps for i in range(steps + 1)]
-    ends = sorted({grid[round(j * steps / anchors)] for j in range(anchors + 1)})
-    base = stage_table(base.select("topic", "term", "phi", "ttf", "tot", "logprob", "loglift"), "relevance")
-
-    def rel(lam) -> Column:
-        one_minus = (1 - lam) if isinstance(lam, float) else (F.lit(1.0) - lam)
-        return lam * F.col("logprob") + one_minus * F.col("loglift")
-
-    at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-                   for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))])
-    best = base.select("topic", "term", "logprob", "loglift", F.explode(at).alias("x")).select(
-        "topic", "term", F.col("x.i").alias("i"), rel(F.col("x.a")).alias("low"), rel(F.col("x.b")).alias("high"))
-    w = Window.partitionBy("topic", "i").orderBy(F.desc("low"), "term")
-    worst = best.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= r).groupBy("topic", "i").agg(
-        F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.min("high").alias("high"))
-    # a topic with fewer than r terms keeps them all; keys are rounded to 1e-9
-    full = F.col("n") >= r
-    worst = worst.select("topic", "i", F.when(full, F.col("low") - 2e-9).otherwise(float("-inf")).alias("low"),
-                         F.when(full, F.col("high") - 2e-9).otherwise(float("-inf")).alias("high"))
-    wide = worst.groupBy("topic").pivot("i", list(range(len(ends) - 1))).agg(
-        F.first("low").alias("low"), F.first("high").alias("high"))
-    reach = None
-    for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-        here = (rel(a) >= F.col(f"{i}_low")) | (rel(b) >= F.col(f"{i}_high"))
-        reach = here if reach is None else reach | here
-    # one row per topic (K, a model parameter)
-    kept = base.join(F.broadcast(wide), "topic").where(reach).select(*base.columns)
-    grown = kept.select("*", F.explode(F.array(*[F.lit(x) for x in grid])).alias("lam"))
-    rank = Window.partitionBy("topic", "lam").orderBy(F.desc(rank_key(rel(F.col("lam")))), "term")
-    top = grown.withColumn("_rk", F.row_number().over(rank)).where(F.col("_rk") <= r)
-    return top.drop("lam", "_rk").dropDuplicates(["topic", "term"])
+    Relevance is a line in lam.  Each task walks the top-r level of its own lines
+    (:func:`level_walk`), ranks on the grid what comes within the ranking key's
+    rounding of it, and passes on only that; the few lines that are left of a topic
+    are ranked together."""
+    choose = partial(on_grid, r=r, steps=steps)
+    few = _candidates(base, choose)
+    return few.mapInArrow(_chosen(choose), few.schema)
+
+
+def relevance_levels(base: DataFrame, r: int = SUMMARY_TERMS) -> DataFrame:
+    """T5 for every lam in [0, 1]: ``(topic, term, lam_from, lam_to)``, the intervals in
+    which a term is among its topic's r most relevant; their ends are the crossing
+    points of the top-r level, at which the lines that meet are equal.  Equal lines
+    rank by term."""
+    few = _candidates(base, partial(on_level, r=r))
+    kinds = {f.name: f.dataType.simpleString() for f in few.schema.fields}
+    return few.mapInArrow(_level_intervals(r), f"topic {kinds['topic']}, term {kinds['term']}, lam_from double, lam_to double")
 
 
 def relevant_terms_direct(base: DataFrame, r: int = SUMMARY_TERMS, steps: int = RELEVANCE_STEPS) -> DataFrame:

@@ -154,6 +154,23 @@ def t5(spark, sf):
     return TV.relevant_terms(TV.relevance_base(st), 30, 100).select("topic", "term")
 
 
+@query("t5_level_steps", f"""
+WITH {_model_ctes()},
+inner_steps AS (
+  SELECT topic, term, row_number() OVER (PARTITION BY topic, lam
+           ORDER BY floor((CAST(lam AS DOUBLE) * logprob + (1 - CAST(lam AS DOUBLE)) * loglift) * 1e9 + 0.5) DESC, term) AS rk
+  FROM rb, lams WHERE lam > 0 AND lam < 1)
+SELECT topic, term, count(*) AS n_steps FROM inner_steps WHERE rk <= 30 GROUP BY topic, term
+""")
+def t5_levels(spark, sf):
+    """At how many of the 99 steps between 0 and 1 each term is in its topic's top 30, counted
+    from the crossing points of the top-30 level (at 0 and 1 many lines meet)."""
+    st, _ = labelled_stats(spark, sf)
+    at = TV.relevance_levels(TV.relevance_base(st), 30)
+    inside = F.least(F.floor(F.col("lam_to") * 100 + 1e-6), F.lit(99)) - F.greatest(F.ceil(F.col("lam_from") * 100 - 1e-6), F.lit(1)) + 1
+    return at.groupBy("topic", "term").agg(F.sum(inside).alias("n_steps")).where("n_steps > 0")
+
+
 @query("m11_topic_info", f"""
 WITH {_model_ctes()}
 SELECT category, term, round(freq, 6) AS freq, round(total, 6) AS total,
@@ -476,6 +493,48 @@ def m6(spark, sf):
     return TV.top_terms(out["topic_terms"], 10).select("topic", "rank", "term", "p")
 
 
+def _sampled_lines(spark, sf):
+    """The line job by collapsed sampling, with its default of 200 sweeps."""
+    from loomlex.plans.jobs import line_topic_job
+    key = (*_state(spark, sf), "sampled lines")
+    if key not in _FITTED:
+        _FITTED[key] = line_topic_job(docs(spark, sf).select("doc_id", "text"), k=QUERY_TOPICS, seed=7, method="sampling")
+    return _FITTED[key]
+
+
+@query("m6_sampled_lines")
+def m6_sampled(spark, sf):
+    """M6 by collapsed sampling: the ten heaviest terms of each topic."""
+    return TV.top_terms(_sampled_lines(spark, sf)["topic_terms"], 10).select("topic", "rank", "term", "p")
+
+
+@query("m6_sampled_checks", f"""
+WITH src AS (SELECT doc_id, {Q.remove_digits(Q.remove_punct('text'))} AS text FROM documents WHERE length(text) > 0),
+s AS (SELECT string_split(text, chr(10)) AS parts FROM src),
+l AS (SELECT sum(len(parts) - CASE WHEN parts[len(parts)] = '' THEN 1 ELSE 0 END) AS n FROM s),
+w AS (SELECT unnest({Q.tokenize('text')}) AS term FROM src),
+k AS (SELECT term, count(*) AS n FROM w WHERE term NOT IN {Q.in_list(TK.default_stop_words([]))} GROUP BY term)
+SELECT 'occurrences' AS what, CAST(sum(n) AS DOUBLE) AS value FROM k UNION ALL SELECT 'terms', count(*) FROM k
+UNION ALL SELECT 'line topics', n * {QUERY_TOPICS} FROM l UNION ALL SELECT 'line sums', n FROM l
+UNION ALL SELECT 'topic sums', {QUERY_TOPICS} UNION ALL SELECT 'likelihood rises', 1
+""")
+def m6_sampled_checks(spark, sf):
+    """After 200 sweeps every occurrence has one topic, and all distributions sum to 1."""
+    out = _sampled_lines(spark, sf)
+    model = out["model"]
+    held = model.counts.agg(F.sum(sum(F.col(f"c{j}") for j in range(QUERY_TOPICS))).cast("double").alias("a"),
+                            F.count(F.lit(1)).cast("double").alias("b"))
+    parts = [held.select(F.lit("occurrences").alias("what"), F.col("a").alias("value")), held.select(F.lit("terms"), "b"),
+             out["doc_topics"].agg(F.count(F.lit(1)).cast("double").alias("v")).select(F.lit("line topics"), "v"),
+             out["doc_topics"].agg(F.round(F.sum("p"), 3).alias("v")).select(F.lit("line sums"), "v"),
+             out["topic_terms"].agg(F.round(F.sum("p"), 6).alias("v")).select(F.lit("topic sums"), "v"),
+             held.select(F.lit("likelihood rises"), F.lit(float(model.likelihoods[-1] > model.likelihoods[0])))]
+    table = parts[0]
+    for more in parts[1:]:
+        table = table.union(more)
+    return table
+
+
 @query("m14_line_topic_info")
 def m14(spark, sf):
     return _line_job(spark, sf)["topic_info"]

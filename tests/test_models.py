@@ -211,3 +211,72 @@ def test_fold_in_of_nothing(spark):
     got = {(r.doc_id, r.topic): r.p for r in VB.fold_in(bow, table, all_docs=docs).collect()}
     assert got[(2, 0)] == got[(3, 1)] == 0.5 and got[(1, 0)] > 0.8 and len(got) == 6
     assert VB.fold_in(bow.limit(0), table).count() == 0
+
+
+# ------------------------------------------------------------ sampling
+
+def brute_sweeps(rows, k, iterations, alpha, beta, seed, sync_every):
+    """One occurrence after the other; rows of (doc, mark, place, token, topic)."""
+    from loomlex.plans import sampling as SP
+    rows = sorted([list(r) for r in rows], key=lambda r: (r[0], r[2], r[3]))
+    vocab = len({r[3] for r in rows})
+    for sweep in range(iterations):
+        if sweep % sync_every == 0:
+            term, total, held = {}, np.zeros(k), [r[4] for r in rows]
+            for r in rows:
+                term.setdefault(r[3], np.zeros(k))[r[4]] += 1
+                total[r[4]] += 1
+        in_doc = {}
+        for r in rows:
+            in_doc.setdefault(r[0], np.zeros(k))[r[4]] += 1
+        for r, was in zip(rows, held):
+            own = np.eye(k)[was]
+            in_doc[r[0]][r[4]] -= 1
+            w = np.cumsum((in_doc[r[0]] + alpha) * (term[r[3]] - own + beta) / (total - own + vocab * beta))
+            u = SP.uniforms(np.array([r[1]]), np.array([r[2]]), sweep, seed)[0]
+            r[4] = min(int((w <= u * w[-1]).sum()), k - 1)
+            in_doc[r[0]][r[4]] += 1
+    return [tuple(r) for r in rows]
+
+
+def test_sampling_does_not_depend_on_partitions(spark, counts):
+    from loomlex.plans import sampling as SP
+    got = []
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            model = SP.sample_topics(entries(spark, counts).repartition(parts), k=3, iterations=7, seed=9, sync_every=3)
+            got.append(sorted(tuple(r) for r in model.assigned.collect()))
+            assert model.counts.agg(F.sum("n")).first()[0] == counts.sum()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] == got[1]
+    start = SP.sample_topics(entries(spark, counts), k=3, iterations=0, seed=9)
+    want = brute_sweeps([tuple(r) for r in start.assigned.collect()], 3, 7, 50 / 3, 0.1, 9, 3)
+    assert got[0] == sorted(want)
+
+
+def test_sampling_finds_planted_topics(spark):
+    from loomlex.plans import sampling as SP
+    rng = np.random.default_rng(3)
+    rows = [(d, 10 * (d % 3) + int(t), 1) for d in range(120) for t in rng.integers(0, 10, 25)]
+    bow = spark.createDataFrame(rows, "doc_id bigint, token_id int, tf bigint")
+    model = SP.sample_topics(bow, k=3, iterations=60, seed=2, alpha=0.5, sync_every=2)
+    assert model.likelihoods[-1] > model.likelihoods[0]
+    main = {(r.token_id // 10): [r.c0, r.c1, r.c2].index(max(r.c0, r.c1, r.c2)) for r in model.counts.collect()}
+    pure = sum(max(r.c0, r.c1, r.c2) for r in model.counts.collect()) / len(rows)
+    assert sorted(main.values()) == [0, 1, 2] and pure > 0.95
+    words = spark.createDataFrame([(t, f"w{t}") for t in range(30)], "token_id bigint, term string")
+    sums = model.topic_terms(words).groupBy("topic").agg(F.sum("p").alias("s")).collect()
+    assert len(sums) == 3 and all(abs(r.s - 1) < 1e-9 for r in sums)
+    docs = spark.range(121).withColumnRenamed("id", "doc_id")
+    theta = model.doc_topics(docs).groupBy("doc_id").agg(F.sum("p").alias("s")).collect()
+    assert len(theta) == 121 and all(abs(r.s - 1) < 1e-9 for r in theta)
+
+
+def test_sampling_of_nothing(spark):
+    from loomlex.plans import sampling as SP
+    none = spark.createDataFrame([(None, 1, 2), (1, None, 1), (1, 1, 0)], "doc_id bigint, token_id int, tf bigint")
+    model = SP.sample_topics(none, k=2, iterations=3)
+    assert model.assigned.count() == 0 and model.counts.count() == 0

@@ -35,10 +35,15 @@ def test_term_counts_aggregate_map_side(spark):
 
 
 def test_top_k_limits_before_shuffle(spark):
-    p = plan(E.queries()["t5_relevant_terms"](spark, SF))
+    p = plan(E.queries()["t3_top_terms"](spark, SF))
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
+def test_relevant_terms_are_pruned_before_the_shuffle(spark):
+    p = plan(E.queries()["t5_relevant_terms"](spark, SF)).split("\n\n")[0]
+    assert p.count("MapInArrow") == 2 and "Window" not in p and "Generate" not in p.split("Exchange")[0]
+
+
 def test_zero_filled_counts_without_cartesian_product(spark):
     d = spark.createDataFrame([(0, "Ann met Bob, in Paris."), (1, "x")], "doc_id bigint, text string")
     p = plan(EN.entity_type_counts(EN.mentions(d), d))

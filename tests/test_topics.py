@@ -122,3 +122,41 @@ def test_relevance_with_few_terms(spark):
     lengths = spark.createDataFrame([(0, 4), (1, 2)], "doc_id bigint, len bigint")
     base = TV.relevance_base(TV.topic_stats(phi, theta, lengths))
     assert sorted((r.topic, r.term) for r in TV.relevant_terms(base).collect()) == [(0, "a"), (0, "b"), (1, "b")]
+
+
+def test_top_level_walk():
+    """The level at random points equals a plain ranking; equal lines rank by place."""
+    import numpy as np
+    rng = np.random.default_rng(0)
+    for n, r in ((1, 3), (5, 2), (40, 5), (300, 30)):
+        a, b = np.round(rng.normal(size=n), 2), np.round(rng.normal(size=n), 2)
+        a[n // 2:n // 2 + 3], b[n // 2:n // 2 + 3] = a[0], b[0]
+        walk = TV.level_walk(a, b, r)
+        edges = [lam for lam, _ in walk] + [1.0]
+        assert edges[0] == 0.0 and edges == sorted(edges)
+        for lam in rng.random(200):
+            if min(abs(lam - e) for e in edges) < 1e-9:
+                continue
+            members = [m for (lo, m), hi in zip(walk, edges[1:]) if lo <= lam < hi][-1]
+            want = np.argsort(-(b + lam * (a - b)), kind="stable")[:r]
+            assert sorted(want.tolist()) == members.tolist()
+        ranked = [np.argsort(-np.floor((i / 20 * a + (1 - i / 20) * b) * 1e9 + 0.5), kind="stable")[:r] for i in range(21)]
+        assert np.flatnonzero(TV.on_grid(a, b, r, 20)).tolist() == sorted(set(np.concatenate(ranked).tolist()))
+        reach = TV.reaching(a, b, r)
+        assert all(reach[m].all() for _, m in walk)
+
+
+def test_levels_list_the_crossings(spark):
+    """Three lines, top 1: a until it meets b, then b; c is never on top."""
+    rows = [(0, "a", 0.0, 1.0), (0, "b", 1.0, 0.0), (0, "c", 0.1, 0.2), (1, "z", 0.0, 0.0), (1, "y", 0.0, 0.0)]
+    base = spark.createDataFrame([(t, w, 0.1, 1.0, 2.0, p, q) for t, w, p, q in rows],
+                                 "topic int, term string, phi double, ttf double, tot double, logprob double, loglift double")
+    got = sorted(tuple(r) for r in TV.relevance_levels(base.repartition(3), 1).collect())
+    assert got == [(0, "a", 0.0, 0.5), (0, "b", 0.5, 1.0), (1, "y", 0.0, 1.0)]
+    assert TV.relevance_levels(base.limit(0), 1).count() == 0
+
+
+def test_relevant_terms_have_no_grid_in_the_plan(spark):
+    import __spark_entry__ as E
+    plan = E.queries()["t5_relevant_terms"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "0.99" not in plan and "MapInArrow" in plan
