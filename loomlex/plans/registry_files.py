@@ -279,6 +279,41 @@ def k7(spark, sf):
     return spark.read.parquet(path).select("image_index", "staged_path", F.octet_length("content").cast("long").alias("n_bytes"))
 
 
+# ------------------------------------------------------------ line documents out of files
+
+def _language_files(spark, sf) -> str:
+    """``documents`` without their non-ASCII letters as one text file per language, in id order."""
+    path = _folder(spark, "language-files")
+    d = read_table(spark, sf, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
+    d.select("doc_id", "lang", X.ascii_only("text").alias("text")).repartition("lang").sortWithinPartitions("lang", "doc_id") \
+        .select("lang", "text").write.partitionBy("lang").text(path)
+    return path
+
+
+_LANGUAGE_LINES = f"""
+t AS (SELECT doc_id, lang, string_split({Q.ascii_only('text')}, chr(10)) AS parts FROM documents
+      WHERE text IS NOT NULL AND lang IS NOT NULL),
+u AS (SELECT doc_id, lang, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM t),
+l AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) - 1 AS line_no, line FROM u)"""
+
+_LANG_OF = F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")
+
+
+@query("s5_numbered_lines", f"WITH {_LANGUAGE_LINES} SELECT lang, line_no, line FROM l")
+def s5_numbered(spark, sf):
+    """The lines of files with their numbers."""
+    return FS.read_line_docs(spark, _language_files(spark, sf)).select(_LANG_OF, "line_no", "line")
+
+
+@query("s9_folder_lines", f"""
+WITH {_LANGUAGE_LINES}
+SELECT lang, CAST(line_no AS INTEGER) AS line_no, {Q.remove_digits(Q.remove_punct('line'))} AS line FROM l
+""")
+def s9_folder(spark, sf):
+    """The line corpus of a folder of text files."""
+    return FS.folder_line_corpus(spark, _language_files(spark, sf)).select(_LANG_OF, "line_no", "line")
+
+
 # ------------------------------------------------------------ catalog jobs
 
 def _one_image(spark, sf):

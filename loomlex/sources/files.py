@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlex.functions import text as X
 from loomlex.functions.constants import (CONFIG_EXCLUDE_FORMATS, EXTRACTABLE_SUFFIXES,
                                          MARKUP_SUFFIXES)
 from loomlex.operators.joins import join_bounded
-from loomlex.session import ship_package
+from loomlex.session import ship_package, stage_table
 
 TEXT_SUFFIXES = [".txt", ".TXT"]
 
@@ -179,9 +179,28 @@ def line_docs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col), F.posexplode(split_lines(text_col)).alias("line_no", "line"))
 
 
-def read_line_docs(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """S5 on files: ``spark.read.text`` rows (document = line)."""
-    return spark.read.text(path).withColumnRenamed("value", "line")
+def read_line_docs(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
+    """S5 on files: ``(path, line_no, line)``, one row per line, numbered from 0 within its
+    file; files are found at any depth.
+
+    A large file is read as several splits, and only the split knows where a row
+    came from.  The lines are staged once with their file, the split's first byte and
+    their place in the split; the lines of a file's earlier splits, summed, are what a
+    split's numbers start from.  Only one row per split is ever ordered.  A line ends
+    with a line feed; a byte order mark at the start of a file is dropped."""
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    lines = reader.text([path] if isinstance(path, str) else list(path)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    lines = stage_table(lines, "lines")
+    splits = lines.groupBy("path", "block").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = splits.select("path", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    # one row per split: grows with files, so it is measured before it is sent around
+    return join_bounded(lines, start, ["path", "block"]).select(
+        "path", (F.col("place") + F.col("shift")).alias("line_no"), "line")
 
 
 def line_corpus(files: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
@@ -192,3 +211,15 @@ def line_corpus(files: DataFrame, extractors: dict[str, Extractor] | None = None
     t = t.select(X.to_txt("path").alias("path"),
                  X.remove_digits(X.remove_punctuation("text")).alias("text"))
     return t.select("path", F.posexplode(split_lines("text")).alias("line_no", "line"))
+
+
+def folder_line_corpus(spark: SparkSession, path: str, extractors: dict[str, Extractor] | None = None) -> DataFrame:
+    """S9 on a folder: ``line_corpus`` of its files, in which plain-text files are read line
+    by line, so that none of them is ever one row; only files that need an extractor are
+    read whole."""
+    lines = read_line_docs(spark, path, "*{" + ",".join(TEXT_SUFFIXES) + "}").where(is_extractable("path"))
+    decoded = F.decode(F.col("line").cast("binary"), "ISO-8859-1")
+    plain = lines.select(X.to_txt("path").alias("path"), F.col("line_no").cast("int").alias("line_no"),
+                         X.remove_digits(X.remove_punctuation(decoded)).alias("line"))
+    is_text = F.greatest(*[F.col("path").endswith(s) for s in TEXT_SUFFIXES])
+    return plain.unionByName(line_corpus(scan_files(spark, path).where(~is_text), extractors))

@@ -64,3 +64,37 @@ def test_pluggable_extractor(spark, folder):
     docs = FS.extract_text(files, {".jpg": lambda b: "jpeg"}, excluded=[])
     got = {os.path.basename(r.path): r.text for r in docs.collect()}
     assert got["c.jpg"] == "jpeg"
+
+
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    """A file of many splits, lines longer than a split, no final line feed, blank lines."""
+    import random
+    rng = random.Random(2)
+    files = {"a.txt": "\n".join("x" * rng.choice([0, 1, 9, 40, 700]) + str(i) for i in range(150)) + "\n",
+             "sub/b.txt": "one\n\n\ntwo", "sub/c.TXT": "\n", "d.txt": "", "e.txt": "\r\nq\rz\n" * 60}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    want = sorted((name, i, line) for name, text in files.items()
+                  for i, line in enumerate(text.split("\n")[:-1] if text.endswith("\n") else text.split("\n")) if text)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for size in ("128m", "5k", "1500"):
+            for k in keys:
+                spark.conf.set(k, size)
+            rows = FS.read_line_docs(spark, str(tmp_path)).collect()
+            got = sorted((r.path.split(tmp_path.name + "/")[1], r.line_no, r.line) for r in rows)
+            assert got == want
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_folder_line_corpus(spark, tmp_path):
+    """Text files by lines and files with an extractor whole give what whole files give."""
+    for name, data in {"a.txt": b"Ab, 12 c\n\nd9!\n", "b.TXT": b"caf\xc3\xa9 1\xff", "p.html": b"<p>Hi, 4 all</p>", "skip.csv": b"x,y"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = sorted(tuple(r) for r in FS.folder_line_corpus(spark, str(tmp_path)).collect())
+    want = sorted(tuple(r) for r in FS.line_corpus(FS.scan_files(spark, str(tmp_path))).collect())
+    assert got == want and len({r[0] for r in got}) == 3

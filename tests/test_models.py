@@ -262,7 +262,7 @@ def test_sampling_finds_planted_topics(spark):
     rng = np.random.default_rng(3)
     rows = [(d, 10 * (d % 3) + int(t), 1) for d in range(120) for t in rng.integers(0, 10, 25)]
     bow = spark.createDataFrame(rows, "doc_id bigint, token_id int, tf bigint")
-    model = SP.sample_topics(bow, k=3, iterations=60, seed=2, alpha=0.5, sync_every=2)
+    model = SP.sample_topics(bow, k=3, iterations=60, seed=2, alpha=0.5, sync_every=6)
     assert model.likelihoods[-1] > model.likelihoods[0]
     main = {(r.token_id // 10): [r.c0, r.c1, r.c2].index(max(r.c0, r.c1, r.c2)) for r in model.counts.collect()}
     pure = sum(max(r.c0, r.c1, r.c2) for r in model.counts.collect()) / len(rows)
