@@ -130,6 +130,26 @@ def f2(spark, sf):
     return TK.drop_rare(TK.drop_stopwords(base_tokens(spark, sf), TK.default_stop_words()), 2)
 
 
+BATCHES = 4
+
+
+@query("w2_batched_dictionary", f"""
+WITH {Q.corpus_ctes(min_cf=1)}
+SELECT term, token_id, cf, df, first_doc FROM dict
+""")
+def w2_batches(spark, sf):
+    """The dictionary built from four batches of documents in id order: token ids and
+    frequencies of one build over all of them."""
+    from loomlex.operators import growing as GD
+    tf = TK.build_corpus(_scan_docs(spark, sf), min_cf=1).tf
+    last = tf.agg(F.max("doc_id")).first()[0] or 0
+    part = F.floor(F.col("doc_id") * BATCHES / F.lit(last + 1))
+    known = GD.start(tf.where(part == 0))
+    for b in range(1, BATCHES):
+        known = GD.add_batch(known, tf.where(part == b))
+    return known.at()
+
+
 @query("f3_min_length", f"WITH {_TOK_SQL} SELECT doc_id, pos, term FROM tok WHERE length(term) >= 3")
 def f3(spark, sf):
     return TK.min_length(base_tokens(spark, sf), 3)

@@ -266,6 +266,22 @@ def k5(spark, sf):
         F.size("entities").cast("long").alias("n_entities"))
 
 
+@query("k5_append_once", """
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS batch, length(text) AS n_chars
+FROM documents WHERE text IS NOT NULL
+""")
+def k5_once(spark, sf):
+    """Two batches, the first written twice and the second with all documents: every
+    document is there once, by the batch that brought it."""
+    d = _scan_docs(spark, sf).where("text IS NOT NULL")
+    records = d.select("doc_id", "text")
+    path = _folder(spark, "span-batches")
+    W.append_spans(records.where("doc_id % 2 = 0"), path, "first")
+    W.append_spans(records.where("doc_id % 2 = 0"), path, "first")
+    W.append_spans(records, path, "second")
+    return spark.read.json(path).select("doc_id", "batch", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("k7_staged_layout", """
 SELECT CAST(page_id % 4 AS INTEGER) AS image_index, '/stage/' || CAST(page_id % 4 AS VARCHAR) || '/p/' || CAST(page_id AS VARCHAR)
   AS staged_path, strlen(html) AS n_bytes FROM pages
