@@ -153,6 +153,27 @@ def test_template_is_rejected_by_its_labels(spark):
     assert got[0].template != got[100].template
 
 
+def test_labels_reach_urls_without_a_rule(spark):
+    """A host that no rule names is judged by what its path shapes are elsewhere."""
+    rows = [(i, f"http://h{i % 4}.net/es/{i}") for i in range(40)] + [(100 + i, f"http://h{i % 4}.net/en/{i}") for i in range(40)]
+    rows += [(200 + i, f"http://plain.org/{'es' if i % 2 else 'en'}/{900 + i}") for i in range(20)] + [(300, "http://plain.org/zz")]
+    rules = [("block", "net/es/"), ("allow", "net/en/")]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    free = [got[200 + i] for i in range(20)]
+    assert all(r.rule is None for r in free)
+    assert [r.verdict for r in free] == ["block" if i % 2 else "allow" for i in range(20)]
+    assert got[300].verdict == "allow" and len({r.purity for r in free + [got[300]]}) >= 3
+
+
+def test_unlabelled_branches_join_labelled_ones(spark):
+    """On one host the slugs of a blocked directory's kind share its template."""
+    rows = [(i, f"http://h.net/es/{i}") for i in range(30)] + [(50 + i, f"http://k.net/fr/{i}") for i in range(30)]
+    rows += [(100 + i, f"http://h.net/fr/{i}") for i in range(10)]
+    rules = [("block", "h.net/es/"), ("block", "k.net/fr/")]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got[100].rule is None and got[100].verdict == "block" and got[100].template == got[0].template
+
+
 def test_url_sql(spark):
     df = spark.read.parquet(f"{SF}/pages.parquet")
     con = duckdb.connect()
