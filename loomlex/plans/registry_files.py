@@ -312,13 +312,14 @@ t AS (SELECT doc_id, lang, string_split({Q.ascii_only('text')}, chr(10)) AS part
 u AS (SELECT doc_id, lang, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM t),
 l AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) - 1 AS line_no, line FROM u)"""
 
-_LANG_OF = F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")
+def _lang_of():
+    return F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")
 
 
 @query("s5_numbered_lines", f"WITH {_LANGUAGE_LINES} SELECT lang, line_no, line FROM l")
 def s5_numbered(spark, sf):
     """The lines of files with their numbers."""
-    return FS.read_line_docs(spark, _language_files(spark, sf)).select(_LANG_OF, "line_no", "line")
+    return FS.read_line_docs(spark, _language_files(spark, sf)).select(_lang_of(), "line_no", "line")
 
 
 @query("s9_folder_lines", f"""
@@ -327,7 +328,7 @@ SELECT lang, CAST(line_no AS INTEGER) AS line_no, {Q.remove_digits(Q.remove_punc
 """)
 def s9_folder(spark, sf):
     """The line corpus of a folder of text files."""
-    return FS.folder_line_corpus(spark, _language_files(spark, sf)).select(_LANG_OF, "line_no", "line")
+    return FS.folder_line_corpus(spark, _language_files(spark, sf)).select(_lang_of(), "line_no", "line")
 
 
 # ------------------------------------------------------------ catalog jobs

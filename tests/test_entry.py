@@ -21,3 +21,13 @@ def test_sql_checked_queries_run_small(spark):
     q = E.queries()
     for name in ["n9_prepare", "x2_human_size", "s4_html_to_text", "j5_full_paths", "w1_first_seen_ids"]:
         assert q[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_queries_load_without_a_session():
+    """The driver lists queries and SQL before it starts Spark."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
