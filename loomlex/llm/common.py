@@ -33,6 +33,14 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
 
 
+def doc_key() -> Column:
+    """A 128-bit digest that stands for (doc_id, text) where 64 bits are too few for
+    all rows of a large table; the id's length keeps ids and texts apart."""
+    doc_id = F.col("doc_id").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.length(doc_id), F.lit(-1)).cast("string"), F.lit(":"),
+                                  F.coalesce(doc_id, F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan only if it has fewer splits than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

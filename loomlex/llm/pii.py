@@ -3,16 +3,21 @@ r"""Personal data: base patterns, then bootstrapped contextual extraction (DataF
 1. Base spans per kind by regular expressions, leftmost and non-overlapping, with
    checks (octets, Luhn, digit counts); positions are running sums of the lengths
    of what lies between matches, one row per match.
-2. Instances are identifier-like tokens: runs of non-blanks with a digit or ``@``.
-   A token that a base span touches is a seed of that kind.  An instance's pattern
-   is the two words before it within ``CONTEXT`` characters.
-3. The pattern-instance graph (one edge per pattern and value, with its count) is
-   scored in ``ROUNDS`` rounds: seeds score 1, a pattern's score for a kind is the
-   smoothed mean over its values, and an unseen value gets its best pattern's
-   score.  Counts cover all documents.
-4. Patterns with a score of ``ACCEPT`` or more and ``SUPPORT`` different seed values
-   give their kind to every unseen token of the same coarse form (address sign,
-   digit count, dots) as one of their seeds.
+2. Instances are whole identifiers: runs of non-blanks with a digit or ``@``, or digit
+   groups joined by blanks, brackets, dots and hyphens, without the punctuation around
+   them.  An instance that a base span touches is a seed of that kind and stands for
+   the whole base span; one that begins inside a base span is part of it.  A pattern is
+   the two words before the instance within ``CONTEXT`` characters together with the
+   instance's coarse form (address sign, digit count, dots).
+3. The pattern-instance graph has one edge per pattern and distinct value.  Seeds score
+   1 for their kind; a pattern's score for a kind is the sum of its values' scores over
+   the number of its values plus ``SMOOTHING``.  A pattern is accepted with a score of
+   ``ACCEPT`` or more (about half of its values) and ``SUPPORT`` values known to be of
+   the kind.  Other values take the best score of the accepted patterns they occur in
+   and so support further patterns.  Scores only rise, and rounds go on until the
+   accepted patterns stay the same.
+4. Every instance without a base span in an accepted pattern gets the pattern's kind (of
+   several the best score's, then the first by name).  Counts cover all documents.
 
 The possessive quantifiers keep the scans linear and free of recursion on long
 texts.  Defined cases: null text is empty; rows that repeat doc_id and text get
@@ -25,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlex.llm.common import keyed_docs, row_key, stage
+from loomlex.llm.common import doc_key, stage
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL, LABEL = r"A-Za-z0-9._%+\-", r"A-Za-z0-9\-"
@@ -38,8 +43,12 @@ PATTERNS = {
 # A cheap test that any match passes.
 NEEDS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
          "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": lambda t: t.contains("+")}
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-CONTEXT, ROUNDS, ACCEPT, SUPPORT, SMOOTHING = 80, 3, 0.9, 5, 1.0
+BLANK = r"\x20\x09-\x0D"
+_GROUP = rf"""[0-9][0-9().\-]*+(?=[,;:!?\]}}"']*+(?:[{BLANK}]|\z))"""  # digits up to the end of a word
+TOKEN = (rf"(?<![^{BLANK}])(?:[+(]{{0,2}}+{_GROUP}(?:\x20{{1,2}}+[(]?+{_GROUP})*+"
+         rf"|[^{BLANK}0-9@]*+[0-9@][^{BLANK}]*+)")
+HEAD, TAIL = "\"'<[{,;:=*_", ".,;:!?\"'>]}*_"  # not part of an identifier at its ends
+CONTEXT, ACCEPT, SUPPORT, SMOOTHING = 80, 0.5, 5, 1.0
 
 
 def _octets(match: Column) -> Column:
@@ -107,59 +116,70 @@ def form(match: Column) -> Column:
                                 F.when(match.rlike(r"[0-9]\.[0-9]"), ".").otherwise(""))))
 
 
+def trimmed(match: Column) -> tuple[Column, Column]:
+    """(identifier, characters before it): ``match`` without quotes, commas and
+    the like at its ends, and without brackets that only enclose it."""
+    core = F.rtrim(F.ltrim(match, F.lit(HEAD)), F.lit(TAIL))
+    opens = core.startswith("(") & (core.endswith(")") | ~core.contains(")"))
+    closes = core.endswith(")") & (core.startswith("(") | ~core.contains("("))
+    skip = F.length(match) - F.length(F.ltrim(match, F.lit(HEAD))) + opens.cast("int")
+    core = F.substr(core, opens.cast("int") + 1, F.length(core) - opens.cast("int") - closes.cast("int"))
+    return F.rtrim(core, F.lit(TAIL)), skip
+
+
 def instances(base: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Tokens with ``pattern``, ``form`` and the kind of a touching base span (null: unseen)."""
-    order = F.col("kind") != "token"
+    """(row_key, start, end, value, form, pattern, seed) of every identifier with two
+    words before it; ``seed`` is the kind of a touching base span (null: unseen)."""
+    is_base = F.col("kind") != "token"
     events = base.select("uid", "row_key", "kind", "start", "end", "match", F.lit("").alias("before")).union(
         tokens.select("uid", "row_key", "kind", "start", "end", "match", "before"))
     upto = Window.partitionBy("uid").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("uid").orderBy(F.desc("start"), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    span = F.when(order, F.struct("end", "kind"))
-    next_span = F.when(order, F.struct("start", "kind"))
-    seen = (events.withColumn("last", F.max(span).over(upto))
-            .withColumn("next", F.last(next_span, ignorenulls=True).over(down))
+    seen = (events.withColumn("last", F.max(F.when(is_base, F.struct("end", "start", "kind", "match"))).over(upto))
+            .withColumn("next", F.last(F.when(is_base, F.struct("start", "kind", "match")), ignorenulls=True).over(down))
             .where("kind = 'token'"))
-    kind = (F.when(F.col("last.end") > F.col("start"), F.col("last.kind"))
-            .when(F.col("next.start") < F.col("end"), F.col("next.kind")))
-    words = F.lower(F.regexp_extract("before", r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-    return (seen.select("row_key", "start", "end", "match", form(F.col("match")).alias("form"),
-                        F.regexp_replace(words, r"[\x20\x09-\x0D]+", " ").alias("pattern"), kind.alias("seed"))
-            .where("pattern <> ''"))
+    inside = F.coalesce(F.col("last.end") > F.col("start"), F.lit(False))
+    span = (F.when(inside, F.struct(F.col("last.kind").alias("kind"), F.col("last.match").alias("match")))
+            .when(F.col("next.start") < F.col("end"), F.struct(F.col("next.kind"), F.col("next.match"))))
+    word = rf"[^{BLANK}]++"
+    words = F.lower(F.regexp_extract("before", rf"({word}[{BLANK}]++{word})[{BLANK}]*+\z", 1))
+    core, skip = trimmed(F.col("match"))
+    found = (seen.where(~(inside & (F.col("last.start") < F.col("start"))))
+             .select("row_key", (F.col("start") + skip).alias("start"), core.alias("core"), span.alias("span"),
+                     F.regexp_replace(words, rf"[{BLANK}]+", " ").alias("pattern"))
+             .where("pattern <> '' AND core <> ''"))
+    value = F.coalesce(F.col("span.match"), F.col("core"))
+    return found.select("row_key", "start", (F.col("start") + F.length("core")).alias("end"), value.alias("value"),
+                        form(value).alias("form"), "pattern", F.col("span.kind").alias("seed"))
 
 
 def score_patterns(found: DataFrame) -> DataFrame:
-    """(pattern, kind) accepted after the bootstrapping rounds."""
-    edges = stage(found.groupBy("pattern", "match", "seed").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
-    kinds = edges.where("seed IS NOT NULL").groupBy("pattern", F.col("seed").alias("kind")).agg(
-        F.count(F.lit(1)).alias("support"))
-    # only patterns with seeds, and for each kind they have seeds of
-    graph = stage(edges.join(kinds.where(F.col("support") >= 2), "pattern")
-                  .select("pattern", "kind", "match", "support", "n",
-                          F.when(F.col("seed").isNull(), None).otherwise((F.col("seed") == F.col("kind")).cast("double"))
-                          .alias("fixed")), "pii-graph")
-    values = graph.select("pattern", "kind", "match", "support", "n", "fixed",
-                          F.coalesce("fixed", F.lit(0.0)).alias("score"))
-    patterns = None
-    for _ in range(ROUNDS):
-        patterns = values.groupBy("pattern", "kind").agg(
-            (F.sum(F.col("n") * F.col("score")) / (F.sum("n") + SMOOTHING)).alias("score"),
-            F.max("support").alias("support"))
-        patterns = stage(patterns, "pii-patterns")
-        best = (graph.where("fixed IS NULL").join(patterns.select("pattern", "kind", "score"), ["pattern", "kind"])
-                .groupBy("match", "kind").agg(F.max("score").alias("best")))
-        values = (graph.join(best, ["match", "kind"], "left")
-                  .select("pattern", "kind", "match", "support", "n", "fixed",
-                          F.coalesce("fixed", F.col("best") * F.col("best"), F.lit(0.0)).alias("score")))
-    return patterns.where((F.col("score") >= ACCEPT) & (F.col("support") >= SUPPORT)).select("pattern", "kind")
+    """(pattern, form, kind, score) accepted when another round accepts no more."""
+    edges = stage(found.groupBy("pattern", "form", "value").agg(F.max("seed").alias("seed")), "pii-edges")
+    size = edges.groupBy("pattern", "form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT)
+    seeds = stage(found.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind")).distinct(), "pii-seeds")
+    # fewer values than the support cannot be accepted
+    edges = stage(edges.select("pattern", "form", "value").join(size, ["pattern", "form"]), "pii-graph")
+    known, before = seeds.withColumn("score", F.lit(1.0)), 0
+    while True:
+        scored = edges.join(known, "value").groupBy("pattern", "form", "kind").agg(
+            (F.sum("score") / (F.max("n") + SMOOTHING)).alias("score"), F.count(F.lit(1)).alias("support"))
+        accepted = stage(scored.where((F.col("score") >= ACCEPT) & (F.col("support") >= SUPPORT)), "pii-patterns")
+        count = accepted.count()
+        if count == before:
+            return accepted.select("pattern", "form", "kind", "score")
+        before = count
+        others = (edges.join(accepted.select("pattern", "form", "kind", "score"), ["pattern", "form"])
+                  .groupBy("value", "kind").agg(F.max("score").alias("score"))
+                  .join(seeds.select("value").distinct(), "value", "left_anti"))
+        known = stage(seeds.withColumn("score", F.lit(1.0)).unionByName(others), "pii-known")
 
 
 def discover(found: DataFrame) -> DataFrame:
     """(row_key, start, end, kind) of unseen identifiers."""
-    accepted = score_patterns(found)
-    forms = (found.where("seed IS NOT NULL").join(accepted, "pattern").where("seed = kind")
-             .select("pattern", "kind", "form").distinct())
-    return (found.where("seed IS NULL").join(forms, ["pattern", "form"])
-            .groupBy("row_key", "start", "end").agg(F.min("kind").alias("kind")))
+    best = F.min(F.struct((-F.col("score")).alias("low"), F.col("kind")))
+    return (found.where("seed IS NULL").join(score_patterns(found), ["pattern", "form"])
+            .groupBy("row_key", "start", "end").agg(best["kind"].alias("kind")))
 
 
 def joined(spans: Column) -> Column:
@@ -171,7 +191,7 @@ def joined(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of ``docs``."""
-    texts = (keyed_docs(docs).select("row_key", "text", F.monotonically_increasing_id().alias("uid"))
+    texts = (docs.select(doc_key().alias("row_key"), "text", F.monotonically_increasing_id().alias("uid"))
              .where(F.col("text").rlike("[0-9@+]")))
     rows = stage(scan(texts, PATTERNS | {"token": TOKEN}), "pii-matches")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
@@ -182,7 +202,7 @@ def report(docs: DataFrame) -> DataFrame:
     one = F.struct(F.col("start"), rank.alias("rank"), F.col("end"))
     per_doc = spans.groupBy("row_key").agg(
         F.collect_set(F.when(F.col("base"), one)).alias("base"), F.collect_set(one).alias("spans"))
-    out = docs.select("doc_id", row_key().alias("row_key")).join(per_doc, "row_key", "left")
+    out = docs.select("doc_id", doc_key().alias("row_key")).join(per_doc, "row_key", "left")
 
     def count(kind):
         k = KINDS.index(kind) + 1

@@ -139,3 +139,29 @@ def base_pii(text):
 def base_digest(text):
     kinds = ["", *PII]
     return hashlib.sha256(",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in base_pii(text)).encode()).hexdigest()
+
+
+def bootstrap(found, accept=0.5, support=5, smoothing=1.0):
+    """Accepted {(pattern, form, kind): score} from (pattern, form, value, seed) rows."""
+    values, seeds = {}, {}
+    for pattern, form, value, seed in found:
+        values.setdefault((pattern, form), set()).add(value)
+        if seed:
+            seeds.setdefault(value, {})[seed] = 1.0
+    kinds = {k for s in seeds.values() for k in s}
+    accepted, known = {}, dict(seeds)
+    while True:
+        scored = {}
+        for (pattern, form), vs in values.items():
+            for kind in kinds:
+                scores = [known[v][kind] for v in vs if kind in known.get(v, {})]
+                score = sum(scores) / (len(vs) + smoothing)
+                if len(scores) >= support and score >= accept:
+                    scored[pattern, form, kind] = score
+        if len(scored) == len(accepted):
+            return scored
+        accepted, known = scored, {v: dict(s) for v, s in seeds.items()}
+        for (pattern, form, kind), score in accepted.items():
+            for v in values[pattern, form] - set(seeds):
+                entry = known.setdefault(v, {})
+                entry[kind] = max(entry.get(kind, 0.0), score)

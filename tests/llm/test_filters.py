@@ -327,6 +327,56 @@ def test_contexts_discover_unseen(spark):
     assert all(got[i].n_email == 1 for i in range(40))
 
 
+def test_whole_identifiers_are_discovered(spark):
+    """Contexts where two fifths of the values are unseen: phones with blanks, addresses
+    without a dot and numbers in brackets are found with whole spans."""
+    rows = [(i, f"please call me at +1 (2{i:02d}) 555-{1000 + i}, today") for i in range(60)]
+    rows += [(100 + i, f"please call me at ({300 + i}) 555-{2000 + i}. today") for i in range(20)]
+    rows += [(150 + i, f"please call me at 1 ({300 + i}) 555-{2000 + i} today") for i in range(20)]
+    rows += [(200 + i, f"or write to u{i}@mail.example.com now") for i in range(60)]
+    rows += [(300 + i, f"or write to (v{i}@localhost), now") for i in range(40)]
+    rows += [(400 + i, f"it cost us {i} 000 or 1990. 12 in all") for i in range(60)]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == "phone:18:35" and got[103] == "phone:18:32" and got[155] == "phone:18:34"
+    assert got[303] == "email:13:25" and got[335] == "email:13:26"
+    assert all(got[d].count(":") == 2 for d, _ in rows if d < 400) and not any(got[400 + i] for i in range(60))
+
+
+def test_discovered_values_support_further_patterns(spark):
+    """A pattern without seeds is accepted by values that another pattern discovered."""
+    rows = [(i, f"or write to u{i}@mail.example.com now") for i in range(30)]
+    rows += [(100 + i, f"or write to v{i}@localhost now") for i in range(10)]
+    rows += [(200 + i, f"his own box v{i}@localhost again") for i in range(10)] + [(300, "his own box w@remote again")]
+    rows += [(400, "no such box w@remote again")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[204] == "email:12:24" and got[300] == "email:12:20" and got[400] == ""
+
+
+def test_pattern_scores(spark):
+    rng = random.Random(5)
+    found = []
+    for _ in range(1500):
+        value = f"v{rng.randrange(400)}"
+        kind = ["email", "phone", None, None, None][int(value[1:]) % 5]
+        found.append((f"p{min(int(rng.expovariate(0.05)), 40 + int(value[1:]) % 5)}", "@" if int(value[1:]) % 3 else "few", value, kind))
+    found += [(f"q{int(v[1:]) % 2}", f, v, s) for _, f, v, s in found if s == "email"]
+    found += [(f"q{k % 2}", "@", f"w{k}", None) for k in range(40)] + [("r", "@", f"w{k}", None) for k in range(12)]
+    df = spark.createDataFrame(found, "pattern string, form string, value string, seed string").repartition(5)
+    got = {(r.pattern, r.form, r.kind): r.score for r in pii.score_patterns(df).collect()}
+    want = brute.bootstrap(found)
+    assert got.keys() == want.keys() and ("r", "@", "email") in want
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_rows_whose_64_bit_hash_collides_stay_apart(spark, monkeypatch):
+    """Row keys are 128-bit digests: nothing depends on xxhash64 telling rows apart."""
+    for module in (pii,):
+        monkeypatch.setattr(module.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    rows = [(1, "a@b.cc is here"), (2, "and there 1.2.3.4"), (3, "none")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: "email:0:6", 2: "ip:10:17", 3: ""}
+
+
 def test_native_plans(spark, capsys):
     pii.report(spark.createDataFrame([(1, "a@b.cc")], SCHEMA)).explain()
     url_filter.judge(spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")).explain()
