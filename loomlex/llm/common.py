@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlex.operators.joins import join_bounded
 from loomlex.session import shuffle_partitions, stage_table
 
 # Characters that separate words: [\x20\x09-\x0D], as a Java regex class.
@@ -41,6 +42,18 @@ def doc_key() -> Column:
                                   F.coalesce(doc_id, F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(key, row): ``doc_key`` beside the whole row, so that no column name can clash."""
+    return docs.select(doc_key().alias("key"), F.struct("*").alias("row"))
+
+
+def anti_join_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``doc_key`` is a ``row_key`` of ``keys``.  Keys
+    within the measured broadcast bound go to the rows, so no text is shuffled."""
+    keys = stage(keys.select(F.col("row_key").alias("key")), "drop-keys")
+    return join_bounded(whole_rows(docs), keys, "key", "left_anti").select("row.*")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan only if it has fewer splits than the cluster has cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism

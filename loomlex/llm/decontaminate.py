@@ -2,17 +2,19 @@
 
 The normalised windows of all test questions and answers form one automaton.
 Each text is normalised once, scanned once, and matches are mapped back to word
-numbers and, for ``spans``, to character offsets of the original text.
+numbers; ``spans`` maps them on to code point offsets of the original text.
 
-A benchmark of up to ``MAX_BROADCAST_BYTES`` of text is broadcast as one slice;
-its automaton is split only beyond ``max_windows`` windows.  A larger benchmark
-is cut into slices that are scanned one after the other, each carrying on the
-hits of those before, so a task's memory stays bounded and no item is left out.
+A benchmark of up to ``SLICE_BYTES`` of text is one slice; its automaton is split
+only beyond ``max_windows`` windows.  A larger benchmark is cut into slices.  The
+driver holds one slice at a time, each is scanned in a stage of its own, whose
+result is written, and carries on the hits of those before: neither the driver
+nor a task ever holds two, and no item is left out.
 
 Defined cases: null text has no words; an item without words never occurs; an
 item shorter than a window is one window; repeated item rows count once; items
 with a null id are scanned and their id left out of the digest; an empty
-benchmark or table gives zero hits or no rows; other columns are ignored.
+benchmark or table gives zero hits or no rows; other columns are ignored (``spans``
+and ``drop_contaminated`` keep or drop whole rows, whatever their columns are called).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlex.llm.arrays import LOWER, text_chunks
-from loomlex.llm.common import keyed_docs, row_key, spread
+from loomlex.llm.common import anti_join_keys, doc_key, spread, stage
 
 WINDOW = 13
 # A word is a run of [0-9a-z] and non-ASCII characters, after lower-casing A-Z.
@@ -97,6 +99,21 @@ def hit_words(found: list[bytes], automata) -> tuple[np.ndarray, set]:
     return hit, items
 
 
+def hit_spans(raw: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of every maximal run of hit words, in code points of the
+    original text: normalising keeps the length in bytes, so a word's bytes are
+    its place there, and the bytes that begin a code point are counted up to it."""
+    if not hit.any():
+        return []
+    word = np.frombuffer(raw.translate(_NORMAL), np.uint8) != 32
+    edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    run = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
+    first, last = np.flatnonzero(run == 1), np.flatnonzero(run == -1) - 1
+    points = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+    return [(int(a), int(b)) for a, b in zip(points[starts[first]], points[ends[last]])]
+
+
 def scan(handle, last: bool):
     """Scan every text; ``hits`` (packed bits per word) and ``item_ids`` of an
     earlier slice of the benchmark, if there, are carried on."""
@@ -106,9 +123,10 @@ def scan(handle, last: bool):
             carried = "hits" in batch.schema.names
             for lo, hi, offs, data in text_chunks(batch["text"]):
                 raw = data.tobytes()
-                n_words, n_hit, item_ids, hits = [], [], [], []
+                n_words, n_hit, item_ids, hits, spans = [], [], [], [], []
                 for i in range(hi - lo):
-                    found = normal_words(raw[offs[i]:offs[i + 1]])
+                    text = raw[offs[i]:offs[i + 1]]
+                    found = normal_words(text)
                     hit, items = hit_words(found, automata)
                     if carried:
                         old = np.frombuffer(batch["hits"][lo + i].as_py(), np.uint8)
@@ -117,48 +135,76 @@ def scan(handle, last: bool):
                     n_words.append(len(found))
                     n_hit.append(int(hit.sum()))
                     item_ids.append(sorted(x for x in items if x is not None))
-                    hits.append(b"" if last else np.packbits(hit).tobytes())
+                    if last:
+                        spans.append([{"start": a, "end": b} for a, b in hit_spans(text, hit)])
+                    else:
+                        hits.append(np.packbits(hit).tobytes())
                 columns = [batch["row_key"][lo:hi], batch["doc_id"][lo:hi], pa.array(n_words, pa.int64()),
                            pa.array(n_hit, pa.int64()), pa.array(item_ids, pa.list_(pa.string()))]
                 names = ["row_key", "doc_id", "n_words", "n_hit", "item_ids"]
-                if not last:
+                if last:
+                    columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
+                    names.append("spans")
+                else:
                     columns += [pa.array(hits, pa.binary()), batch["text"][lo:hi]]
                     names += ["hits", "text"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
     return run
 
 
-MAX_BROADCAST_BYTES = 64 << 20
+# Text of one slice; its windows are at most WINDOW times as much, and the nodes
+# of its automaton at most one a byte of them.
+SLICE_BYTES = 1 << 20
+
 
+def slice_count(benchmark: DataFrame) -> int:
+    """In how many slices the benchmark is scanned."""
+    return int(benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES + 1
 
-def benchmark_slices(benchmark: DataFrame) -> list[list[tuple]]:
-    """The items, in slices of about MAX_BROADCAST_BYTES of text each.
 
-    The benchmark is a curated table; its text is summed before any of it comes
-    to the driver, and a larger one is sliced by a hash of the item.
-    """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total // MAX_BROADCAST_BYTES) + 1
+def benchmark_slices(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The distinct items in slices of about SLICE_BYTES of text, one at a time,
+    cut by a hash of the item."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL").distinct()
+    n = slice_count(items)
     pick = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r.item_id, r.text) for r in items.where(pick == s).collect()] for s in range(n)]
+    for s in range(n):
+        yield [(r.item_id, r.text) for r in (items.where(pick == s) if n > 1 else items).collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                   max_windows: int = 500_000) -> DataFrame:
-    """Per row of ``docs``: row_key, doc_id, n_words, n_hit, item_ids (items with an occurring window)."""
+    """Per row of ``docs``: row_key, doc_id, n_words, n_hit, item_ids (items with an
+    occurring window), spans (maximal runs of hit words, in code points)."""
     spark = docs.sparkSession
-    out = spread(keyed_docs(docs))
-    slices = benchmark_slices(benchmark)
+    out = spread(docs.select(doc_key().alias("row_key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row_key long, doc_id {kind}, n_words long, n_hit long, item_ids array<string>"
-    for k, items in enumerate(slices):
-        last = k == len(slices) - 1
+    schema = f"row_key binary, doc_id {kind}, n_words long, n_hit long, item_ids array<string>"
+    ends, more = ", spans array<struct<start:bigint,end:bigint>>", ", hits binary, text string"
+    slices = benchmark_slices(benchmark)
+    items = next(slices)
+    while items is not None:
+        following = next(slices, None)
         blocks = spark.sparkContext.broadcast(window_blocks(items, window, max_windows))
-        out = out.mapInArrow(scan(blocks, last), schema if last else schema + ", hits binary, text string")
+        out = out.mapInArrow(scan(blocks, following is None), schema + (ends if following is None else more))
+        if following is not None:
+            out = stage(out, "benchmark-slice")
+            blocks.unpersist()
+        items = following
     return out
 
 
+def spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, start, end, match: one row per maximal run of hit words, where it
+    stands in the original text (code points, end exclusive) and what stands there."""
+    found = contamination(docs, benchmark).where(F.size("spans") > 0).select("row_key", F.explode("spans").alias("s"))
+    # rows that repeat doc_id and text repeat their spans: one of them is enough to look them up
+    texts = docs.select(doc_key().alias("row_key"), "doc_id", "text")
+    return (texts.join(found.distinct(), "row_key")
+            .select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"),
+                    F.expr("substring(text, int(s.start) + 1, int(s.end - s.start))").alias("match")))
+
+
 def contaminated():
     """The rule: any hit, and hit words at least a twentieth of all words."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
@@ -174,8 +220,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows; all columns stay."""
-    bad = contamination(docs, benchmark).where(contaminated()).select(F.col("row_key").alias("_lx_key")).distinct()
-    return docs.withColumn("_lx_key", row_key()).join(bad, "_lx_key", "left_anti").drop("_lx_key")
+    return anti_join_keys(docs, contamination(docs, benchmark).where(contaminated()).select("row_key").distinct())
 
 
 SQL = r"""
@@ -183,7 +228,7 @@ WITH up AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxy
 iw AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
        FROM benchmark, up WHERE text IS NOT NULL),
 win AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, array_to_string(ws[i:i + 12], ' ') AS win
-        FROM iw, range(1, 10000) t(i) WHERE len(ws) > 0 AND (i = 1 OR i + 12 <= len(ws))),
+        FROM (SELECT *, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM iw WHERE len(ws) > 0)),
 dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents, up),
 pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM dw),
 ns AS (SELECT DISTINCT n FROM win),

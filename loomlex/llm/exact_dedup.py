@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlex.llm.common import BLANKS, row_key, stage
+from loomlex.llm.common import BLANKS, doc_key, stage, whole_rows
+from loomlex.operators.joins import join_bounded
 
 KEY = ["digest", "check", "n_bytes"]
 
@@ -30,7 +31,7 @@ def digest_rows(docs: DataFrame) -> DataFrame:
     SHA-256, an independent 64-bit hash and the length all agree.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    norm = docs.select("doc_id", row_key().alias("row_key"), F.length(text).cast("long").alias("chars"),
+    norm = docs.select("doc_id", doc_key().alias("row_key"), F.length(text).cast("long").alias("chars"),
                        F.regexp_replace(text, BLANKS + "+", "").alias("norm"))
     return norm.select(
         "doc_id", "row_key", "chars", F.unhex(F.sha2("norm", 256)).alias("digest"),
@@ -64,10 +65,17 @@ def exact_groups(docs: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that another row stands for; all columns stay."""
-    keep = exact_groups(docs).where("kept").select(F.col("row_key").alias("_lx_key"))
-    return (docs.withColumn("_lx_key", row_key()).join(keep, "_lx_key", "left_semi")
-            .dropDuplicates(["_lx_key"]).drop("_lx_key"))
+    """``docs`` without the rows that another row stands for; all columns stay.
+
+    The keys of rows that go are sent to the rows within the measured broadcast
+    bound.  Only rows that repeat doc_id and text of a kept row are shuffled whole."""
+    keys = (exact_groups(docs).groupBy(F.col("row_key").alias("key"))
+            .agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")))
+    drop = stage(keys.where("n > 1 OR NOT kept"), "exact-drop")
+    rows = whole_rows(docs)
+    once = join_bounded(rows, drop.select("key"), "key", "left_anti")
+    repeated = join_bounded(rows, drop.where("kept").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return once.unionByName(repeated).select("row.*")
 
 
 SQL = r"""
@@ -78,7 +86,8 @@ WITH n AS (
 g AS (
   SELECT doc_id, text_sha256,
          first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST) AS keep_id,
-         count(*) OVER (PARTITION BY text_sha256) AS group_size
+         count(*) OVER (PARTITION BY text_sha256) AS group_size,
+         row_number() OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST) = 1 AS kept
   FROM n)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
 """

@@ -95,10 +95,82 @@ def test_benchmark_in_slices(spark, rows_of, monkeypatch):
     """A benchmark over the broadcast bound is scanned slice by slice, with the same result."""
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = rows_of(decontaminate.report(docs, bench))
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", 4000)
-    assert len(decontaminate.benchmark_slices(bench)) > 2
+    places = rows_of(decontaminate.spans(docs, bench))
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 3000)
+    sizes = [sum(len(t) for _, t in items) for items in decontaminate.benchmark_slices(bench)]
+    assert len(sizes) > 2 and max(sizes) < 6000
     assert rows_of(decontaminate.report(docs, bench)) == whole
     assert sum(r[5] for r in whole) > 0
+    assert rows_of(decontaminate.spans(docs, bench)) == places and places
+
+
+def test_spans_in_the_original(spark, rows_of):
+    """Hit runs as code points of the original text, against a word-by-word map."""
+    import re
+    rng = random.Random(4)
+    letters = ["é", "q", "Z", "中", "\U0001f600", "7"]
+    gaps = [" ", "!? ", "\n\t", " - ", "_", "\x00"]
+    word = lambda: "".join(rng.choice(letters) for _ in range(2))
+    items = [(str(i), " ".join(word() for _ in range(rng.choice([1, 2, 15])))) for i in range(8)]
+    rows = []
+    for i in range(40):
+        parts = [word() if rng.random() < 0.6 else rng.choice(items)[1].upper() for _ in range(30)]
+        rows.append((i, rng.choice(["", "¿", "("]) + "".join(p + rng.choice(gaps) for p in parts)))
+    rows += [(100, None), (101, ""), (102, "é" * 5_000_000 + " " + items[0][1]), (3, rows[3][1]), (None, rows[4][1])]
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = set()
+    for _, t in items:
+        ws = pattern.findall(brute.lower(t))
+        windows |= {tuple(ws[k:k + 13]) for k in range(max(len(ws) - 13, 0) + 1)}
+    want = []
+    for d, t in rows:
+        found = list(pattern.finditer(brute.lower(t or "")))
+        hit = [False] * len(found)
+        for n in {len(w) for w in windows}:
+            for k in range(len(found) - n + 1):
+                if tuple(m[0] for m in found[k:k + n]) in windows:
+                    hit[k:k + n] = [True] * n
+        k = 0
+        while k < len(found):
+            if hit[k]:
+                first = k
+                while k + 1 < len(found) and hit[k + 1]:
+                    k += 1
+                a, b = found[first].start(), found[k].end()
+                want.append((d, a, b, t[a:b]))
+            k += 1
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("s", F.lit("x")).withColumn("row_key", F.lit(0))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    order = lambda r: tuple((x is None, str(x)) for x in r)
+    assert rows_of(decontaminate.spans(docs, bench)) == sorted(want, key=order)
+
+
+def test_long_items_in_the_sql(spark, rows_of):
+    """An item of any length takes part in the oracle."""
+    long_item = " ".join(f"w{i}" for i in range(11_000))
+    rows, items = [(1, "x " + " ".join(f"w{i}" for i in range(10_500, 10_520))), (2, "none")], [("a", long_item)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    got = decontaminate.report(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id string, text string"))
+    assert rows_of(got) == sorted(con.execute(decontaminate.SQL).fetchall(), key=str)
+
+
+def test_drops_keep_clashing_columns(spark):
+    """Columns with the names the steps use inside stay as they are; repeated rows leave one."""
+    from loomlex.llm import exact_dedup
+    rows = [(1, "a b"), (1, "a b"), (2, "ab "), (3, "c"), (None, None), (None, None), (4, "bench mark item")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("key", "row", "row_key", "_lx_key", "n", "kept", "spans"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = exact_dedup.drop_exact_copies(docs)
+    assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} == {tuple(docs.columns[2:])}
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, ""), (1, "a b"), (3, "c"), (4, "bench mark item")]
+    bench = spark.createDataFrame([("i", "bench mark item")], "item_id string, text string")
+    left = decontaminate.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 1, 2, 3]
 
 
 def test_automaton_blocks(spark, rows_of):
@@ -370,11 +442,15 @@ def test_pattern_scores(spark):
 
 def test_rows_whose_64_bit_hash_collides_stay_apart(spark, monkeypatch):
     """Row keys are 128-bit digests: nothing depends on xxhash64 telling rows apart."""
-    for module in (pii,):
-        monkeypatch.setattr(module.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    from loomlex.llm import exact_dedup
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(7).cast("long"))
     rows = [(1, "a@b.cc is here"), (2, "and there 1.2.3.4"), (3, "none")]
     got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: "email:0:6", 2: "ip:10:17", 3: ""}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert exact_dedup.drop_exact_copies(docs).count() == 3
+    bench = spark.createDataFrame([("i", "there")], "item_id string, text string")
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {1, 3}
 
 
 def test_native_plans(spark, capsys):
