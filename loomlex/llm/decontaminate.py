@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlex.llm.arrays import LOWER, text_chunks
+from loomlex.llm.arrays import LOWER, giving_back, text_chunks
 from loomlex.llm.common import anti_join_keys, doc_key, spread, stage
 
 WINDOW = 13
@@ -186,7 +186,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     while items is not None:
         following = next(slices, None)
         blocks = spark.sparkContext.broadcast(window_blocks(items, window, max_windows))
-        out = out.mapInArrow(scan(blocks, following is None), schema + (ends if following is None else more))
+        out = out.mapInArrow(giving_back(scan(blocks, following is None)), schema + (ends if following is None else more))
         if following is not None:
             out = stage(out, "benchmark-slice")
             blocks.unpersist()

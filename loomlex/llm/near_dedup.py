@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlex.llm.arrays import LOWER, gram_hashes, mix, text_chunks, word_hashes, words
+from loomlex.llm.arrays import LOWER, giving_back, gram_hashes, mix, text_chunks, word_hashes, words
 from loomlex.llm.common import partitions, spread, stage
 
 ROWS, BANDS = 5, 32
@@ -183,7 +183,7 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = THRESHOL
     source = spread(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stage(source.mapInArrow(
-        _sketches(shingle_words), f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>"),
+        giving_back(_sketches(shingle_words)), f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>"),
         "near-sketches")
     same = ["set_a", "set_b", "n_shingles"]
     known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -197,7 +197,7 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = THRESHOL
     buckets = stage(met.select("key", "rep", "n").join(weight, "rep"), "near-buckets")
     nodes = stage(buckets.select("rep").distinct(), "near-nodes")
     text = source.withColumnRenamed("doc_id", "rep").join(nodes, "rep", "left_semi")
-    sets = stage(text.mapInArrow(_sets(shingle_words), f"rep {kind}, shingles binary"), "near-sets")
+    sets = stage(text.mapInArrow(giving_back(_sets(shingle_words)), f"rep {kind}, shingles binary"), "near-sets")
 
     labels = nodes.select("rep", F.col("rep").alias("label"))
     checked = used = None

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlex.llm.arrays import joined_bytes, mix, text_chunks
+from loomlex.llm.arrays import giving_back, joined_bytes, mix, text_chunks
 from loomlex.llm.common import keyed_docs, spread, stage
 
 SEQUENCE, CLOSING_ID = 2048, 1
@@ -246,7 +246,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE,
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = spread(keyed_docs(docs))
-    rows = stage(source.mapInArrow(_tokenise(tokenizer or default_tokenizer()),
+    rows = stage(source.mapInArrow(giving_back(_tokenise(tokenizer or default_tokenizer())),
                                    f"row_key long, doc_id {kind}, ids binary, n_ids long, mark long"), "pack-ids")
     counts = rows.select("ids", "n_ids").mapInArrow(_frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     n_docs, n_ids = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
@@ -258,6 +258,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE,
     shards = int(n_ids // shard_tokens) + 1
     return (rows.repartitionByRange(max(shards, spark.sparkContext.defaultParallelism), "mark", "row_key")
             .sortWithinPartitions("mark", "row_key").select("doc_id", "ids")
-            .mapInArrow(_pack(handle, length),
+            .mapInArrow(giving_back(_pack(handle, length)),
                         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
                         "sequence_id long, offset long"))
