@@ -4,21 +4,26 @@
 2. Document frequencies of all token ids are counted over all documents (at most
    one row per id of the vocabulary, so the table that is sent out is bounded).
 3. Documents are ranged into shards of about ``shard_tokens`` by a one-value
-   MinHash of their token pairs, so that similar documents meet, and by key, so
-   that a large group of copies is cut into several shards.
+   MinHash of their token pairs, so that similar documents meet, then by key and
+   row number, so that a large group of copies or of repeated rows is cut into
+   several shards.  The number of shards follows from the tokens alone.
 4. Each shard builds a BM25 inverted index.  The next unused document seeds a
    window; the index returns its best unused neighbours, which fill the window
    greedily: whole documents first, then the best one is cut to the exact room,
-   and its rest seeds the next window.
+   and its rest seeds the next window.  The index is asked for further neighbours
+   of the same seed, first by its heaviest terms and then by all of them, until
+   the window is full or nothing unused shares a term with it.
 5. What is left of a shard's last window is split into sequences whose lengths
    are powers of two, which need no padding.
 
 Defined cases: null or empty text is the closing id alone; rows that repeat are
-packed each; an empty table gives no rows; other columns are ignored.
+packed each; an empty table gives no rows; other columns are ignored; a tokenizer
+whose ids do not fit 16 bits raises ValueError before any text is read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlex.llm.arrays import giving_back, joined_bytes, mix, text_chunks
-from loomlex.llm.common import keyed_docs, spread, stage
+from loomlex.llm.common import row_key, spread, stage
 
 SEQUENCE, CLOSING_ID = 2048, 1
 K1, B = 1.2, 0.75
@@ -40,6 +45,13 @@ CACHE_WORDS = 400_000
 # plain blanks alone, the tokenizer's normaliser and splitter are this pattern.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\s0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
+# The settings of a tokenizer file that ``_PIECES`` stands for.
+_NORMALISER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 class Encoder:
@@ -47,13 +59,16 @@ class Encoder:
 
     Pieces (words, digits, sign runs) are encoded one by one by the tokenizer's
     model and remembered, up to a bounded number; any text outside Latin-1 goes
-    through the whole tokenizer.
+    through the whole tokenizer, as does every text if the tokenizer's normaliser
+    and splitter are others than ``_PIECES`` stands for.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_pieces = (parts["normalizer"], parts["pre_tokenizer"]) == (_NORMALISER, _SPLITTER)
         self.model = self.tokenizer.model
         self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.known: dict[str, bytes] = {}
@@ -66,7 +81,7 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text) is None:
+        if not self.by_pieces or _PLAIN.fullmatch(text) is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         known, piece = self.known.get, self.piece
         return b"".join([known(w) or piece(w) for w in _PIECES.findall(text.lower())])
@@ -86,6 +101,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def checked_tokenizer(path: str) -> str:
+    """``path`` if all its ids fit the 16 bits that ``ids`` gives each."""
+    from tokenizers import Tokenizer
+    largest = max(Tokenizer.from_file(path).get_vocab().values(), default=0)
+    if largest >= 1 << 16:
+        raise ValueError(f"{path}: largest id {largest}, at most 65535 fit")
+    return path
+
+
 def _tokenise(path: str):
     closing = np.array([CLOSING_ID], "<u2").tobytes()
 
@@ -103,9 +127,9 @@ def _tokenise(path: str):
                     pairs = mix((t[:-1] << np.uint64(16) | t[1:]) + np.uint64(1)) if len(t) > 1 else t
                     marks.append(int(pairs.min() >> np.uint64(1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["row_key"][lo:hi], batch["doc_id"][lo:hi], pa.array(ids, pa.binary()),
+                    [batch["row"][lo:hi], batch["row_key"][lo:hi], batch["doc_id"][lo:hi], pa.array(ids, pa.binary()),
                      pa.array(sizes, pa.int64()), pa.array(marks, pa.int64())],
-                    names=["row_key", "doc_id", "ids", "n_ids", "mark"])
+                    names=["row", "row_key", "doc_id", "ids", "n_ids", "mark"])
     return run
 
 
@@ -140,26 +164,48 @@ class Shard:
         self.posting_first = np.searchsorted(term[order], np.arange((1 << 16) + 1))
         self.n = len(docs)
 
-    def neighbours(self, seed: int, unused: np.ndarray, query_terms: int, top: int) -> np.ndarray:
-        """Unused documents by falling score against the seed's heaviest terms."""
+    def scores(self, seed: int, query_terms: int | None = None) -> np.ndarray:
+        """Every document's score against the seed's heaviest terms (None: all terms)."""
         lo, hi = self.first[seed], self.first[seed + 1]
         terms = self.terms[lo:hi]
-        if hi - lo > query_terms:
+        if query_terms is not None and hi - lo > query_terms:
             terms = terms[np.argpartition(-self.weights[lo:hi], query_terms)[:query_terms]]
         score = np.zeros(self.n)
         for t in terms:
             a, b = self.posting_first[t], self.posting_first[t + 1]
             score[self.posting_doc[a:b]] += self.posting_weight[a:b]
-        score[~unused] = 0
-        found = np.flatnonzero(score)
+        return score
+
+    def neighbours(self, seed: int, unused: np.ndarray, query_terms: int, top: int) -> np.ndarray:
+        """The best ``top`` unused documents by falling score against the seed's heaviest terms."""
+        return next(self.ranked(self.scores(seed, query_terms), unused, top), np.zeros(0, np.int64))
+
+    @staticmethod
+    def ranked(score: np.ndarray, unused: np.ndarray, top: int) -> Iterator[np.ndarray]:
+        """Unused documents that score, by falling score, at most ``top`` at a time."""
+        found = np.flatnonzero(unused & (score > 0))
         if len(found) > top:
-            found = found[np.argpartition(-score[found], top)[:top]]
-        return found[np.lexsort((found, -score[found]))]
+            best = np.argpartition(-score[found], top)
+            head, found = found[best[:top]], found[best[top:]]
+            yield head[np.lexsort((head, -score[head]))]
+        order = found[np.lexsort((found, -score[found]))]
+        for lo in range(0, len(order), top):
+            yield order[lo:lo + top]
+
+    def rounds(self, seed: int, unused: np.ndarray, query_terms: int, top: int) -> Iterator[np.ndarray]:
+        """All unused documents that share a term with the seed, in answers of at most
+        ``top``: those that its heaviest terms find, then those that only the rest finds."""
+        yield from self.ranked(self.scores(seed, query_terms), unused, top)
+        if self.first[seed + 1] - self.first[seed] > query_terms:
+            yield from self.ranked(self.scores(seed), unused, top)
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, length: int = SEQUENCE,
                query_terms: int = 16, top: int = 48):
-    """Yield (document, start, length, sequence, offset) pieces covering every id once."""
+    """Yield (document, start, length, sequence, offset) pieces covering every id once.
+
+    ``query_terms`` and ``top`` set how much the index answers at a time; a seed is
+    asked for again until its window is full or it has no unused neighbour left."""
     index = Shard(docs, idf, mean_length)
     size = [len(d) for d in docs]
     unused = np.ones(len(docs), dtype=bool)
@@ -188,19 +234,21 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, leng
             unused[seed] = False
             put(seed, 0)
         if at < length:
-            near = index.neighbours(seed, unused, query_terms, top)
-            left = []
-            for d in near:
-                if size[d] <= length - at:
-                    unused[d] = False
-                    put(int(d), 0)
-                else:
-                    left.append(int(d))
+            for near in index.rounds(seed, unused, query_terms, top):
+                left = []
+                for d in near:
+                    if size[d] <= length - at:
+                        unused[d] = False
+                        put(int(d), 0)
+                    else:
+                        left.append(int(d))
+                    if at == length:
+                        break
+                if at < length and left:  # longer than the room: fills it
+                    unused[left[0]] = False
+                    put(left[0], 0)
                 if at == length:
                     break
-            if at < length and left:
-                unused[left[0]] = False
-                put(left[0], 0)
         if at == length:
             sequence, at = sequence + 1, 0
     # the last, unfinished window: cut into power-of-two sequences
@@ -245,9 +293,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE,
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = spread(keyed_docs(docs))
-    rows = stage(source.mapInArrow(giving_back(_tokenise(tokenizer or default_tokenizer())),
-                                   f"row_key long, doc_id {kind}, ids binary, n_ids long, mark long"), "pack-ids")
+    path = checked_tokenizer(tokenizer or default_tokenizer())
+    source = spread(docs.select(F.monotonically_increasing_id().alias("row"), row_key().alias("row_key"), "doc_id",
+                                F.coalesce("text", F.lit("")).alias("text")))
+    rows = stage(source.mapInArrow(giving_back(_tokenise(path)), f"row long, row_key long, doc_id {kind}, ids binary, "
+                                   "n_ids long, mark long"), "pack-ids")
     counts = rows.select("ids", "n_ids").mapInArrow(_frequencies, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     n_docs, n_ids = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
     df = np.zeros(1 << 16)
@@ -256,8 +306,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE,
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     handle = spark.sparkContext.broadcast((idf, max(n_ids / max(n_docs, 1), 1.0)))
     shards = int(n_ids // shard_tokens) + 1
-    return (rows.repartitionByRange(max(shards, spark.sparkContext.defaultParallelism), "mark", "row_key")
-            .sortWithinPartitions("mark", "row_key").select("doc_id", "ids")
+    return (rows.repartitionByRange(shards, "mark", "row_key", "row")
+            .sortWithinPartitions("mark", "row_key", "row").select("doc_id", "ids")
             .mapInArrow(giving_back(_pack(handle, length)),
                         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, "
                         "sequence_id long, offset long"))

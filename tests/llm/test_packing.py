@@ -101,3 +101,47 @@ def test_shard_ranking_equals_brute_force():
             score[d] += idf[t] * tf * (packing.K1 + 1) / (tf + norm) * (own > 0)
     want = sorted((d for d in range(1, 50) if score[d] > 0), key=lambda d: (-score[d], d))
     assert np.allclose(score[got], score[want])
+
+
+def test_seed_is_asked_until_the_window_is_full():
+    """More than 48 short neighbours, half of them only by terms that are not among the
+    seed's heaviest: all come before the documents of another subject."""
+    common, rare = list(range(100, 116)), list(range(200, 230))
+    docs = [np.array(common * 2 + rare)]
+    docs += [np.array([900 + i, 901 + i]) for i in range(40)]
+    docs += [np.array([common[i % 16], 3]) for i in range(70)] + [np.array([rare[i % 30], 3]) for i in range(70)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+    pieces = list(packing.pack_shard(docs, idf, 2.2, length=256))
+    first = {p[0] for p in pieces if p[3] == 0}
+    assert len([p for p in pieces if p[3] == 0]) > 97 and not first & set(range(1, 41))
+
+
+def test_another_tokenizer(spark):
+    """A file with other splitting rules gives its own ids; ids beyond 16 bits are refused."""
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    rows = [(1, "Plain words, It's 1999 and  blanks\n"), (2, "é ü"), (3, None)]
+    check(packing.pack(spark.createDataFrame(rows, SCHEMA), tokenizer=path).collect(), rows, own)
+
+
+def test_large_vocabulary_is_refused(tmp_path):
+    from tokenizers import models
+    path = str(tmp_path / "large.json")
+    Tokenizer(models.WordLevel({f"w{i}": i for i in range((1 << 16) + 1)}, unk_token="w0")).save(path)
+    with pytest.raises(ValueError):
+        packing.checked_tokenizer(path)
+
+
+def test_shards_follow_the_tokens(spark, tokenizer):
+    """Repeated rows are cut into several shards, whose number does not depend on the cores."""
+    rows = [(1, "one row again " * 10)] * 400
+    packed = packing.pack(spark.createDataFrame(rows, SCHEMA), shard_tokens=2000)
+    pieces = packed.collect()
+    check(pieces, rows, tokenizer)
+    shards = {p.sequence_id >> 32 for p in pieces}
+    total = sum(p.length for p in pieces)
+    assert total // 2000 - 1 <= len(shards) <= total // 2000 + 1
+    assert max(sum(p.length for p in pieces if p.sequence_id >> 32 == s) for s in shards) < 4 * 2000
