@@ -86,6 +86,25 @@ def joined_bytes(column: pa.Array) -> bytes:
     return raw[int(offs[column.offset]):int(offs[column.offset + len(column)])].to_pybytes()
 
 
+KEY_BYTES = 16
+
+
+def key_values(column: pa.Array) -> np.ndarray:
+    """A binary column of row keys as numpy values that can be indexed and joined."""
+    return np.frombuffer(joined_bytes(column), f"V{KEY_BYTES}")
+
+
+def key_column(values: np.ndarray) -> pa.Array:
+    """The reverse of ``key_values``."""
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * KEY_BYTES
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+
+
+def key_longs(values: np.ndarray) -> np.ndarray:
+    """The first 64 bits of row keys, to deal rows by."""
+    return np.frombuffer(values.tobytes(), np.int64)[::KEY_BYTES // 8]
+
+
 def byte_class(chars: bytes) -> np.ndarray:
     """Boolean table over byte values."""
     table = np.zeros(256, dtype=bool)

@@ -21,16 +21,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def keyed_docs(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, text): text null counts as empty; ``row_key`` stands for
-    (doc_id, text), so rows that repeat both share a key and a result, and rows
-    that only share a doc_id do not."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.xxhash64(F.col("doc_id"), text).alias("row_key"), F.col("doc_id"),
-                       text.alias("text"))
+    """(row_key, doc_id, text): text null counts as empty; ``row_key`` is ``doc_key``,
+    so rows that repeat doc_id and text share a key and a result, and rows that only
+    share a doc_id do not."""
+    return docs.select(doc_key().alias("row_key"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def row_key() -> Column:
-    """The key of ``keyed_docs`` on a table of documents."""
+def order_key() -> Column:
+    """64 bits of (doc_id, text) that put rows into an order; nothing is known by them."""
     return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlex.llm.arrays import giving_back, joined_bytes, mix, text_chunks
-from loomlex.llm.common import row_key, spread, stage
+from loomlex.llm.common import order_key, spread, stage
 
 SEQUENCE, CLOSING_ID = 2048, 1
 K1, B = 1.2, 0.75
@@ -294,7 +294,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = SEQUENCE,
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     path = checked_tokenizer(tokenizer or default_tokenizer())
-    source = spread(docs.select(F.monotonically_increasing_id().alias("row"), row_key().alias("row_key"), "doc_id",
+    source = spread(docs.select(F.monotonically_increasing_id().alias("row"), order_key().alias("row_key"), "doc_id",
                                 F.coalesce("text", F.lit("")).alias("text")))
     rows = stage(source.mapInArrow(giving_back(_tokenise(path)), f"row long, row_key long, doc_id {kind}, ids binary, "
                                    "n_ids long, mark long"), "pack-ids")

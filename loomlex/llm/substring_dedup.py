@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlex.llm.arrays import (
-    gram_hashes, joined_bytes, merge_spans, minimiser, mix, text_chunks, window_starts, word_hashes, words)
+    gram_hashes, joined_bytes, key_column, key_longs, key_values, merge_spans, minimiser, mix, text_chunks, window_starts,
+    word_hashes, words)
 from loomlex.llm.common import keyed_docs, partitions, spread
 
 WINDOW, GRAM = 35, 12
@@ -180,7 +181,7 @@ def _candidates(handle, window: int, gram: int, log2_cells: int, hot: np.ndarray
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch["row_key"].to_numpy()
+            keys = key_values(batch["row_key"])
             for lo, hi, offs, data in text_chunks(batch["text"], 4 << 20):
                 first, h, at, place, grams = windows_of(data, offs, window, gram)
                 if not len(at):
@@ -213,8 +214,8 @@ def _candidates(handle, window: int, gram: int, log2_cells: int, hot: np.ndarray
                 blank = [b""] * len(marks)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate([np.where(stand[rows], 2, 0), np.ones(len(marks), np.int64)]).astype(np.int32)),
-                    pa.array(np.concatenate([anchor[rows], keys[lo + doc[marks]]])),
-                    pa.array(np.concatenate([keys[lo + doc[rows]], keys[lo + doc[marks]]])),
+                    pa.array(np.concatenate([anchor[rows], key_longs(keys[lo + doc[marks]])])),
+                    key_column(keys[lo + np.concatenate([doc[rows], doc[marks]])]),
                     pa.array(np.concatenate([start[rows], start[marks]])),
                     pa.array(np.concatenate([n[rows], covered])),
                     pa.array(hashes + blank, pa.binary())],
@@ -262,13 +263,14 @@ def _exact(window: int):
             out.append((doc[run[head]], start[run[head]] + offset[head],
                         start[run[end]] + offset[end] + window))
         d, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e)], names=["row_key", "start", "end"])
+        return pa.RecordBatch.from_arrays([key_column(d), pa.array(s), pa.array(e)], names=["row_key", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             key = batch["key"].to_numpy()
-            cols = [batch[c].to_numpy() for c in ("kind", "key", "row_key", "start", "n")]
+            cols = [batch[c].to_numpy() for c in ("kind", "key", "start", "n")]
+            cols.insert(2, key_values(batch["row_key"]))
             n = cols[4]
             wins = np.frombuffer(joined_bytes(batch["hashes"]), np.uint64)
             held.append([*cols, wins])
@@ -312,7 +314,7 @@ def candidates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log2_cel
     def find(split):
         return _candidates(maps, window, gram, log2_cells, split)
     split = hot_keys(docs, find(np.zeros(0, np.uint64)), lambda n: n, hot)
-    return docs.mapInArrow(find(split), "kind int, key long, row_key long, start long, n long, hashes binary")
+    return docs.mapInArrow(find(split), "kind int, key long, row_key binary, start long, n long, hashes binary")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log2_cells: int = 27,
@@ -323,7 +325,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, log2
     """
     rows = candidates(docs, window, gram, log2_cells, hot)
     return (rows.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-            .mapInArrow(_exact(window), "row_key long, start long, end long"))
+            .mapInArrow(_exact(window), "row_key binary, start long, end long"))
 
 
 def report(docs: DataFrame) -> DataFrame:

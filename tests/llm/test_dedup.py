@@ -115,6 +115,18 @@ def test_hot_anchors_are_split(spark, docs, rows_of, module):
     assert largest(1 << 30) > 100 >= largest(100)
 
 
+def test_rows_are_known_by_128_bits(spark, monkeypatch):
+    """Two rows whose 64-bit hashes agree keep spans of their own."""
+    from loomlex.llm import common
+    monkeypatch.setattr(common.F, "xxhash64", lambda *columns: F.lit(7).cast("long"))
+    rng = random.Random(8)
+    shared, other = words(rng, 60, 9999), words(rng, 60, 9999)
+    rows = [(1, shared), (2, f"{words(rng, 70, 9999)} {shared}"), (3, f"{other} {words(rng, 90, 9999)}"), (4, other)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, substring_dedup.report(table).collect())) == sorted(brute.substrings(rows))
+    assert sorted(map(tuple, suffix_dedup.report(table).collect())) == sorted(brute.suffixes(rows))
+
+
 def test_small_blocks_sort_the_same(docs, rows, rows_of, monkeypatch):
     """Suffix buckets one at a time."""
     got = []
