@@ -263,5 +263,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> Da
     """``docs`` without the rows scored below the threshold; all columns stay."""
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     score = score_column(docs.sparkSession, *fit(spread(source), labels, max_train))
-    return (docs.withColumn("_lx_score", score(F.coalesce("text", F.lit(""))))
-            .where(F.col("_lx_score") >= THRESHOLD).drop("_lx_score"))
+    return docs.where(score(F.coalesce("text", F.lit(""))) >= THRESHOLD)

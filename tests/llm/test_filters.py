@@ -58,6 +58,7 @@ def test_only_the_text_counts(spark):
 
 def test_keep_good_keeps_columns(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.withColumn("_lx_score", F.lit("x")).withColumn("score", F.lit(0))
     out = quality.keep_good(docs, labels)
     assert out.columns == docs.columns and 500 < out.count() < 1000
 
