@@ -298,10 +298,11 @@ def k7(spark, sf):
 # ------------------------------------------------------------ line documents out of files
 
 def _language_files(spark, sf) -> str:
-    """``documents`` without their non-ASCII letters as one text file per language, in id order."""
+    """``documents`` without their non-ASCII letters as one folder of text files per language,
+    in id order over its files."""
     path = _folder(spark, "language-files")
     d = read_table(spark, sf, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
-    d.select("doc_id", "lang", X.ascii_only("text").alias("text")).repartition("lang").sortWithinPartitions("lang", "doc_id") \
+    d.select("doc_id", "lang", X.ascii_only("text").alias("text")).repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id") \
         .select("lang", "text").write.partitionBy("lang").text(path)
     return path
 
@@ -313,13 +314,13 @@ u AS (SELECT doc_id, lang, unnest(parts) AS line, generate_subscripts(parts, 1)
 l AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) - 1 AS line_no, line FROM u)"""
 
 def _lang_of():
-    return F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")
+    return F.regexp_extract("path", "lang=([^/]*?)(\\.txt)?$", 1).alias("lang")
 
 
 @query("s5_numbered_lines", f"WITH {_LANGUAGE_LINES} SELECT lang, line_no, line FROM l")
 def s5_numbered(spark, sf):
     """The lines of files with their numbers."""
-    return FS.read_line_docs(spark, _language_files(spark, sf)).select(_lang_of(), "line_no", "line")
+    return FS.read_line_docs(spark, _language_files(spark, sf), parts=True).select(_lang_of(), "line_no", "line")
 
 
 @query("s9_folder_lines", f"""
@@ -328,7 +329,7 @@ SELECT lang, CAST(line_no AS INTEGER) AS line_no, {Q.remove_digits(Q.remove_punc
 """)
 def s9_folder(spark, sf):
     """The line corpus of a folder of text files."""
-    return FS.folder_line_corpus(spark, _language_files(spark, sf)).select(_lang_of(), "line_no", "line")
+    return FS.folder_line_corpus(spark, _language_files(spark, sf), parts=True).select(_lang_of(), "line_no", "line")
 
 
 # ------------------------------------------------------------ catalog jobs

@@ -98,3 +98,28 @@ def test_folder_line_corpus(spark, tmp_path):
     got = sorted(tuple(r) for r in FS.folder_line_corpus(spark, str(tmp_path)).collect())
     want = sorted(tuple(r) for r in FS.line_corpus(FS.scan_files(spark, str(tmp_path))).collect())
     assert got == want and len({r[0] for r in got}) == 3
+
+
+def test_text_files_are_never_read_whole(spark, tmp_path):
+    """A text file longer than the whole-file scan allows; only the page is read by that scan."""
+    (tmp_path / "a.txt").write_bytes(b"ab 1\n" * 100)
+    (tmp_path / "p.html").write_bytes(b"<p>Hi</p>")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "50")
+    try:
+        assert FS.folder_line_corpus(spark, str(tmp_path)).count() == 101
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_numbers_run_on_over_the_files_of_a_folder(spark, tmp_path):
+    rows = [(lang, i, f"{lang}{i}\n{i}") for lang in "xy" for i in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, doc_id bigint, text string")
+    docs.repartitionByRange(7, "lang", "doc_id").sortWithinPartitions("lang", "doc_id").select("lang", "text") \
+        .write.partitionBy("lang").text(str(tmp_path / "f"))
+    assert len(list((tmp_path / "f").glob("lang=*/*.txt"))) > 2
+    want = sorted((lang, 2 * i + j, f"{lang}{i}" if j == 0 else str(i)) for lang, i, _ in rows for j in (0, 1))
+    got = FS.read_line_docs(spark, str(tmp_path / "f"), parts=True).collect()
+    assert sorted((r.path[-1], r.line_no, r.line) for r in got) == want
+    whole = FS.folder_line_corpus(spark, str(tmp_path / "f"), parts=True).collect()
+    assert {r.path[-6:] for r in whole} == {"=x.txt", "=y.txt"}
+    assert sorted((r.path[-5], r.line_no, r.line) for r in whole) == sorted((p, n, line.strip("0123456789")) for p, n, line in want)
