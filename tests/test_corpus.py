@@ -63,3 +63,18 @@ def test_trim_rare(spark):
                                "doc_id int, term string")
     got = sorted(tuple(r) for r in TK.trim_rare(df, "doc_id", 2, ["the"]).collect())
     assert got == [(1, "x"), (1, "x"), (2, "y"), (2, "y")]
+
+
+def test_counts_are_taken_where_texts_are_read(spark):
+    """Counts of the cleaned tokens without a shuffle of token rows; an id that comes twice, or
+    is null, has one count per term."""
+    texts = ["Ab,ab\x1fCAFÉ caf1\x0b9 x", "", "ab ab ab", None, "don't Don T", "ab\x00 \x7fab\r\nİi"]
+    rows = [(i // 2 if i < 4 else None, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = TK.term_counts(TK.explode_tokens(TK.doc_tokens(docs)).select("doc_id", "term"))
+    for d in (docs, docs.where("doc_id = 0").limit(1)):
+        got = [tuple(r) for r in TK.doc_term_counts(d).collect()]
+        ids = {r.doc_id for r in d.collect()}
+        assert sorted(got, key=str) == sorted((tuple(r) for r in TK.term_counts(
+            TK.explode_tokens(TK.doc_tokens(d)).select("doc_id", "term")).collect()), key=str) and {g[0] for g in got} <= ids
+    assert len([tuple(r) for r in want.collect()]) == TK.doc_term_counts(docs).count()
