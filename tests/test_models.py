@@ -280,3 +280,35 @@ def test_sampling_of_nothing(spark):
     none = spark.createDataFrame([(None, 1, 2), (1, None, 1), (1, 1, 0)], "doc_id bigint, token_id int, tf bigint")
     model = SP.sample_topics(none, k=2, iterations=3)
     assert model.assigned.count() == 0 and model.counts.count() == 0
+
+
+def test_short_documents_are_swept_together():
+    """A sweep's steps are those of the longest document of a chunk: 60,000 occurrences are one
+    chunk, and what a document gets does not depend on its chunk."""
+    import pyarrow as pa
+
+    from loomlex.plans import sampling as SP
+    n, k, calls = 60_000, 3, []
+    rng = np.random.default_rng(4)
+    doc = np.sort(rng.integers(0, 900, n))
+    columns = {"doc_id": doc, "mark": doc * 31, "place": np.arange(n), "token_id": rng.integers(0, 50, n),
+               "topic": rng.integers(0, k, n).astype(np.int32)} | {f"c{j}": rng.integers(1, 99, n) for j in range(k)}
+    batches = pa.Table.from_pydict(columns).to_batches(max_chunksize=5000)
+    whole, SP_sweep = SP.sweep_documents, SP.SWEEP_ROWS
+
+    def counted(*args):
+        calls.append(len(args[0]))
+        return whole(*args)
+
+    def run():
+        calls.clear()
+        out = SP._sweep_batches(k, np.full(k, 1e5), range(3), 2.0, 0.1, 50, 8)(iter(batches))
+        return np.concatenate([b["topic"].to_numpy() for b in out])
+    try:
+        SP.sweep_documents = counted
+        together = run()
+        assert calls == [n]
+        SP.SWEEP_ROWS = 7_000
+        assert (run() == together).all() and len(calls) > 5
+    finally:
+        SP.sweep_documents, SP.SWEEP_ROWS = whole, SP_sweep
