@@ -155,6 +155,28 @@ def test_topics_beyond_the_broadcast_bound(spark, counts, monkeypatch):
     assert np.allclose(a.bounds, b.bounds, rtol=1e-10)
 
 
+def test_a_pass_sends_a_block_each_term_once(spark, monkeypatch):
+    """Documents share their terms: what a pass sends grows with the terms, not with the entries."""
+    from loomlex.plans import blocks as B
+    sent = []
+
+    def step(number, block, rows, state):
+        import pyarrow as pa
+        return pa.RecordBatch.from_pydict({"block": [number], "docs": [len(block.first)], "rows": [len(rows)], "entries": [len(block.local)],
+                                           "sum": [float((rows[block.local, 0] * block.weight).sum())]})
+
+    monkeypatch.setattr(B, "BLOCK_ROWS", 500)
+    df = spark.createDataFrame([(f"d{d}" if d else None, t, 1.0 + t) for d in range(100) for t in range(20)],
+                               "doc_id string, token_id long, weight double")
+    laid = B.lay_out(df, "test")
+    assert laid.count == 4 and laid.needs.agg(F.sum("n")).first()[0] == 2000
+    rows = spark.createDataFrame([(t, float(t)) for t in range(25)], "token_id long, e0 double")
+    for r in B.pass_over(laid, rows, ["e0"], step, "block long, docs long, rows long, entries long, sum double").collect():
+        sent.append(r)
+        assert r.rows == 20 and r.entries == 20 * r.docs and r.sum == r.docs * sum(t * (1 + t) for t in range(20))
+    assert sum(r.docs for r in sent) == 100 and sum(r.rows for r in sent) == 20 * len(sent)
+
+
 def test_doc_topics_of_blocks(spark, counts):
     model = VB.fit_blocks(entries(spark, counts), k=3, passes=4, seed=5)
     docs = spark.range(82).withColumnRenamed("id", "doc_id")
