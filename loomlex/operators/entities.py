@@ -11,6 +11,8 @@ token table.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -126,6 +128,42 @@ def offset_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _doc_texts(docs, id_col, text_col).mapInArrow(_token_batches, TOKEN_SCHEMA)
 
 
+# Patterns that Java and RE2 read alike on ASCII tokens: no escapes, options, possessive
+# repetitions or classes inside classes.
+_ALIKE = re.compile(r"(?!.*(\(\?|[*+?}]\+|\[[^\]]*\[))[A-Za-z0-9^$|()\[\]{},?*+-]*")
+
+
+def _enabled_pattern(types, rules: list[tuple[str, str]]) -> str | None:
+    """One pattern that every mention of an enabled type matches; None if the tasks cannot tell."""
+    if isinstance(types, DataFrame) or "" in types:
+        return None
+    patterns = [p for t, p in rules if t in types or t.lower() in types]
+    return "|".join(f"({p})" for p in patterns) if patterns and all(_ALIKE.fullmatch(p) for p in patterns) else None
+
+
+def _maybe_batches(pattern: str):
+    """Tokens that may be a mention: each distinct token is looked at once per part, those that
+    are not ASCII stay."""
+    def run(batches):
+        for lo, hi, batch, offs, data in _parts(batches):
+            cols, _ = _token_part(batch["doc_id"][lo:hi], offs, data)
+            token = cols["token"].dictionary_encode()
+            maybe = pc.or_(pc.match_substring_regex(token.dictionary, pattern), pc.invert(pc.string_is_ascii(token.dictionary)))
+            yield pa.RecordBatch.from_pydict(cols).filter(maybe.take(token.indices))
+    return run
+
+
+def candidate_tokens(docs: DataFrame, types, rules: list[tuple[str, str]] = ENTITY_RULES, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """``offset_tokens`` without those that no rule of an enabled type can match, which never
+    leave the task that reads the text.  ``tag_entities`` decides on the rest; rules that
+    cannot be told here, or a table of types, give all tokens."""
+    pattern = _enabled_pattern(types, rules)
+    if pattern is None:
+        return offset_tokens(docs, id_col, text_col)
+    return _doc_texts(docs, id_col, text_col).mapInArrow(_maybe_batches(pattern), TOKEN_SCHEMA)
+
+
 # ------------------------------------------------------------ names (gazetteer)
 
 NAME_SCHEMA = "name_type string, name_n int, name string, name_end int, in_name boolean"
@@ -400,7 +438,7 @@ def mentions(docs: DataFrame, types: list[str] | DataFrame = DEFAULT_ENABLED_TYP
     elif gazetteer is not None:
         tagged = tag_entities(named_tokens(docs, gazetteer, id_col, text_col), rules)
     else:
-        tagged = tag_entities(offset_tokens(docs, id_col, text_col), rules)
+        tagged = tag_entities(candidate_tokens(docs, types, rules, id_col, text_col), rules)
     m = keep_mentions(drop_last(tagged), types)
     return m.select("doc_id", "pos", "token", "ent_type", "char_start", "span_end")
 

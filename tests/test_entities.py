@@ -110,3 +110,48 @@ def test_offsets_equal_a_regex_scan(spark):
                 j += 1
             want[i] = (m[0], m.start(), m.end(), bool(re.fullmatch(EN.PUNCT_CLASS, m[0])), ms[j].end(), len(ms))
         assert got.get(d, {}) == want
+
+
+def test_candidates_hold_all_mentions(spark):
+    """Tokens that no enabled rule matches stay in the task; the mentions are those of all tokens."""
+    text = "Anna met IBM in Paris, in 1999. anna \u00c9mile Zo\u00e9 NATO\u2028 x End"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "no names here")], "doc_id bigint, text string")
+    java = [("ORG", r"^\p{Lu}{2,}$"), ("PERSON", "^[A-Z&&[^B]][a-z]+$")]
+    for types, rules in ((["person", "org"], EN.ENTITY_RULES), (["date"], EN.ENTITY_RULES), (["", "person"], EN.ENTITY_RULES),
+                         (["person", "org"], java), (["none"], EN.ENTITY_RULES)):
+        got = EN.mentions(docs, types, rules)
+        want = EN.keep_mentions(EN.drop_last(EN.tag_entities(EN.offset_tokens(docs), rules)), types).select(*got.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    kept = EN.candidate_tokens(docs, ["person", "org"])
+    assert kept.count() < EN.offset_tokens(docs).count()
+    assert [r.token for r in kept.where("doc_id = 4").collect()] == []
+
+
+def test_mentions_are_read_from_a_table(spark):
+    """The report's parts and the two writes of K5 do not tokenise the texts again."""
+    docs = spark.createDataFrame([(1, "a", "Anna met IBM there."), (2, "b", "Bob saw Anna twice.")], "doc_id bigint, source string, text string")
+    rep = entity_job(docs, image_col="source")
+    for part in ("mentions", "spans", "type_counts", "histogram", "points"):
+        assert "MapInArrow" not in rep[part]._jdf.queryExecution().executedPlan().toString(), part
+    assert {(r.ent_type, r.surface, r.n) for r in rep["histogram"].collect()} >= {("person", "Anna", 2), ("org", "IBM", 1)}
+
+
+def test_written_records_and_batches_are_staged(spark, monkeypatch):
+    """K5's records and the counts of the batched dictionary are built once, then read."""
+    import __spark_entry__ as E
+    from loomlex.operators import growing as GD
+    from loomlex.sinks import writers as W
+    plans = []
+
+    def spy(fn):
+        def run(*args, **kwargs):
+            frame = next(a for a in reversed(args) if hasattr(a, "schema")) if fn is not W.write_spans else args[0]
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+            return fn(*args, **kwargs)
+        return run
+
+    for module, name in ((W, "write_spans"), (GD, "start"), (GD, "add_batch")):
+        monkeypatch.setattr(module, name, spy(getattr(module, name)))
+    for query in ("k5_span_documents", "w2_batched_dictionary"):
+        E.queries()[query](spark, "/root/testdata/sf0.001")
+    assert len(plans) >= 6 and not any("MapInArrow" in p or "Join" in p for p in plans)
