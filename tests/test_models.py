@@ -155,6 +155,15 @@ def test_topics_beyond_the_broadcast_bound(spark, counts, monkeypatch):
     assert np.allclose(a.bounds, b.bounds, rtol=1e-10)
 
 
+def test_solving_alike_equals_solving():
+    rng = np.random.default_rng(3)
+    doc = np.repeat([0, 2, 3, 4, 5, 9], [7, 1, 300, 40, 44, 2])
+    weight, terms = rng.integers(1, 5, len(doc)).astype(float), rng.random((len(doc), 4))
+    for steps, tolerance in ((200, 1e-6), (3, 1e-6), (200, 1e-2)):
+        assert np.allclose(VB.solve_alike(doc, 10, weight, terms, 0.3, tolerance, steps),
+                           VB.solve(doc, 10, weight, terms, 0.3, True, tolerance, steps), rtol=1e-9)
+
+
 def test_a_pass_sends_a_block_each_term_once(spark, monkeypatch):
     """Documents share their terms: what a pass sends grows with the terms, not with the entries."""
     from loomlex.plans import blocks as B
