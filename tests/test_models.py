@@ -186,6 +186,49 @@ def test_a_pass_sends_a_block_each_term_once(spark, monkeypatch):
     assert sum(r.docs for r in sent) == 100 and sum(r.rows for r in sent) == 20 * len(sent)
 
 
+def plain_em(a, share, alpha, eta, iterations):
+    """MLlib's EM on a dense table; ``share`` (docs, terms, k)."""
+    for _ in range(iterations):
+        n = a[:, :, None] * share
+        in_doc, in_term = n.sum(axis=1), n.sum(axis=0)
+        share = (in_term + eta - 1)[None] * (in_doc + alpha - 1)[:, None] / (in_term.sum(axis=0) + a.shape[1] * (eta - 1))
+        share = share / share.sum(axis=2, keepdims=True)
+    return (a[:, :, None] * share).sum(axis=0)
+
+
+@pytest.mark.parametrize("least", [10_000, 100])
+def test_em_equals_a_plain_loop(spark, counts, monkeypatch, least):
+    """One block or many, parts of a block, rows that repeat; and the same whatever the partitions."""
+    from loomlex.plans import expectation as EX
+    monkeypatch.setattr(EX, "EM_LEAST_ROWS", least)
+    monkeypatch.setattr(EX, "PART_ROWS", 70)
+    used = np.flatnonzero(counts.sum(0))
+    df = entries(spark, counts)
+    marks = {r.doc_id: r.m for r in df.select("doc_id", F.xxhash64("doc_id").alias("m")).distinct().collect()}
+    start = np.stack([EX.first_shares(np.full(len(used), marks.get(d, 0), np.int64), used, 3, 5) for d in range(len(counts))])
+    want = plain_em(counts[:, used].astype(float), start, 6.0, 1.1, 5)
+    odd = df.withColumn("tf", F.lit(1)).union(df.withColumn("tf", F.col("tf") - 1)).union(
+        spark.createDataFrame([(None, 1, 3), (1, None, 3), (1, 1, None), (1, 1, 0)], df.schema))
+    for rows in (df.repartition(1), odd.repartition(7)):
+        model = EX.fit_em(rows, 3, 5, seed=5, alpha=6.0)
+        got = np.array([[r.l0, r.l1, r.l2] for r in model.table.orderBy("token_id").collect()])
+        assert np.allclose(got, want, rtol=1e-9)
+    assert model.table.agg(F.sum("n")).first()[0] == (counts > 0).sum()
+    docs = spark.range(82).withColumnRenamed("id", "doc_id")
+    theta = model.doc_topics(df, "tf", docs).groupBy("doc_id").agg(F.sum("p").alias("s")).collect()
+    assert len(theta) == 82 and all(abs(r.s - 1) < 1e-9 for r in theta)
+
+
+def test_em_keeps_one_pass_of_files(spark, counts):
+    """What the passes stage goes when the next one has read it, and no vector of the vocabulary is made."""
+    from glob import glob
+
+    from loomlex.plans import expectation as EX
+    from loomlex.session import ensure_checkpoint_dir
+    EX.fit_em(entries(spark, counts), 3, 4, seed=5)
+    assert not glob(ensure_checkpoint_dir(spark).removeprefix("file:") + "/tables/em-sums-*")
+
+
 def test_doc_topics_of_blocks(spark, counts):
     model = VB.fit_blocks(entries(spark, counts), k=3, passes=4, seed=5)
     docs = spark.range(82).withColumnRenamed("id", "doc_id")
