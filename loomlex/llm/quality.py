@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlex.llm.arrays import byte_class, joined_bytes, text_chunks, word_hashes
+from loomlex.llm.arrays import byte_class, giving_back, joined_bytes, text_chunks, word_hashes
 from loomlex.llm.common import partitions, spread
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
+PART_BYTES = 1 << 18  # of text worked on together: its words' rows take some hundred times that
 BLOCK = 256  # word buckets in a block of the merged table
 HELD_OUT = 2  # remainder of crc32(doc_id) modulo 4 that is never trained on
 THRESHOLD = 0.7
@@ -71,7 +72,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(BUCKETS * DIMS)
     for batch in batches:
-        for _, _, offs, data in text_chunks(batch["text"], 1 << 20):
+        for _, _, offs, data in text_chunks(batch["text"], PART_BYTES):
             bucket, first = tokens(data, offs)
             doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
             cell, add = [], []
@@ -102,9 +103,9 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors, one row per word bucket, from every word of ``docs``."""
-    merged = (docs.select("text").mapInArrow(_contexts, "block int, sums binary")
+    merged = (docs.select("text").mapInArrow(giving_back(_contexts), "block int, sums binary")
               .repartition(min(partitions(docs.sparkSession), BUCKETS // BLOCK), "block")
-              .mapInArrow(_add_blocks, "block int, sums binary"))
+              .mapInArrow(giving_back(_add_blocks), "block int, sums binary"))
     table = np.zeros((BUCKETS // BLOCK, BLOCK * DIMS))
     for r in merged.collect():  # BUCKETS / BLOCK rows: 4 MB whatever the input
         table[r.block] = np.frombuffer(r.sums, np.int64)
@@ -117,6 +118,17 @@ FEATURES = 2 * DIMS + 4
 
 
 def pooled(data: np.ndarray, offs: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """``pool`` of all texts, ``PART_BYTES`` or one longer text at a time."""
+    out, row = np.zeros((len(offs) - 1, FEATURES), np.float32), 0
+    while row < len(out):
+        end = int(np.searchsorted(offs, offs[row] + PART_BYTES, side="right")) - 1
+        end = min(max(end, row + 1), len(out))
+        out[row:end] = pool(data[offs[row]:offs[end]], offs[row:end + 1] - offs[row], vectors)
+        row = end
+    return out
+
+
+def pool(data: np.ndarray, offs: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Per text: mean and spread of its word vectors, mean similarity and share
     of equal neighbours, share of distinct words, log word count; zeros for an
     empty text."""
@@ -230,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> tuple[np
                     [batch["quality"][lo:hi], pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
 
     picked = docs.join(sample, "doc_id").select("quality", "text")
-    rows = picked.mapInArrow(features, "quality int, x binary").collect()  # about max_train rows
+    rows = picked.mapInArrow(giving_back(features), "quality int, x binary").collect()  # about max_train rows
     rows.sort(key=lambda r: (r.x, r.quality))
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(-1, FEATURES)
     y = np.array([r.quality for r in rows])
@@ -242,11 +254,15 @@ def score_column(spark, vectors: np.ndarray, net: Network):
     """A function text column -> score column."""
     handle = spark.sparkContext.broadcast((vectors, net))
 
-    @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vectors, net = handle.value
-        out = [net.probability(pooled(data, offs, vectors)) for _, _, offs, data in text_chunks(text)]
-        return pa.array(np.concatenate(out) if out else np.zeros(0))
+        for text in texts:
+            out = [net.probability(pooled(data, offs, vectors)) for _, _, offs, data in text_chunks(text)]
+            yield pa.array(np.concatenate(out) if out else np.zeros(0))
+
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from giving_back(scores)(texts)
 
     return score
 

@@ -56,6 +56,29 @@ def test_only_the_text_counts(spark):
     assert {r.score for r in none.collect()} == {0.5}
 
 
+def test_a_chunk_is_worked_off_in_parts():
+    """The rows of a chunk's words, some hundred times its bytes, are never held all at once,
+    and a text's features do not depend on the texts beside it."""
+    import tracemalloc
+
+    import pyarrow as pa
+    texts = [" ".join(f"w{(i * 7 + j) % 911}" for j in range(i % 300)) for i in range(3000)] + ["", "one " * 100_000]
+    vectors = np.random.default_rng(1).normal(size=(quality.BUCKETS, quality.DIMS)).astype(np.float32)
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    assert len(data) > 2 << 20
+    short = len(texts) - 1  # without the long text, which cannot be parted
+    tracemalloc.start()
+    quality.pooled(data[:offs[short]], offs[:short + 1], vectors)
+    pooled = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    list(quality._contexts(iter([pa.RecordBatch.from_pydict({"text": texts[:short]})])))
+    contexts = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pooled < 50 << 20 and contexts < 90 << 20
+    assert np.array_equal(quality.pooled(data, offs, vectors), quality.pool(data, offs, vectors))
+
+
 def test_keep_good_keeps_columns(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.withColumn("_lx_score", F.lit("x")).withColumn("score", F.lit(0))
